@@ -8,6 +8,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer document is one step by itself.
 SLICE_BYTES = 1 << 20
@@ -201,3 +202,19 @@ def list_array(values: pa.Array, lengths: np.ndarray) -> pa.Array:
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == U64 else x.astype(np.int64), pa.int64())
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that is not taken, whatever its case."""
+    used = {x.lower() for x in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def sized(small: DataFrame, most_rows: int) -> DataFrame:
+    """With a broadcast hint if it has at most that many rows; else Spark joins by shuffling.
+
+    small: read from a checkpoint, so that counting is cheap; its rows must be of bounded width.
+    """
+    return F.broadcast(small) if small.count() <= most_rows else small
