@@ -117,16 +117,27 @@ def slices(text: Text, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, Tex
 
 
 class Words(NamedTuple):
-    """Byte spans and hashes of the words of all rows; row i has words first[i]:first[i + 1]."""
+    """Byte spans and hashes of the words of all rows; row i has words first[i]:first[i + 1].
+
+    sums: running sums of the bytes' codes times powers of the base, of which the hashes are made.
+    """
 
     starts: np.ndarray
     ends: np.ndarray
     hashes: np.ndarray
     first: np.ndarray
+    sums: np.ndarray
 
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
+    def stems(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words longer than n bytes, and hashes of their first n bytes."""
+        at = np.flatnonzero(self.ends - self.starts > n)
+        start = self.starts[at]
+        h = (self.sums[start + n] - self.sums[start]) * _power_tables(len(self.sums))[1][start]
+        return at, mix(h + np.full(len(at), n, U64) * _ODD)
+
 
 def spans_of(text: Text, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of bytes that separate nothing, and each row's first run."""
@@ -152,7 +163,7 @@ def words_of(text: Text, separators: np.ndarray = WHITESPACE) -> Words:
     sums = np.zeros(len(text.data) + 1, U64)
     np.cumsum(_BYTE_CODES[LOWER[text.data]] * powers[: len(text.data)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * inverse[starts]
-    return Words(starts, ends, mix(h + (ends - starts).astype(U64) * _ODD), first)
+    return Words(starts, ends, mix(h + (ends - starts).astype(U64) * _ODD), first, sums)
 
 
 _STEPS = mix(np.arange(1, 65, dtype=np.uint64) * _ODD) | U64(1)

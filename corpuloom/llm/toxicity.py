@@ -1,8 +1,8 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A document's features are the distinct hashed buckets of its words, adjacent
-word pairs and pairs one word apart, read as lower-cased runs of letters and
-digits.  Training takes labelled rows one by one, with a learning rate for each
+A document's features are the distinct hashed buckets of its words (whole, and
+by their stems, the first 4 to 8 bytes, as languages inflect), adjacent word
+pairs and pairs one word apart, read as lower-cased runs of letters and digits.  Training takes labelled rows one by one, with a learning rate for each
 coordinate and L1 regularisation, so that nearly all of the 2**bits weights stay
 zero; the dense table of at most 4 * 2**bits bytes is broadcast for scoring.
 
@@ -27,16 +27,20 @@ from pyspark.sql import functions as F
 from .common import NON_ALNUM, U64, Words, list_array, mix, prepared, sequence_hash, slices, text_of, words_of
 
 BITS = 20
-MAX_ROWS = 8192
+STEMS = (4, 5, 6, 7, 8)
+MAX_ROWS = 16384
 EPOCHS = 4
 THRESHOLD = 0.7
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 1.5, 0.001
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.001
 
 
 def _features(words: Words, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(bucket, row) of every occurrence, for each kind of feature."""
     rows, h, shift = words.rows(), words.hashes, U64(64 - bits)
     yield (h >> shift).astype(np.int64), rows
+    for n in STEMS:
+        at, stem = words.stems(n)
+        yield (stem >> shift).astype(np.int64), rows[at]
     for gap in (1, 2):
         at = np.arange(max(0, len(h) - gap))
         at = at[rows[at] == rows[at + gap]]
