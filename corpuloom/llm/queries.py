@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as decon
-from . import line_dedup, mixing, near_dedup, toxicity
+from . import line_dedup, mixing, near_dedup, personal, secrets, toxicity
 from .common import table
 
 
@@ -23,6 +23,16 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(f"n_{k}" for k in personal.KINDS), "base_sha256", personal.all_spans(F.col("base"), F.col("terms")).alias("spans"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(f"n_{k}" for k in secrets.KINDS), "base_sha256", secrets.all_spans().alias("spans"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), keys=["doc_id"])
@@ -34,7 +44,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decon.judged(found).select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_dedup, op4_line_dedup, op9_toxicity, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_dedup, op4_line_dedup, op5_personal_data, op7_secrets, op9_toxicity, op10_decontaminate)}
 
 ORACLE_SQL = {
     "op4_line_dedup": r"""
