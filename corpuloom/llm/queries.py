@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as decon
-from . import line_dedup, mixing, near_dedup, personal, secrets, toxicity
+from . import fingerprint, line_dedup, mixing, near_dedup, personal, secrets, toxicity, urls
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.find_near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -28,6 +32,15 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(f"n_{k}" for k in personal.KINDS), "base_sha256", personal.all_spans(F.col("base"), F.col("terms")).alias("spans"))
 
 
+#: verdict, host, path: fixed by the contract.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    return urls.judge_urls(table(spark, sf_dir, "pages"), rules, keys=["page_id"])
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *(f"n_{k}" for k in secrets.KINDS), "base_sha256", secrets.all_spans().alias("spans"))
@@ -44,9 +57,17 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decon.judged(found).select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_dedup, op4_line_dedup, op5_personal_data, op7_secrets, op9_toxicity, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_dedup, op3_fingerprints, op4_line_dedup, op5_personal_data, op6_url_rules, op7_secrets, op9_toxicity, op10_decontaminate)}
 
 ORACLE_SQL = {
+    "op6_url_rules": r"""
+WITH p AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+q AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+rules AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) t(says, h, pre)),
+m AS (SELECT page_id, host, path, h || pre AS rule, says, row_number() OVER (PARTITION BY page_id ORDER BY length(h || pre) DESC) AS n
+  FROM q LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre))
+SELECT page_id, host, path, rule, coalesce(says, 'allow') AS verdict FROM m WHERE n = 1
+""",
     "op4_line_dedup": r"""
 WITH l AS (SELECT doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
   FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
