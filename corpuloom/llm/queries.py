@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as decon
-from . import fingerprint, line_dedup, mixing, near_dedup, personal, secrets, toxicity, urls
+from . import fingerprint, language_model, line_dedup, mixing, near_dedup, personal, secrets, toxicity, urls
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(f"n_{k}" for k in secrets.KINDS), "base_sha256", secrets.all_spans().alias("spans"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), keys=["doc_id"])
@@ -57,7 +61,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decon.judged(found).select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_dedup, op3_fingerprints, op4_line_dedup, op5_personal_data, op6_url_rules, op7_secrets, op9_toxicity, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_dedup, op3_fingerprints, op4_line_dedup, op5_personal_data, op6_url_rules, op7_secrets, op8_language_model, op9_toxicity, op10_decontaminate)}
 
 ORACLE_SQL = {
     "op6_url_rules": r"""
