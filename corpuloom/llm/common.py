@@ -205,6 +205,14 @@ def distinct_by_row(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray,
     return h[keep], o[keep]
 
 
+def sorted_unique(x: np.ndarray) -> np.ndarray:
+    """As np.unique(), by sorting, which is faster here than hashing."""
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=keep[1:])
+    return x[keep]
+
+
 def list_array(values: pa.Array, lengths: np.ndarray) -> pa.Array:
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
@@ -223,6 +231,16 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+def masked(docs: DataFrame) -> DataFrame:
+    """docs with text and all other columns by number, so that no result can clash with them."""
+    return docs.select(*(F.col(f"`{x}`").alias(x if x == "text" else f"_c{i}") for i, x in enumerate(docs.columns)))
+
+
+def unmasked(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of masked() under their names again."""
+    return df.select(*(F.col(x if x == "text" else f"_c{i}").alias(x) for i, x in enumerate(names)))
+
+
 def sized(small: DataFrame, most_rows: int) -> DataFrame:
     """With a broadcast hint if it has at most that many rows; else Spark joins by shuffling.
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_ALNUM, U64, Words, list_array, prepared, sequence_hash, signed, slices, text_of, words_of
+from .common import NON_ALNUM, U64, Words, list_array, masked, prepared, sequence_hash, signed, slices, text_of, unmasked, words_of
 
 FILTER_BITS = 20
 FOUND = "n_words bigint, hits array<struct<start:int,end:int>>, items array<string>"
@@ -167,11 +167,10 @@ def _occurrences(words: Words, w: Windows, prefixes: list[Prefixes]) -> tuple[np
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
-def _scanner(shared):
+def _scanner(shared, names: list[str]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, prefixes = shared.value
         for batch in batches:
-            names = [x for x in batch.schema.names if x != "text"]
             for lo, hi, text in slices(text_of(batch["text"])):
                 words = words_of(text, NON_ALNUM)
                 start, window = _occurrences(words, w, prefixes)
@@ -206,16 +205,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, keys: list[str]
     items = benchmark.select("item_id", "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (4 * block_words)))
-    slim, found = docs.select(*keys, "text"), []
+    slim, found, names = docs.select(*dict.fromkeys([*keys, "text"])), [], list(keys)
     if blocks > 1:
-        slim = slim.withColumn("_text_key", F.xxhash64("text"))
-    names = [x for x in slim.columns if x != "text"]
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "text") + f", {FOUND}"
+        slim, names = slim.withColumn("_text_key", F.xxhash64("text")), [*keys, "_text_key"]
+    shape = ", ".join(f"`{x}` {slim.schema[x].dataType.simpleString()}" for x in names) + f", {FOUND}"
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block) if blocks > 1 else items
         w = _windows(own.toArrow(), window)
         shared = docs.sparkSession.sparkContext.broadcast((w, _prefixes(docs, w, token) if len(w.first) else []))
-        found.append(slim.mapInArrow(_scanner(shared), shape))
+        found.append(slim.mapInArrow(_scanner(shared, names), shape))
     if blocks == 1:
         return found[0]
     # Rows of equal keys and text have equal results, so that one of them stands for all.
@@ -223,7 +221,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, keys: list[str]
     for more in found[1:]:
         union = union.unionByName(more.dropDuplicates(names))
     merged = union.groupBy(*names).agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
-    left, right = slim.drop("text"), merged.withColumnsRenamed({x: f"_r_{x}" for x in names})
+    left, right = slim.select(*names), merged.withColumnsRenamed({x: f"_r_{x}" for x in names})
     on = [left[x].eqNullSafe(right[f"_r_{x}"]) for x in names]
     return left.join(right, on, "left").select(*keys, "n_words", _merged_spans(F.col("hits")).alias("hits"), "items")
 
@@ -250,7 +248,6 @@ def judged(found: DataFrame, share: float = 0.05) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    names = docs.columns
-    carried = docs.withColumn("_kept_text", F.col("text"))
-    found = find_contamination(carried, benchmark, keys=[x for x in carried.columns if x != "text"], **options)
-    return judged(found).where(~F.col("contaminated")).withColumnRenamed("_kept_text", "text").select(*names)
+    hidden = masked(docs)
+    found = find_contamination(hidden, benchmark, keys=hidden.columns, **options)
+    return unmasked(judged(found).where(~F.col("contaminated")), docs.columns)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_ALNUM, U64, Words, list_array, mix, prepared, sequence_hash, slices, text_of, words_of
+from .common import NON_ALNUM, U64, Words, list_array, masked, mix, prepared, sequence_hash, slices, sorted_unique, text_of, unmasked, words_of
 
 BITS = 20
 STEMS = (4, 5, 6, 7, 8)
@@ -53,7 +53,7 @@ def _featured(bits: int):
         for batch in batches:
             for lo, hi, text in slices(text_of(batch["text"])):
                 parts = list(_features(words_of(text, NON_ALNUM), bits))
-                pairs = np.unique(np.concatenate([row << bits | bucket for bucket, row in parts]))
+                pairs = sorted_unique(np.concatenate([row << bits | bucket for bucket, row in parts]))
                 buckets, rows = pairs & ((1 << bits) - 1), pairs >> bits
                 yield pa.RecordBatch.from_arrays([batch["doc_id"][lo:hi], batch["toxic"][lo:hi], list_array(pa.array(buckets, pa.int32()), np.bincount(rows, minlength=hi - lo))], ["doc_id", "toxic", "features"])
 
@@ -123,19 +123,18 @@ def score(docs: DataFrame, weights: np.ndarray, *, keys: list[str]) -> DataFrame
                 for bucket, row in _features(words_of(text, NON_ALNUM), bits):
                     some = np.flatnonzero(w[bucket])
                     found.append(row[some] << bits | bucket[some])
-                pairs = np.unique(np.concatenate(found))
+                pairs = sorted_unique(np.concatenate(found))
                 total = w[-1] + np.bincount(pairs >> bits, w[pairs & ((1 << bits) - 1)], hi - lo)
                 value = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*(batch[x][lo:hi] for x in keys), pa.array(value, pa.float64())], [*keys, "score"])
 
-    slim = docs.select(*keys, F.col("text"))
+    slim = docs.select(*dict.fromkeys([*keys, "text"]))
     shape = ", ".join(f"`{x}` {slim.schema[x].dataType.simpleString()}" for x in keys) + ", score double"
     return slim.mapInArrow(scored, shape)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, **options) -> DataFrame:
     """docs that score under the threshold; columns as they were."""
-    names = docs.columns
-    carried = docs.withColumn("_scored_text", F.col("text"))
-    out = score(carried, fit(docs, labels, **options), keys=[x for x in carried.columns if x != "text"])
-    return out.where(F.col("score") < threshold).withColumnRenamed("_scored_text", "text").select(*names)
+    hidden = masked(docs)
+    out = score(hidden, fit(docs, labels, **options), keys=hidden.columns)
+    return unmasked(out.where(F.col("score") < threshold), docs.columns)
