@@ -53,3 +53,11 @@ def bench_stats(runs: DataFrame, size: str | None = None) -> DataFrame:
         return stats
     seconds = F.col("mean_ms") / 1000
     return stats.withColumns({"mb_per_s": F.try_divide(F.col(size) / 1048576.0, seconds), "bits_per_s": F.try_divide(F.col(size) * 8.0, seconds)})
+
+
+def selected_runs(runs: DataFrame, *, command: str | None = None, group: str | None = None, model: str | None = None, task: str | None = None) -> DataFrame:
+    """Benchmark rows by a part of their command, group, model and task, all that are given."""
+    out = runs if command is None else runs.where(F.contains("command", F.lit(command)))
+    for name, value in (("group", group), ("model", model), ("task", task)):
+        out = out if value is None else out.where(F.col(name) == value)
+    return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import ids, media, text
 from .operators import accounting, catalog, chunks, context, dedup, search, store
-from .plans import sqlview, strategy
+from .plans import media_plans, sqlview, strategy
 from .sources import extract, files, sinks
 from .streaming import ingest
 
@@ -442,6 +442,28 @@ def cost_model(spark, d):
     return strategy.priced(rows, prices).select("s_suppkey", "media", "tokens", "provider", "cost")
 
 
+@query("""WITH f AS (SELECT p_partkey AS uri, CAST(p_size AS DOUBLE) AS d FROM part), t AS (SELECT uri, unnest(range(0, CAST(ceil(d) AS BIGINT))) AS n FROM f)
+SELECT uri, CAST(n // 16 AS INTEGER) AS message, CAST(n % 16 AS INTEGER) AS part, CAST(n AS DOUBLE) AS time FROM t""")
+def frame_batches(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("uri"), F.col("p_size").cast("double").alias("duration_s"))
+    return media_plans.frame_rows(rows, "video/frames")
+
+
+@query("""WITH f AS (SELECT p_partkey AS uri, p_size * 40 AS w, p_partkey % 1500 + 1 AS h FROM part), a AS (SELECT uri, w, h, CAST(ceil(w / 512.0) AS INTEGER) AS nx, CAST(ceil(h / 512.0) AS INTEGER) AS ny FROM f),
+c AS (SELECT uri, 0 AS part, 0 AS "left", 0 AS top, w AS "right", h AS bottom FROM a UNION ALL
+ SELECT uri, y * nx + x + 1, x * 512, y * 512, least((x + 1) * 512, w), least((y + 1) * 512, h) FROM (SELECT *, unnest(range(0, nx)) AS x FROM (SELECT *, unnest(range(0, ny)) AS y FROM a WHERE nx * ny > 1)))
+SELECT uri, CAST(part AS INTEGER) AS part, CAST("left" AS INTEGER) AS "left", CAST(top AS INTEGER) AS top, CAST("right" AS INTEGER) AS "right", CAST(bottom AS INTEGER) AS bottom FROM c""")
+def image_tiles(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("uri"), (F.col("p_size") * 40).alias("width"), (F.col("p_partkey") % 1500 + 1).cast("int").alias("height"))
+    return media_plans.tile_rows(rows)
+
+
+@query("""WITH f AS (SELECT p_partkey AS uri, p_size - 5 AS n FROM part) SELECT uri, CAST(m AS INTEGER) AS message, CAST(m * 4 + 1 AS INTEGER) AS first_page, CAST(least((m + 1) * 4, n) AS INTEGER) AS last_page FROM (SELECT uri, n, unnest(range(0, CAST(ceil(n / 4.0) AS BIGINT))) AS m FROM f WHERE n > 0)""")
+def document_pages(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("uri"), (F.col("p_size") - 5).alias("pages"))
+    return media_plans.page_rows(rows, "document/rasterize")
+
+
 @query("""SELECT p_partkey, 'Describe ' || p_name || ' as ' || p_brand || '; .' AS prompt FROM part""")
 def render_prompts(spark, d):
     return table(spark, d, "part").select("p_partkey", strategy.rendered_prompts("Describe {name} as {brand}; {none}.", {"name": F.col("p_name"), "brand": F.col("p_brand")}).alias("prompt"))

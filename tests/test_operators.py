@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from corpuloom import schema
 from corpuloom.functions import ids, media, text
-from corpuloom.operators import accounting, catalog, chunks, context, dedup, search, store
-from corpuloom.plans import encoders, sqlview, strategy
-from corpuloom.sources import extract, files, sinks
+from corpuloom.operators import accounting, cache, catalog, chunks, context, dedup, peek, search, store
+from corpuloom.plans import encoders, media_plans, specs, sqlview, strategy
+from corpuloom.sources import av, extract, files, office, sinks
 from corpuloom.streaming import ingest
 
 
@@ -357,3 +357,79 @@ def test_stream(spark, tmp_path):
         run = ingest.merge_into(made, ingest.stream_of(spark, str(tmp_path / "in"), schema.STORED), str(tmp_path / "ck"))
         run.awaitTermination()
         assert made.read("files").count() == 5
+
+
+def zipped(**parts):
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text_ in parts.items():
+            z.writestr(name.replace("__", "/").replace("_xml", ".xml"), text_)
+    return out.getvalue()
+
+
+def test_office_files(spark):
+    docx = zipped(word__document_xml='<w:d xmlns:w="w"><w:p><w:r><w:t>One</w:t><w:tab/><w:t>two</w:t></w:r></w:p><w:p/><w:p><w:t>Three</w:t></w:p></w:d>')
+    xlsx = zipped(
+        xl__workbook_xml='<x><sheets><sheet name="S"/></sheets></x>',
+        xl__sharedStrings_xml="<sst><si><t>a|b</t></si></sst>",
+        xl__worksheets__sheet1_xml='<x><row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>2</v></c></row><row><c r="A2" t="inlineStr"><is><t>z</t></is></c></row></x>',
+    )
+    pptx = zipped(ppt__slides__slide1_xml='<x xmlns:a="a"><a:p><a:t>Hi</a:t></a:p></x>', ppt__slides__slide2_xml='<x xmlns:a="a"><a:p><a:t>Bye</a:t></a:p></x>')
+    odt = zipped(content_xml='<o:d xmlns:o="office" xmlns:t="text"><o:text><t:h>Head</t:h><t:p>a<t:span>b</t:span>c</t:p></o:text></o:d>')
+    rows = spark.createDataFrame([(f"f{e}", e, bytearray(d)) for e, d in ((".docx", docx), (".XLSX", xlsx), (".pptx", pptx), (".odt", odt), (".odp", b"junk"))], "path string, ext string, content binary")
+    got = {r["path"]: (r["text"], r["pages"]) for r in office.extract_office(rows).collect()}
+    assert got["f.docx"] == ("One\ttwo\nThree", None)
+    assert got["f.XLSX"] == ("## S\n\n| a\\|b |  | 2 |\n| --- | --- | --- |\n| z |  |  |", 1)
+    assert got["f.pptx"] == ("## Slide 1\n\nHi\n\n## Slide 2\n\nBye", 2)
+    assert got["f.odt"] == ("Head\nabc", None) and got["f.odp"] == (None, None)
+
+
+def test_av_files(spark):
+    box = lambda kind, body: struct.pack(">I4s", 8 + len(body), kind) + body
+    header = lambda kind, scale, length: box(kind, b"\0" * 12 + struct.pack(">II", scale, length) + b"\0" * 8)
+    entry = struct.pack(">I4s", 86, b"avc1") + b"\0" * 24 + struct.pack(">HH", 640, 360) + b"\0" * 50
+    table = box(b"stsd", b"\0" * 4 + struct.pack(">I", 1) + entry) + box(b"stts", b"\0" * 4 + struct.pack(">III", 1, 50, 40))
+    track = lambda what, stbl: box(b"trak", box(b"mdia", header(b"mdhd", 1000, 2000) + box(b"hdlr", b"\0" * 8 + what + b"\0" * 12) + box(b"minf", box(b"stbl", stbl))))
+    sound = box(b"stsd", b"\0" * 4 + struct.pack(">I", 1) + struct.pack(">I4s", 36, b"mp4a") + b"\0" * 28)
+    movie = box(b"ftyp", b"isom") + box(b"moov", header(b"mvhd", 600, 1200) + track(b"vide", table) + track(b"soun", sound))
+    wav = b"RIFF\0\0\0\0WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 16000, 2, 16) + b"data" + struct.pack("<I", 32000)
+    element = lambda i, body: i + bytes([0x40 | len(body) >> 8, len(body) & 255]) + body
+    mkv = element(b"\x1a\x45\xdf\xa3", b"") + element(b"\x18\x53\x80\x67", element(b"\x15\x49\xa9\x66", element(b"\x44\x89", struct.pack(">d", 2500.0))) + element(b"\x16\x54\xae\x6b", element(b"\xae", element(b"\x83", b"\x01") + element(b"\x86", b"V_VP9") + element(b"\xe0", element(b"\xb0", b"\x02\x80") + element(b"\xba", b"\x01\x68")))))
+    rows = spark.createDataFrame([(p, "." + p.split(".")[1], bytearray(d)) for p, d in (("a.mp4", movie), ("b.wav", wav), ("c.mkv", mkv), ("d.mp4", b"junk"), ("e.avi", b""))], "path string, ext string, content binary")
+    got = {r["path"]: tuple(r[f] for f in av.FIELDS) for r in av.extract_media(rows).collect()}
+    assert got["a.mp4"] == ("640x360", 2.0, 25.0, "avc1", "mp4a", True)
+    assert got["b.wav"] == (None, 2.0, None, None, "pcm", True)
+    assert got["c.mkv"] == ("640x360", 2.5, None, "V_VP9", None, False)
+    assert got["d.mp4"] == got["e.avi"] == (None,) * 6
+
+
+def test_media_plans(spark):
+    assert len(media_plans.PLANS) == 29 and media_plans.encoder_table(spark).count() == 29
+    rows = spark.createDataFrame([("v", 130.0), ("n", None)], "uri string, duration_s double")
+    assert [(r["start"], r["end"]) for r in media_plans.window_rows(rows, "video/chunked").collect()] == [(0.0, 60.0), (55.0, 115.0), (110.0, 130.0)]
+    frames = media_plans.frame_rows(rows, "video/mosaic").collect()
+    assert len(frames) == 128 and max(r["message"] for r in frames) == 7
+    assert one(spark, w=media_plans.fitted(F.lit(4000), F.lit(1000))[0], h=media_plans.fitted(F.lit(4000), F.lit(1000))[1]) == {"w": 1024, "h": 256}
+    spoken = F.array(F.struct(F.lit(6.0).alias("start"), F.lit(7.75).alias("end"), F.lit("hi").alias("text")))
+    assert one(spark, x=media_plans.transcript(spoken, 2))["x"] == "[12.0s - 15.5s] hi"
+
+
+def test_cache_computes_once(spark, tmp_path):
+    made = cache.Cache(spark, str(tmp_path / "cache"))
+    rows = cache.keyed(spark.createDataFrame([("a", 1, 1), ("b", 2, 2), ("c", None, 3)], "path string, modified long, size long"), "x")
+    first = made.through(rows, lambda df: df.select("cache_key", "path", F.lit(1).alias("v")))
+    again = made.through(rows, lambda df: df.select("cache_key", "path", F.lit(2).alias("v")))
+    assert {r["path"]: r["v"] for r in first.collect()} == {"a": 1, "b": 1, "c": 1}
+    assert {r["path"]: r["v"] for r in again.collect()} == {"a": 1, "b": 1, "c": 2}
+
+
+def test_specs_and_peek(spark, tmp_path):
+    (tmp_path / "p.toml").write_text('kind = "image"\n[encode]\nstrategy = "tile"')
+    (tmp_path / "q.json").write_text('[{"kind": "audio"}, {"kind": "video"}]')
+    assert specs.by_kind(specs.loaded(specs.located("p", tmp_path)))["image"]["encode"]["strategy"] == "tile"
+    assert set(specs.by_kind(specs.loaded(tmp_path / "q.json"))) == {"audio", "video"}
+    rows = spark.createDataFrame([("a.toml", ".toml", 3, None)], "path string, ext string, size long, pages long")
+    assert peek.peek_json(rows).first()["json"] == '{"path":"a.toml","ext":".toml","size":3,"media_kind":"text"}'
