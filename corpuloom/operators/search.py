@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, smart_case, snippet, split_lines
+from ..session import arrow_map
 
 
 def grep(files: DataFrame, pattern: str, *, ignore_case: bool = False, smart: bool = True, context: int = 0) -> DataFrame:
@@ -124,4 +125,4 @@ def embedded(chunks: DataFrame, embed) -> DataFrame:
                         raise
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(vectors, pa.list_(pa.float32()))], ["chunk_id", "embedding"])
 
-    return chunks.select("id", "chunk_text").mapInArrow(run, "chunk_id bigint, embedding array<float>")
+    return arrow_map(chunks.select("id", "chunk_text"), run, "chunk_id bigint, embedding array<float>")

@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import arrow_map
+
 Encoder = Callable[[str, object, dict], Iterator[tuple[int, int, str, str]]]
 _REGISTRY: dict[str, Encoder] = {}
 
@@ -62,4 +64,4 @@ def encoded(files: DataFrame, encoder: str, options: dict | None = None, *, uri:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["uri", "message", "part", "type", "text"])
 
     slim = files.selectExpr(f"`{uri}` AS uri", f"`{data}` AS data")
-    return slim.mapInArrow(encode, "uri string, message int, part int, type string, text string")
+    return arrow_map(slim, encode, "uri string, message int, part int, type string, text string")

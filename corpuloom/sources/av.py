@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import arrow_map
+
 MP4, MATROSKA, AUDIO = (".mp4", ".m4v", ".mov", ".3gp", ".m4a"), (".mkv", ".webm"), (".wav", ".flac", ".mp3", ".aiff")
 FIELDS = ("dimensions", "duration_s", "fps", "video_codec", "audio_codec", "has_audio")
 
@@ -170,4 +172,4 @@ def extract_media(files: DataFrame, data: str = "content") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["path"], pa.array([hashlib.sha256(d).hexdigest() for d in raw]), *columns], ["path", "content_hash", *FIELDS])
 
     shape = "path string, content_hash string, dimensions string, duration_s double, fps double, video_codec string, audio_codec string, has_audio boolean"
-    return files.selectExpr("path", "ext", f"`{data}` AS data").mapInArrow(read, shape)
+    return arrow_map(files.selectExpr("path", "ext", f"`{data}` AS data"), read, shape)

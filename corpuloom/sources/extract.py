@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import content_hash
 from ..functions.text import clock, human_size, line_count, preview, word_count
+from ..session import arrow_map
 from .files import image_size, language_of
 
 
@@ -88,7 +89,7 @@ def extract_images(files: DataFrame, data: str = "content") -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([batch["path"], *(pa.array(c, pa.string()) for c in columns)], ["path", *names])
 
-    return files.selectExpr("path", f"`{data}` AS data").mapInArrow(read, f"path string, {', '.join(f'{n} string' for n in names)}")
+    return arrow_map(files.selectExpr("path", f"`{data}` AS data"), read, f"path string, {', '.join(f'{n} string' for n in names)}")
 
 
 def labelled(kind: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..session import arrow_map
 
 MIME_OTHER = "application/octet-stream"
 
@@ -195,7 +196,7 @@ def image_sizes(files: DataFrame, file_column: str, head: int = 1 << 18) -> Data
             yield pa.RecordBatch.from_arrays([*(batch[x] for x in names), pa.array([w for w, _ in sizes], pa.int32()), pa.array([h for _, h in sizes], pa.int32())], [*names, "width", "height"])
 
     shape = ", ".join(f"`{x}` {files.schema[x].dataType.simpleString()}" for x in names)
-    return files.select(*names).mapInArrow(read, f"{shape}, width int, height int")
+    return arrow_map(files.select(*names), read, f"{shape}, width int, height int")
 
 
 # ---------------------------------------------------------------- tables of texts

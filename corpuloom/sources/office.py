@@ -11,6 +11,8 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import arrow_map
+
 _TAG = re.compile(r"\{[^}]*\}")
 
 
@@ -146,4 +148,4 @@ def extract_office(files: DataFrame, data: str = "content") -> DataFrame:
             got = [office_text(e or "", d or b"") for e, d in zip(batch["ext"].to_pylist(), batch["data"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["path"], pa.array([t for t, _ in got], pa.string()), pa.array([p for _, p in got], pa.int64())], ["path", "text", "pages"])
 
-    return files.selectExpr("path", "ext", f"`{data}` AS data").mapInArrow(read, "path string, text string, pages bigint")
+    return arrow_map(files.selectExpr("path", "ext", f"`{data}` AS data"), read, "path string, text string, pages bigint")
