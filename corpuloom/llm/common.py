@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import workers_find_us
+
 #: Bytes of text that one vectorised step works on; a longer document is one step by itself.
 SLICE_BYTES = 1 << 20
 #: Rows in an Arrow batch, so that a batch of long documents stays small.
@@ -30,7 +32,8 @@ _BYTE_CODES = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches unless the session has its own setting."""
+    """Small Arrow batches unless the session has its own setting, and workers that find this package."""
+    workers_find_us(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(BATCH_ROWS))
