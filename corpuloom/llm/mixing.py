@@ -32,7 +32,7 @@ from .common import U64, cut, mix, prepared
 WORD = r"[^\x20\x09-\x0D]+"
 CAP = 3
 #: Documents whose positions one task sums.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 #: Groups of shards that the driver draws; the shards of a group are drawn by a task.
 GROUPS = 1024
 
@@ -150,14 +150,15 @@ class Mix(NamedTuple):
     def blocks(self) -> DataFrame:
         """The mix itself: one row for each slot and document in its block, with the word span taken."""
         cut_off = F.least("end", "take")
-        joined = self.slots.join(self.pieces, ["rank", "block"]).where(F.col("begin") < F.col("take"))
+        joined = self.slots.hint("merge").join(self.pieces, ["rank", "block"]).where(F.col("begin") < F.col("take"))
         return joined.select("shard", "slot", "rank", "block", "doc_id", (F.col("offset")).alias("from_word"), (F.col("offset") + cut_off - F.col("begin")).alias("to_word"))
 
     def taken(self) -> DataFrame:
         """Words the mix takes of each document: doc_id, size, source_size, target, taken."""
+        # Slots come out of a few rows of plans: the planner must not take them for small.
         often = self.slots.groupBy("rank", "block", "take").agg(F.count("*").alias("n"))
         words = F.greatest(F.lit(0), F.least("end", "take") - F.col("begin")) * F.col("n")
-        each = self.pieces.join(often, ["rank", "block"], "left").groupBy("rank", "start", "doc_id", "size").agg(F.coalesce(F.sum(words), F.lit(0)).cast("bigint").alias("taken"))
+        each = self.pieces.join(often.hint("merge"), ["rank", "block"], "left").groupBy("rank", "start", "doc_id", "size").agg(F.coalesce(F.sum(words), F.lit(0)).cast("bigint").alias("taken"))
         every = each.select("rank", "doc_id", "size", "taken").unionByName(self.wordless.select("rank", "doc_id", "size", F.lit(0).cast("bigint").alias("taken")))
         return every.join(F.broadcast(self.sources), "rank").select("doc_id", "size", "source_size", "target", "taken")
 
