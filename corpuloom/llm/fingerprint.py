@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, U64, _power_tables, mix, partitions, prepared
+from .common import SLICE_BYTES, U64, _power_tables, mix, partitions, prepared, sorted_unique
 
 ROUNDS = 4
 LEVELS = 3
@@ -44,43 +44,66 @@ SAMPLE = 64
 _FIRST = mix(np.arange(1, 257, dtype=np.uint64))
 
 
-def _lowest_bit(x: np.ndarray) -> np.ndarray:
-    """The number of the lowest set bit; x has one in every element."""
-    low = x & (~x + U64(1))
-    return (np.frexp(low.astype(np.float64))[1] - 1).astype(U64)
+def _toss_table() -> np.ndarray:
+    """One round of coin tossing for symbols below 256: at 256 * left + own, twice the lowest differing bit plus its value."""
+    left, own = np.meshgrid(np.arange(256), np.arange(256), indexing="ij")
+    differ = left ^ own
+    bit = np.where(differ > 0, np.log2(np.maximum(1, differ & -differ)), 0).astype(np.int64)
+    return (2 * bit + (own >> bit & 1)).astype(np.uint8).ravel()
+
+
+_TOSS = _toss_table()
+#: A de Bruijn sequence of 64 bits: its products with powers of two differ in their top six bits.
+_DE_BRUIJN = U64(0x03F79D71B4CB0A89)
+_BIT = np.zeros(64, np.uint8)
+_BIT[(((U64(1) << np.arange(64, dtype=np.uint64)) * _DE_BRUIJN) >> U64(58)).astype(np.int64)] = np.arange(64)
+
+
+def _tossed(label: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """One round over symbols that differ from their left neighbours; a row's first meets itself with the lowest bit turned."""
+    left = np.empty_like(label)
+    left[1:] = label[:-1]
+    left[head] = label[head] ^ label.dtype.type(1)
+    if label.dtype == np.uint8:
+        return _TOSS[left.astype(np.uint16) << 8 | label]
+    differ = label ^ left
+    bit = _BIT[((differ & (~differ + U64(1))) * _DE_BRUIJN >> U64(58)).astype(np.int64)]
+    return bit << 1 | (label >> bit & U64(1)).astype(np.uint8)
 
 
 def _level(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Phrases of each row's names; row i has names[first[i]:first[i + 1]]."""
+    """Phrases of each row's names (bytes, or 64-bit); row i has names[first[i]:first[i + 1]], at least one."""
     n = len(names)
-    begins = np.zeros(n + 1, bool)
-    begins[first] = True
-    head = begins[:n].copy()
-    new = head.copy()
-    new[1:] |= names[1:] != names[:-1]
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(names[1:], names[:-1], out=new[1:])
+    new[first[:-1]] = True
     at = np.flatnonzero(new)
     length = np.diff(np.append(at, n))
-    symbols = np.where(length > 1, mix(names[at] ^ mix(length.astype(U64))), names[at])
-    head = head[at]
-    label = symbols
+    label = names[at]
+    symbols = _FIRST[label] if names.dtype == np.uint8 else label.copy()
+    runs = np.flatnonzero(length > 1)
+    symbols[runs] = mix(symbols[runs] ^ mix(length[runs].astype(U64)))
+    head = np.searchsorted(at, first[:-1])
     for _ in range(ROUNDS):
-        left = np.empty_like(label)
-        left[1:] = label[:-1]
-        left[head] = ~label[head]
-        k = _lowest_bit(label ^ left)
-        label = U64(2) * k + (label >> k & U64(1))
-    top = head.copy()
-    inner = np.flatnonzero(~head)
-    after = np.append(label[1:], 0)
-    ends = np.append(head[1:], True)
-    top[inner] = (label[inner] > label[inner - 1]) & ((label[inner] > after[inner]) | ends[inner])
+        label = _tossed(label, head)
+    top = np.zeros(len(at), bool)
+    if len(at) > 1:
+        up = label[1:] > label[:-1]
+        top[1:] = up
+        top[1:-1] &= ~(label[2:] > label[1:-1])
+        # A row's last symbol has nothing after it that counts.
+        last = np.append(head[1:], len(at)) - 1
+        last = last[last > 0]
+        top[last] = up[last - 1]
+    top[head] = True
     starts = np.flatnonzero(top)
     powers, inverse = _power_tables(len(symbols) + 1)
     sums = np.zeros(len(symbols) + 1, U64)
-    np.cumsum(mix(symbols) * powers[: len(symbols)], out=sums[1:])
+    np.cumsum(symbols * powers[: len(symbols)], out=sums[1:])
     stop = np.append(starts[1:], len(symbols))
     made = mix((sums[stop] - sums[starts]) * inverse[starts] ^ (stop - starts).astype(U64))
-    return made, np.append(np.cumsum(top) - top, len(starts))[np.append(np.cumsum(new) - new, len(at))[first]]
+    return made, np.append(np.searchsorted(starts, head), len(starts))
 
 
 def _sketches(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -103,7 +126,7 @@ def _sliced(texts: list[bytes], size: int) -> list[np.ndarray]:
     result = [np.zeros(0, np.uint32)] * len(texts)
     if not len(full):
         return result
-    names = _FIRST[np.frombuffer(b"".join(texts), np.uint8)]
+    names = np.frombuffer(b"".join(texts), np.uint8)
     first = np.concatenate([[0], np.cumsum(lengths[full])])
     kept, owner = [], []
     for level in range(1, LEVELS + 1):
@@ -113,7 +136,7 @@ def _sliced(texts: list[bytes], size: int) -> list[np.ndarray]:
         chosen = np.ones(len(rows), bool) if level in KEPT else whole
         kept.append((mix(names[chosen] + U64(level)) >> U64(32)).astype(np.int64))
         owner.append(rows[chosen])
-    pairs = np.unique(np.concatenate(owner) << 32 | np.concatenate(kept))
+    pairs = sorted_unique(np.concatenate(owner) << 32 | np.concatenate(kept))
     rows, values = pairs >> 32, (pairs & 0xFFFFFFFF).astype(np.uint32)
     edge = np.searchsorted(rows, np.arange(len(full) + 1))
     for i, row in enumerate(full):
@@ -129,10 +152,13 @@ def _alike(a: np.ndarray, b: np.ndarray, size: int) -> float:
     """The share of the smallest names of both together that both have."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    union, count = np.unique(np.concatenate([a, b]), return_counts=True)
+    both = np.sort(np.concatenate([a, b]))
+    twice = np.zeros(len(both), bool)
+    np.equal(both[1:], both[:-1], out=twice[1:])
+    first = np.flatnonzero(~twice)
     # Beyond the end of a full sketch it is not known which names a text lacks.
-    least = union[: min(size, len(union))]
-    return float((count[: len(least)] == 2).sum() / len(least))
+    least = first[:size]
+    return float(twice[np.minimum(least + 1, len(both) - 1)].sum() / len(least))
 
 
 def likeness(a: str, b: str, size: int = SIZE) -> float:
