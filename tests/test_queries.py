@@ -54,3 +54,11 @@ def test_plans(spark):
     wc = plan_of(queries.QUERIES["catalog_by_kind"](spark, FOLDER))
     assert wc.count("HashAggregate") == 2 and "partial_sum" in wc
     assert "ReadSchema: struct<doc_id:bigint>" in plan_of(queries.QUERIES["prune_candidates"](spark, FOLDER))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_types(spark, duck, name):
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+    want = duck.sql(queries.ORACLE_SQL[name])
+    got = {k: kinds[v] for k, v in queries.QUERIES[name](spark, FOLDER).dtypes}
+    assert got == dict(zip(want.columns, map(str, want.types), strict=True))
