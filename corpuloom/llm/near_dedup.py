@@ -9,12 +9,11 @@ cost 2 * tables * width minhashes.  Documents of one key are candidates.
 2. In each bucket every representative is held against the smallest one; what is
    linked within two hops is taken for a component until the end.
 3. Where a bucket still holds several components, the pairs across components
-   are compared: all of them in a bucket of at most SMALL_BUCKET rows; a larger
-   one is divided by a further short key, up to DIVISIONS times, and what is
-   still large compares each row with a leader drawn at random from that part's
-   first component.  Work stays in proportion to the rows, however large a group
-   is; a link is missed only if none of the (at the threshold about 30) buckets
-   that its ends share leads to it, directly or by a path.
+   are compared: all of them in a bucket of at most SMALL_BUCKET rows.  Of a larger
+   one each row first meets the row of another component that agrees most with
+   it, which joins groups in linear work; then every pair that is still across
+   components and agrees enough is compared, so none is left out, however large
+   the bucket.  Minhashes of large buckets meet in blocks of BLOCK by BLOCK rows.
 
 A pair is confirmed on full sets.  Before that the agreement of its minhashes
 must reach FEWEST_EQUAL of the default 40: a pair at the threshold falls short
@@ -43,8 +42,8 @@ from .components import components, hopped
 BROADCAST_IDS = 2_000_000
 #: Rows of a bucket up to which all its pairs across components are compared.
 SMALL_BUCKET = 24
-#: Times that a larger bucket is divided by a further short key.
-DIVISIONS = 3
+#: Rows of a large bucket that meet as many others in one group.
+BLOCK = 512
 #: Share of minhashes that a pair must have in common before its sets are compared.
 FEWEST_EQUAL = 0.5
 
@@ -104,14 +103,95 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int,
 
 
 def _mixed_only(rows: DataFrame) -> DataFrame:
-    """The rows of keys that hold more than one component, with the number of rows of each key and a leader of it.
+    """The rows of keys that hold more than one component, with the number of rows of each key."""
+    held = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low < high")
+    return rows.drop("m").join(held.select("key", "m"), "key")
 
-    The leader is drawn at random from the component of smallest label: the more members a component
-    has, the smaller its label tends to be, and a leader of the largest is compared with the fewest rows.
+
+def _agreeing(group: pa.Table, tables: int, width: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows across components whose minhashes agree enough, one of block p and one of block q of a key.
+
+    Every such pair, in the first table that it shares; or each row's closest.
     """
-    drawn = F.min(F.struct("label", F.col("rep").bitwiseXOR(F.xxhash64("key")).alias("order"))).alias("first")
-    held = rows.groupBy("key").agg(drawn, F.max("label").alias("high"), F.count("*").alias("m")).where("first.label < high")
-    return rows.drop("m", "low", "leader").join(held.select("key", "m", F.col("first.order").bitwiseXOR(F.xxhash64("key")).alias("leader")), "key")
+    rep, label, block, table = (group[x].to_numpy() for x in ("rep", "label", "block", "table"))
+    minhashes = group["minhashes"].combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+    p, q = group["p"][0].as_py(), group["q"][0].as_py()
+    left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
+    if not len(left) or not len(right):
+        return left[:0], left[:0]
+    equal = np.zeros((len(left), len(right)), np.uint16)
+    for k in range(minhashes.shape[1]):
+        equal += minhashes[left, k][:, None] == minhashes[right, k]
+    equal[label[left][:, None] == label[right]] = 0
+    fewest = max(1, FEWEST_EQUAL * minhashes.shape[1])
+    if not every:
+        i, j = np.concatenate([np.arange(len(left)), equal.argmax(0)]), np.concatenate([equal.argmax(1), np.arange(len(right))])
+        enough = equal[i, j] >= fewest
+        return left[i[enough]], right[j[enough]]
+    i, j = np.nonzero(equal >= fewest)
+    i, j = left[i], right[j]
+    if p == q:
+        i, j = i[rep[i] < rep[j]], j[rep[i] < rep[j]]
+    # A pair shares tables wherever a left and a right key are the same; the first of each tell the table.
+    first = np.empty(len(i), np.int64)
+    for lo in range(0, len(i), 1 << 16):
+        at = slice(lo, lo + (1 << 16))
+        same = (minhashes[i[at]] == minhashes[j[at]]).reshape(-1, 2, tables, width).all(3)
+        first[at] = same[:, 0].argmax(1) * tables + same[:, 1].argmax(1)
+    here = first == table[0]
+    return i[here], j[here]
+
+
+def _dealt(large: DataFrame) -> DataFrame:
+    """The rows of large buckets, dealt to blocks of which each two meet once, as p and q."""
+    rows = large.withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), "blocks"))
+    each = rows.select("key", "table", "rep", "label", "minhashes", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    return each.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other")).drop("other")
+
+
+def _pairs(rep: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.Table:
+    pairs = np.unique(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], 1), axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+
+def _matched(large: DataFrame, tables: int, width: int) -> DataFrame:
+    """Each row of a large bucket and the row of another component that agrees most with it."""
+
+    def match(group: pa.Table) -> pa.Table:
+        return _pairs(group["rep"].to_numpy(), *_agreeing(group, tables, width, False))
+
+    return _dealt(large).groupBy("key", "p", "q").applyInArrow(match, "a bigint, b bigint").distinct()
+
+
+def _linked(large: DataFrame, docs: DataFrame, shingle: int, threshold: int, tables: int, width: int) -> DataFrame:
+    """The links across components of large buckets: all pairs that agree enough, held against each other where they meet."""
+    shape = "key bigint, table int, rep bigint, label bigint, minhashes array<int>, block bigint, p bigint, q bigint"
+
+    def wanted(group: pa.Table) -> pa.Table:
+        return group.take(np.unique(np.concatenate(_agreeing(group, tables, width, True))))
+
+    def confirm(group: pa.Table) -> pa.Table:
+        i, j = _agreeing(group, tables, width, True)
+        items = group["items"].combine_chunks()
+        values, offsets = items.flatten().to_numpy(), items.offsets.to_numpy() - items.offsets[0].as_py()
+        size, linked = np.diff(offsets), np.zeros(len(i), bool)
+        order = np.argsort(i, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(i[order])) + 1) if len(i) else []:
+            own = np.sort(values[offsets[i[at[0]]] : offsets[i[at[0]] + 1]])
+            for k in at:
+                n = size[j[k]]
+                if min(n, len(own)) * 100 >= max(n, len(own)) * threshold:
+                    other = values[offsets[j[k]] : offsets[j[k] + 1]]
+                    shared = np.count_nonzero(own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other)
+                    linked[k] = shared * 100 >= (n + len(own) - shared) * threshold
+        return _pairs(group["rep"].to_numpy(), i[linked], j[linked])
+
+    rows = cut(_dealt(large).groupBy("key", "p", "q").applyInArrow(wanted, shape))
+    ids = cut(rows.select(F.col("rep").alias("id")).distinct())
+    texts = docs.join(sized(ids, BROADCAST_IDS), docs["doc_id"] == ids["id"], "left_semi").select("doc_id", "text")
+    sets = texts.mapInArrow(_set_maker(shingle), "id bigint, items array<bigint>")
+    met = rows.join(sets, F.col("rep") == F.col("id")).drop("id").groupBy("key", "p", "q").applyInArrow(confirm, "a bigint, b bigint")
+    return cut(met.distinct())
 
 
 def _across(rows: DataFrame) -> DataFrame:
@@ -120,6 +200,11 @@ def _across(rows: DataFrame) -> DataFrame:
     return rows.join(other, "key").where((F.col("label") != F.col("label_b")) & (F.col("rep") < F.col("b"))).select(F.col("rep").alias("a"), "b").distinct()
 
 
+def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with the label of each rep's component (rep where it has none)."""
+    return rows.drop("label").join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
+
+
 def find_near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 75, tables: int = 10, width: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept (the component's smallest doc_id)."""
     spark = prepared(docs.sparkSession)
@@ -138,18 +223,15 @@ def find_near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int =
     labelled = grouped.select("key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = cut(_mixed_only(labelled))
     small, large = mixed.where(F.col("m") <= SMALL_BUCKET), mixed.where(F.col("m") > SMALL_BUCKET)
-    # A byte of each of eight short keys goes along, so that dividing takes no join.
-    bytes_ = F.expr(f"aggregate(sequence(0, 7), 0L, (t, d) -> t | shiftleft(short[d * {tables} div 4] & 255L, 8 * d))")
-    large = cut(large.drop("m", "leader").join(reps.select("rep", short.alias("short")).select("rep", bytes_.alias("parts")), "rep"))
-    for k in range(DIVISIONS):
-        part = F.expr(f"shiftrightunsigned(parts, cast(8 * pmod(key + {k}, 8) as int)) & 255L")
-        divided = cut(_mixed_only(large.withColumn("key", F.xxhash64("key", F.lit(k), part))))
-        small = small.unionByName(divided.where(F.col("m") <= SMALL_BUCKET).select(*small.columns))
-        large = divided.where(F.col("m") > SMALL_BUCKET)
-    led = large.where("rep != leader").join(labels.select(F.col("node").alias("leader"), F.col("label").alias("of_leader")), "leader", "left")
-    led = led.where(F.col("label") != F.coalesce("of_leader", "leader")).select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
-    untested = _across(small.select("key", "rep", "label")).unionByName(led).distinct().join(tested, ["a", "b"], "left_anti")
-    labels = components(links.unionByName(_confirmed(untested, reps, docs, shingle, threshold)))
+    table = (F.array_position(table_keys, F.col("key")) - 1).cast("int").alias("table")
+    large = cut(large.join(reps.select("rep", "minhashes", short.alias("short")), "rep").select("key", "rep", "label", "m", "minhashes", table))
+    untested = _across(small.select("key", "rep", "label")).unionByName(_matched(large, tables, width)).distinct().join(tested, ["a", "b"], "left_anti")
+    links = links.unionByName(_confirmed(untested, reps, docs, shingle, threshold))
+    labels = components(links)
+    if not large.isEmpty():
+        rest = _linked(_mixed_only(_relabelled(large, labels)), docs, shingle, threshold, tables, width)
+        if not rest.isEmpty():
+            labels = components(links.unionByName(rest))
 
     sets = reps.select("s1", "s2", F.col("rep")).join(labels, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("label", "rep").alias("label"))
     # A row without a set or id belongs to no class, and would meet others under one hot key.

@@ -121,6 +121,26 @@ def test_large_groups_are_divided(spark, monkeypatch):
     assert got == brute.components(rows)
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_a_star_whose_hub_stands_in_the_middle(spark, monkeypatch, block):
+    """Edits of one original are alike with it alone, and its id is neither the smallest nor the largest."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block, raising=False)
+    random = np.random.default_rng(3)
+    original = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(200):
+        words = list(original)
+        if i != 100:
+            for at in random.choice(400, 10, replace=False):
+                words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.find_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split(" ") for _, t in rows)]
+    alike = {i for i in range(200) if 100 * len(sets[i] & sets[100]) >= 75 * len(sets[i] | sets[100])}
+    assert len(alike) > 150 and 0 in alike
+    assert {i for i in range(200) if got[i][1] == 0} >= alike
+
+
 def test_near_duplicates_of_odd_tables(empty, clashing):
     assert near_dedup.find_near_duplicates(empty).count() == 0
     got = near_dedup.find_near_duplicates(clashing).collect()
