@@ -7,8 +7,10 @@ are hashed together with the bits already known into slots that hold how often
 each decision fell out 0 or 1 in the training documents.  A mixer adds the
 predictors' log odds under weights that are gated by the bit's place and by how
 often the word's beginning has been seen; the mixer and a last refining stage
-(by partial byte and quantised odds) learn online, on a bounded sample of
-training tokens, each held against counts without itself.  The result is a
+(by partial byte and quantised odds) start from a bounded sample of training
+tokens and then learn online over all training words, each weighted by its count
+and held against counts without itself: a pass over every partition of the
+vocabulary, whose weights are averaged by gate.  The result is a
 proper distribution over texts, given as log10 and as bits per byte.
 
 No context reaches beyond a word, so each distinct word is scored once.  The
@@ -42,8 +44,10 @@ CHUNK = 1 << 16
 TASKS = 8
 PIECE = 64
 HEAD = 1 << 20
-#: Expected tokens in the sample that the mixer learns from.
+#: Expected tokens in the sample that the mixer starts from, before it learns over all words.
 SAMPLE = 1 << 14
+#: Words that a step over all training words takes, and tokens that a cell's start counts for.
+ALL_STEP, PRIOR = 1024, 50.0
 SMOOTH = 0.4
 RATE, REFINE_RATE, EPOCHS = 0.03, 0.02, 4
 STEP = 256
@@ -148,40 +152,88 @@ def _refined(table: np.ndarray, known: np.ndarray, x: np.ndarray, p: np.ndarray)
     return np.clip((p + q) / 2, 1e-6, 1 - 1e-6), at, share
 
 
+def _guessed(n0: np.ndarray, n1: np.ndarray, weights: np.ndarray, words: pa.Array, times: np.ndarray, rate: float) -> Iterator[tuple]:
+    """Moves weights by each place of a bit; yields the gates, the partial bytes, the odds, the guesses, the bits and how often each counts."""
+    p = _pieces(words)
+    weight = times[p.word].astype(np.float64)
+    for n, place, slots, known, bit in _decisions(p):
+        inputs, held = np.ones((n, len(slots) + 1)), None
+        for k, at in enumerate(slots):
+            a, b = np.maximum(0, n0[at] - (1 - bit)), np.maximum(0, n1[at] - bit)
+            inputs[:, k] = _stretch(a, b)
+            held = a + b
+        gate = place * 6 + _seen(held)
+        x = _mixed(inputs, weights[gate])
+        guess = _squash(x)
+        w = weight[:n]
+        step = (bit - guess) * w
+        total = np.bincount(gate, w, len(weights))
+        for k in range(inputs.shape[1]):
+            weights[:, k] += rate * np.bincount(gate, step * inputs[:, k], len(weights)) / np.maximum(total, 8)
+        yield total, known, x, guess, bit, w
+
+
+def _started() -> tuple[np.ndarray, np.ndarray]:
+    weights = np.full((8 * 6, len(SLOT_BITS) + 1), 0.3)
+    weights[:, -1] = 0.0
+    return weights, np.tile(_squash((np.arange(LEVELS) - (LEVELS - 1) / 2) * WIDTH), 256)
+
+
 def fit_mixer(counts: np.ndarray, words: pa.Array, times: np.ndarray) -> Model:
     """Learns weights and refining table online from words (each counted in counts at least once)."""
     n0, n1 = counts[0].astype(np.float64), counts[1].astype(np.float64)
-    weights = np.full((8 * 6, len(SLOT_BITS) + 1), 0.3)
-    weights[:, -1] = 0.0
-    refine = np.tile(_squash((np.arange(LEVELS) - (LEVELS - 1) / 2) * WIDTH), 256)
+    weights, refine = _started()
     for epoch in range(EPOCHS):
-        rate = RATE / (1 + epoch)
         for lo in range(0, len(words), STEP):
-            p = _pieces(words[lo : lo + STEP])
-            weight = times[lo : lo + STEP][p.word].astype(np.float64)
-            for n, place, slots, known, bit in _decisions(p):
-                inputs, held = np.ones((n, len(slots) + 1)), None
-                for k, at in enumerate(slots):
-                    a, b = np.maximum(0, n0[at] - (1 - bit)), np.maximum(0, n1[at] - bit)
-                    inputs[:, k] = _stretch(a, b)
-                    held = a + b
-                gate = place * 6 + _seen(held)
-                x = _mixed(inputs, weights[gate])
-                guess = _squash(x)
-                w = weight[:n]
-                step = (bit - guess) * w
-                total = np.bincount(gate, w, len(weights))
-                for k in range(inputs.shape[1]):
-                    weights[:, k] += rate * np.bincount(gate, step * inputs[:, k], len(weights)) / np.maximum(total, 8)
+            for _, known, x, guess, bit, w in _guessed(n0, n1, weights, words[lo : lo + STEP], times[lo : lo + STEP], RATE / (1 + epoch)):
                 _, at, share = _refined(refine, known, x, guess)
                 for cell, part in ((at, 1 - share), (at + 1, share)):
                     mass = np.bincount(cell, w * part, len(refine))
                     goal = np.bincount(cell, w * part * bit, len(refine))
                     hit = mass > 0
                     refine[hit] += (1 - (1 - REFINE_RATE) ** mass[hit]) * (goal[hit] / mass[hit] - refine[hit])
+    return _model(n0, n1, weights, refine)
+
+
+def _model(n0: np.ndarray, n1: np.ndarray, weights: np.ndarray, refine: np.ndarray) -> Model:
     return Model(_stretch(n0, n1).astype(np.float32), _seen((n0 + n1)[BASE[-2] :]).astype(np.uint8), weights, refine)
 
 
+def _fit_all(vocabulary: DataFrame, counts: np.ndarray, start: Model) -> Model:
+    """start after a pass over all training words: weights averaged by gate over the partitions, the refining table from all their bits."""
+    shared = vocabulary.sparkSession.sparkContext.broadcast((counts, start.weights, start.refine))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (n0, n1), weights, refine = shared.value
+        weights, gates = weights.copy(), np.zeros(len(weights))
+        mass, goal = np.zeros(len(refine)), np.zeros(len(refine))
+        for batch in batches:
+            times = batch["c"].to_numpy()
+            for lo in range(0, batch.num_rows, ALL_STEP):
+                for total, known, x, guess, bit, w in _guessed(n0, n1, weights, batch["word"][lo : lo + ALL_STEP], times[lo : lo + ALL_STEP], RATE / EPOCHS):
+                    gates += total
+                    _, at, share = _refined(refine, known, x, guess)
+                    for cell, part in ((at, 1 - share), (at + 1, share)):
+                        mass += np.bincount(cell, w * part, len(refine))
+                        goal += np.bincount(cell, w * part * bit, len(refine))
+        if gates.any():
+            sums = np.concatenate([gates, (weights * gates[:, None]).ravel(), mass, goal])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums)], ["i", "x"])
+
+    # A table of fixed size, summed over the partitions.
+    known = vocabulary.where("c > 0").sortWithinPartitions(F.xxhash64("word", F.lit(1)), "word")
+    sums = known.mapInArrow(learn, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+    if not sums.num_rows:
+        return start
+    flat = np.zeros(sums.num_rows)
+    flat[sums["i"].to_numpy()] = sums["x"].to_numpy()
+    n, (cells, inputs) = len(start.refine), start.weights.shape
+    gates, weights = flat[:cells], flat[cells : cells * (1 + inputs)].reshape(cells, inputs)
+    weights = np.where(gates[:, None] > 0, weights / np.maximum(gates, 1e-9)[:, None], start.weights)
+    mass, goal = flat[-2 * n : -n], flat[-n:]
+    return start._replace(weights=weights, refine=(start.refine * PRIOR + goal) / (PRIOR + mass))
+
+
 def score_words(model: Model, words: pa.Array) -> np.ndarray:
     """log10 probability of each word and the space after it."""
     p = _pieces(words)
@@ -269,14 +321,15 @@ def train(docs: DataFrame) -> Scorer:
     known = vocabulary.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = rows.where(~F.col("held_out")).count()
     tokens, words = int(known["n"]) + ends, int(known["v"]) + (ends > 0)
-    counts = _slot_counts(vocabulary.unionByName(spark.createDataFrame([(bytearray(), ends)], "word binary, c bigint")))
+    taught_words = vocabulary.unionByName(spark.createDataFrame([(bytearray(), ends)], "word binary, c bigint"))
+    counts = _slot_counts(taught_words)
     # Each training token stands in the sample with a chance of SAMPLE / N.
     uniform = (F.xxhash64("word").bitwiseAND((1 << 52) - 1)) / float(1 << 52)
     drawn = vocabulary.withColumn("times", F.floor(F.col("c") * (SAMPLE / max(1, tokens)) + uniform).cast("bigint")).where("c > 0 and times > 0")
     sample = drawn.orderBy(F.xxhash64("word", F.lit(1)), "word").limit(2 * SAMPLE).select("word", "times").toArrow()
     taught = pa.concat_arrays([pa.array([b""] if ends else [], pa.binary()), sample["word"].combine_chunks().cast(pa.binary())])
     times = np.concatenate([[max(1, round(ends * SAMPLE / max(1, tokens)))] if ends else [], sample["times"].to_numpy()])
-    model = fit_mixer(counts, taught, times)
+    model = _fit_all(taught_words, counts, fit_mixer(counts, taught, times))
     shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -323,6 +323,18 @@ def test_language_model(docs, rows, monkeypatch, head):
     assert np.mean([r["bits_per_byte"] for r in real]) < 3.5
 
 
+def test_the_mixer_learns_from_all_training_words(docs, monkeypatch):
+    """With next to nothing in the sample it starts from, the model still learns how its predictors mix."""
+    seen = []
+    whole = language_model.score_documents(docs).agg(F.sum("score")).first()[0]
+    monkeypatch.setattr(language_model, "SAMPLE", 1)
+    fit = language_model.fit_mixer
+    monkeypatch.setattr(language_model, "fit_mixer", lambda *args: seen.append(len(args[1])) or fit(*args))
+    least = language_model.score_documents(docs).agg(F.sum("score")).first()[0]
+    print(seen, whole, least)
+    assert seen[0] < 10 and least > 1.1 * whole
+
+
 def test_the_model_is_a_distribution():
     words = pa.array([b"aa", b"ab", b"b", b""], pa.binary())
     counts = np.zeros(2 * language_model.SLOTS)
