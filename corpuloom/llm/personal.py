@@ -6,8 +6,8 @@ of a term and a kind's contexts says how strongly the term reveals that such
 data stand near: log2(P(context | term) / P(context)).  A term whose
 information reaches ``disclosure`` of the most it could be (the information
 content of the contexts), with enough support, is a quasi-identifier of that
-kind; where it stands in such a context it is a span of kind ``term`` and is
-generalised together with the data.
+kind; wherever it stands outside a find, in any document, it is a span of kind
+``term`` and is generalised together with the data.
 
 Terms are counted per task before they are shuffled.  Only terms with enough
 support in contexts are counted over the corpus, through a broadcast of checked
@@ -123,6 +123,27 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([signed(h), signed(n)], ["h", "n"])
 
 
+def _free_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, row, h, start, end) of each word outside all finds."""
+    for batch in batches:
+        for i, text in enumerate(batch["text"].to_pylist()):
+            coded = text_of(pa.array([text or ""]))
+            words = words_of(coded, NON_ALNUM)
+            if not len(words.starts):
+                continue
+            point = np.zeros(len(coded.data) + 1, np.int64)  # code points before a byte
+            np.cumsum((coded.data & 0xC0) != 0x80, out=point[1:])
+            start, end = point[words.starts], point[words.ends]
+            free = np.ones(len(start), bool)
+            for _, a, b in base_spans(text):
+                free[np.searchsorted(end, a, "right") : np.searchsorted(start, b)] = False
+            n = int(free.sum())
+            if n:
+                of = pa.array(np.full(n, i))
+                columns = [batch["doc_id"].take(of), batch["row"].take(of), signed(words.hashes[free]), pa.array(start[free].astype(np.int32)), pa.array(end[free].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "h", "start", "end"])
+
+
 def _revealing(docs: DataFrame, found: DataFrame, disclosure: float, support: int, spread: int) -> DataFrame:
     """(h, kind) of the terms that reveal a kind's contexts."""
     near = found.where(F.size("near") > 0).select("doc_id", "row", F.explode("near").alias("x")).select("doc_id", "row", "x.h", "x.kind")
@@ -145,15 +166,15 @@ def find_personal_data(docs: DataFrame, *, reach: int = 5, disclosure: float = 0
     shape = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, row bigint, {', '.join(f'n_{k} bigint' for k in KINDS)}, base_sha256 string, base string, n_words bigint, near {_ITEMS}"
     found = cut(slim.mapInArrow(_finder(reach), shape))
     telling = cut(_revealing(docs, found, disclosure, support, spread))
-    near = found.where(F.size("near") > 0).select("doc_id", "row", F.explode("near").alias("x")).select("doc_id", "row", "x.*")
-    terms = near.join(sized(telling, BROADCAST_TERMS), ["h", "kind"], "left_semi").groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    # Only rows with finds can have terms; the others need no join.
-    with_finds, without = found.where(F.size("near") > 0), found.where(F.size("near") == 0)
-    right = terms.withColumnsRenamed({"doc_id": "_id", "row": "_row"})
-    some = with_finds.join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left").drop("_id", "_row")
-    none = without.withColumn("terms", F.lit(None).cast("array<struct<start:int,end:int>>"))
     empty = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    return some.unionByName(none).withColumn("terms", F.coalesce("terms", empty)).drop("near", "n_words")
+    if telling.isEmpty():
+        return found.drop("near", "n_words").withColumn("terms", empty)
+    words = slim.mapInArrow(_free_words, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, row bigint, h bigint, start int, end int")
+    marked = words.join(sized(cut(telling.select("h").distinct()), BROADCAST_TERMS), "h", "left_semi")
+    terms = marked.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
+    right = terms.withColumnsRenamed({"doc_id": "_id", "row": "_row"})
+    both = found.drop("near", "n_words").join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left").drop("_id", "_row")
+    return both.withColumn("terms", F.coalesce("terms", empty))
 
 
 def all_spans(base: Column, terms: Column) -> Column:

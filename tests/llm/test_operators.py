@@ -258,6 +258,15 @@ def test_terms_that_reveal_are_found_and_generalised(spark):
     assert "<EMAIL>" in clean[100] and "tresorix" not in clean[100] and clean[0] == rows[0][1]
 
 
+def test_terms_that_reveal_are_marked_away_from_finds(spark):
+    rows = [(i, f"é kontakt a{i}@b.de " + " ".join(f"w{i}x{k}" for k in range(60))) for i in range(8)]
+    rows += [(100, "nothing here but a kontakt to be asked for"), (101, "quite plain"), (102, None), (103, "kontakt " + "y " * 20 + "a@b.de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(t) for t in r["terms"]] for r in personal.find_personal_data(docs, disclosure=0.7).collect()}
+    assert got[0] == [(0, 1), (2, 9)] and got[100] == [(19, 26)] and got[101] == got[102] == [] and got[103] == [(0, 7)]
+    assert {r["doc_id"]: r["text"] for r in personal.sanitise(docs, disclosure=0.7).collect()}[100] == "nothing here but a <TERM> to be asked for"
+
+
 def test_secrets(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(SECRETS)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in secrets.find_secrets(docs).withColumn("spans", secrets.all_spans()).collect()}
