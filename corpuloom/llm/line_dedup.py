@@ -8,7 +8,8 @@ also splits within a key: a line that a third of all documents hold is dealt
 over many partitions.  For the keys at a partition's two ends the pass returns
 how many documents it saw and the few rows it could not decide, which a join
 of a handful of rows a partition decides.  The result is a compressed bitmap a
-document, never text.
+document, never text: its runs of kept lines, which slice the lines where the
+documents are read.
 
 Defined results: a null or empty text is one empty line; lines are split at
 \\n only; rows that share a doc_id count as one document (rows without doc_id
@@ -18,23 +19,22 @@ lose all its lines and then keeps an empty text.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, partitions, prepared, sized
+from .common import cut, fresh, masked, partitions, prepared
 
 SPACE = b" \t\n\x0b\x0c\r"
 DROP, OPEN, RUN = 0, 1, 2
-#: Documents with dropped lines up to which their bitmaps are broadcast.
-BROADCAST_ROWS = 500_000
-#: Bytes of all bitmaps up to which they are broadcast.
-BROADCAST_BYTES = 64 << 20
+#: Bytes of all bitmaps up to which they are broadcast; what a row and a run of one take there.
+BROADCAST_BYTES = 32 << 20
+ROW_BYTES, RUN_BYTES = 96, 24
+KEEP = "array<struct<first:int,lines:int>>"
 
 
 def _keyed(min_chars: int):
@@ -72,7 +72,7 @@ def _sweep(min_docs: int):
     unset = object()
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last, top, docs, runs, pending, out = None, unset, None, 0, 0, [], []
+        key, last, text, top, docs, runs, pending, out = None, unset, None, None, 0, 0, [], []
 
         def packed() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) if out else [[]] * 8
@@ -93,6 +93,9 @@ def _sweep(min_docs: int):
                     key, last, top, docs, runs = (hi, lo), unset, doc, 0, runs + 1
                 if last is unset or doc != last:
                     docs, last = docs + 1, doc
+                elif row == text:
+                    continue  # a repeated row
+                text = row
                 x = (doc, row, n_lines, docs, positions)
                 if docs == 1:
                     if runs == 1:
@@ -111,22 +114,25 @@ def _sweep(min_docs: int):
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    run = pa.struct([("first", pa.int32()), ("lines", pa.int32())])
     for batch in batches:
         keep, dropped = [], []
         for n, parts in zip(batch["n_lines"].to_pylist(), batch["positions"].to_pylist(), strict=True):
-            bits = np.ones(n, bool)
-            bits[np.frombuffer(b"".join(parts), "<u4")] = False
+            bits = np.ones(n + 2, bool)
+            bits[[0, -1]] = False
+            bits[np.frombuffer(b"".join(parts), "<u4").astype(np.int64) + 1] = False
             dropped.append(n - int(bits.sum()))
-            keep.append(zlib.compress(np.packbits(bits).tobytes()))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], batch["n_lines"], pa.array(dropped, pa.int64()), pa.array(keep, pa.binary())], ["doc_id", "row", "n_lines", "n_dropped", "keep"])
+            edges = np.flatnonzero(bits[1:] != bits[:-1])
+            keep.append([{"first": a, "lines": b - a} for a, b in edges.reshape(-1, 2).tolist()])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], batch["n_lines"], pa.array(dropped, pa.int64()), pa.array(keep, pa.list_(run))], ["doc_id", "row", "n_lines", "n_dropped", "keep"])
 
 
 def line_keep_bitmaps(docs: DataFrame, *, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
     """One row per document that loses lines: doc_id, row (xxhash64 of its text), n_lines, n_dropped, keep.
 
-    keep: zlib-compressed bits, first line first, 1 where the line stays.  A key is a line with ASCII
-    white space stripped and A-Z lower-cased; keys of at least min_chars code points in at least
-    min_docs documents stay only in the largest doc_id.  Documents without a row keep everything.
+    keep: the bitmap of kept lines, compressed to its runs of ones (first line from 0, lines).  A key is
+    a line with ASCII white space stripped and A-Z lower-cased; keys of at least min_chars code points in
+    at least min_docs documents stay only in the largest doc_id.  Documents without a row keep everything.
     """
     spark = prepared(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.xxhash64("text").alias("row"), "text")
@@ -138,48 +144,38 @@ def line_keep_bitmaps(docs: DataFrame, *, min_docs: int = 3, min_chars: int = 20
     decided = swept.where(F.col("kind") == OPEN).join(runs, ["hi", "lo"]).where((F.col("all_docs") >= min_docs) & ~F.col("doc").eqNullSafe(F.col("keeper")))
     names = ["doc", "row", "n_lines", "positions"]
     drops = swept.where(F.col("kind") == DROP).select(*names).unionByName(decided.select(*names))
-    each = drops.groupBy(F.col("doc").alias("doc_id"), "row", "n_lines").agg(F.collect_list("positions").alias("positions"))
-    return each.mapInArrow(_bitmaps, "doc_id bigint, row bigint, n_lines int, n_dropped bigint, keep binary")
+    # Repeated rows bring the same positions: a set is bounded by the lines of one text.
+    each = drops.groupBy(F.col("doc").alias("doc_id"), "row", "n_lines").agg(F.collect_set("positions").alias("positions"))
+    return each.mapInArrow(_bitmaps, f"doc_id bigint, row bigint, n_lines int, n_dropped bigint, keep {KEEP}")
 
 
-def _kept(names: list[str], bits: str, text_name: str):
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, total, dropped = [], [], []
-            for text, keep in zip(batch[text_name].cast(pa.binary()).to_pylist(), batch[bits].to_pylist(), strict=True):
-                if keep is None:
-                    texts.append(text)
-                    total.append((text or b"").count(b"\n") + 1)
-                    dropped.append(0)
-                    continue
-                lines = (text or b"").split(b"\n")
-                flags = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=len(lines))
-                left = [x for x, k in zip(lines, flags, strict=True) if k]
-                texts.append(b"\n".join(left))
-                total.append(len(lines))
-                dropped.append(len(lines) - len(left))
-            made = pa.array(texts, pa.binary()).cast(batch.schema.field(text_name).type)
-            columns = [made if x == text_name else batch[x] for x in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], [*names, "_total", "_dropped"])
-
-    return kept
+def _left(text: Column, keep: Column) -> Column:
+    """The lines of text in the runs of keep; split once, as the argument of an outer lambda."""
+    runs = lambda lines: F.flatten(F.transform(keep, lambda r: F.slice(lines, r["first"] + 1, r["lines"])))
+    return F.element_at(F.transform(F.array(F.split(text, "\n", -1)), lambda lines: F.array_join(runs(lines), "\n")), 1)
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """docs with the dropped lines gone from text, and n_lines (before) and n_dropped.
 
-    Columns of those two names in docs are replaced.
+    Columns of those two names in docs stay; the new ones then end in an underscore.  All of it is done by
+    expressions: only texts that lose lines are split.
     """
-    names = [x for x in docs.columns if x.lower() not in ("n_lines", "n_dropped")]
-    bits, row = fresh("keep", names), fresh("row", names)
-    small = cut(bitmaps.select(F.col("doc_id").alias("_bitmap_doc"), F.col("row").alias("_bitmap_row"), F.col("keep").alias(bits)))
-    if (small.agg(F.sum(F.length(bits))).first()[0] or 0) <= BROADCAST_BYTES:
-        small = sized(small, BROADCAST_ROWS)
-    left = docs.select(*names).withColumn(row, F.xxhash64("text"))
-    both = left.join(small, left["doc_id"].cast("bigint").eqNullSafe(small["_bitmap_doc"]) & (left[row] == small["_bitmap_row"]), "left").select(*names, bits)
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema if f.name != bits) + ", _total bigint, _dropped bigint"
-    out = both.mapInArrow(_kept(names, bits, "text"), shape)
-    return out.withColumnsRenamed({"_total": "n_lines", "_dropped": "n_dropped"})
+    hidden, names = masked(docs), docs.columns
+    total, dropped = fresh("n_lines", names), fresh("n_dropped", names)
+    small = cut(bitmaps.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("n_lines").alias("_n"), F.col("n_dropped").alias("_gone"), F.col("keep").alias("_keep")))
+    if (small.agg(F.sum(F.size("_keep") * RUN_BYTES + ROW_BYTES)).first()[0] or 0) <= BROADCAST_BYTES:
+        small = F.broadcast(small)
+    doc_id = F.col(f"_c{[x.lower() for x in names].index('doc_id')}").cast("bigint")
+    both = hidden.join(small, doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left")
+    whole = F.col("_row").isNull()
+    newlines = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0))
+    made = both.select(
+        *(F.when(whole, F.col("text")).otherwise(_left(F.col("text"), F.col("_keep"))).alias(x) if x == "text" else F.col(x) for x in hidden.columns),
+        F.when(whole, newlines + 1).otherwise(F.col("_n")).cast("bigint").alias("_total"),
+        F.when(whole, 0).otherwise(F.col("_gone")).cast("bigint").alias("_dropped"),
+    )
+    return made.select(*(F.col(x if x == "text" else f"_c{i}").alias(n) for i, (x, n) in enumerate(zip(hidden.columns, names, strict=True))), F.col("_total").alias(total), F.col("_dropped").alias(dropped))
 
 
 def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:

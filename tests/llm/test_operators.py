@@ -1,8 +1,10 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from corpuloom.llm import components, decontaminate, fingerprint, language_model, line_dedup, mixing, near_dedup, personal, secrets, toxicity, urls
@@ -29,9 +31,9 @@ def empty(spark):
 @pytest.fixture(scope="module")
 def clashing(spark):
     """Nulls in every column, repeated rows, and columns named like inner ones."""
-    schema = brute.DOCS + ", row long, keep string, size string, n_dropped string, score string, hits int, label string, b string, pid string"
+    schema = brute.DOCS + ", row long, keep string, size string, n_lines long, n_dropped string, score string, hits int, label string, b string, pid string"
     some = [(1, "Some words here and there, and some more of them", "en", "a", 5), (1, "Some words here and there, and some more of them", "en", "a", 5), (None, None, None, None, None), (None, "text without an id", None, None, 3), (2, None, "x", None, None)]
-    return spark.createDataFrame([(*r, 7, "k", "s", "d", "o", 1, "l", "b", "p") for r in some], schema)
+    return spark.createDataFrame([(*r, 7, "k", "s", 9, "d", "o", 1, "l", "b", "p") for r in some], schema)
 
 
 # ---------------------------------------------------------------- tokens
@@ -216,7 +218,18 @@ def test_a_line_of_all_documents_over_many_ranges(spark, parts):
 def test_lines_of_odd_tables(empty, clashing):
     assert line_dedup.drop_repeated_lines(empty).count() == 0
     out = line_dedup.drop_repeated_lines(clashing)
-    assert out.count() == 5 and {"n_lines", "n_dropped", "keep", "row"} <= set(out.columns)
+    assert out.columns == [*clashing.columns, "n_lines_", "n_dropped_"]
+    assert sorted(map(repr, out.collect())) == sorted(repr(Row(**r.asDict(), n_lines_=1, n_dropped_=0)) for r in clashing.collect())
+
+
+def test_lines_of_repeated_rows_and_clashing_columns(spark):
+    shared = "a line of twenty characters and more"
+    rows = [(None, f"{shared}\nown"), (None, f"{shared}\nown"), (None, f"other\n\n{shared}")] * 50 + [(1, shared), (2, f"x\n{shared.upper()}\ny\n {shared}\t\n"), (3, f"{shared}\n"), (3, f"{shared}\n")]
+    docs = spark.createDataFrame([(*r, -1, -2, "t", "d", "b", "k") for r in rows], "doc_id long, text string, n_lines long, n_dropped long, _total string, _dropped string, _bitmap_doc string, keep string")
+    got = line_dedup.drop_repeated_lines(docs).collect()
+    assert len(got) == len(rows) and all(r["n_lines"] == -1 and r["n_dropped"] == -2 and r["keep"] == "k" for r in got)
+    want = {(None, "own", 2, 1): 100, (None, "other\n", 3, 1): 50, (1, "", 1, 1): 1, (2, "x\ny\n", 5, 2): 1, (3, f"{shared}\n", 2, 0): 2}
+    assert Counter((r["doc_id"], r["text"], r["n_lines_"], r["n_dropped_"]) for r in got) == want
 
 
 # ---------------------------------------------------------------- 5, 7
