@@ -25,7 +25,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three documents or more hold stay in one of them; no document goes."""
     kept = line_dedup.drop_repeated_lines(docs)
-    changed = kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else kept
+    changed = kept.withColumn("n_chars", F.when(F.col(kept.columns[-1]) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else kept
     return changed.select(*docs.columns)
 
 
