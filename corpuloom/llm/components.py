@@ -32,7 +32,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def hopped(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest neighbour within two hops down, for every b of links (a < b); cheap, and mostly the component."""
-    down = cut(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")))
-    at = down.select(F.col("node").alias("label"), F.col("label").alias("further"))
-    return cut(down.join(at, "label", "left").select("node", F.least("label", "further").alias("label")))
+    """(node, label): the smallest node within two links, for every node of links; cheap, and mostly the component."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")))
+    seen = near.select(F.col("a").alias("b"), "label")
+    return cut(both.join(seen, "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("label")))

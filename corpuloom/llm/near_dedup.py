@@ -6,19 +6,19 @@ of the index is keyed by the pair (left key i, right key j), so tables**2 tables
 cost 2 * tables * width minhashes.  Documents of one key are candidates.
 
 1. Documents of equal sets become one representative (the smallest doc_id).
-2. In each bucket every representative is held against the smallest one; what is
-   linked within two hops is taken for a component until the end.
-3. Where a bucket still holds several components, the pairs across components
-   are compared: all of them in a bucket of at most SMALL_BUCKET rows.  Of a larger
-   one each row first meets the row of another component that agrees most with
-   it, which joins groups in linear work; then every pair that is still across
-   components and agrees enough is compared, so none is left out, however large
-   the bucket.  Minhashes of large buckets meet in blocks of BLOCK by BLOCK rows.
-
-A pair is confirmed on full sets.  Before that the agreement of its minhashes
-must reach FEWEST_EQUAL of the default 40: a pair at the threshold falls short
-with a chance of 2e-4, at a likeness of 0.8 of 5e-6.  At the threshold a pair shares none of the 100 default
-tables with a chance of 5e-4; at a likeness of 0.8 it is 7e-5, at 0.9 1e-7.
+2. In each bucket every representative is held against its most central one (of
+   the most rows in all its buckets), which links most of a group in linear work,
+   a star about any member included; what is linked within two hops is taken for
+   a component until the end.
+3. Where a bucket still holds several components, all pairs across components are
+   compared: as pairs of ids in a bucket of at most PAIR_ROWS rows, and else where
+   the rows meet, in blocks of BLOCK by BLOCK rows.  There the rows outside the
+   bucket's largest component meet all of its rows, so that rows are repeated only
+   beyond a block of either.  Which way a bucket goes changes no result.
+
+Every pair that shares a table is thus linked or compared on full sets, only the
+sizes of the sets tell beforehand.  A pair at the threshold shares none of the 100
+default tables with a chance of 5e-4; at a likeness of 0.8 it is 7e-5, at 0.9 1e-7.
 
 Defined results: case folds for A-Z only; fewer words than a shingle make one
 shingle of them all; a null or wordless text has an empty set and is linked
@@ -39,13 +39,15 @@ from .common import U64, cut, distinct_by_row, list_array, mix, partitions, prep
 from .components import components, hopped
 
 #: Candidate ids up to which they are broadcast to the scan that makes their sets.
-BROADCAST_IDS = 2_000_000
-#: Rows of a bucket up to which all its pairs across components are compared.
-SMALL_BUCKET = 24
-#: Rows of a large bucket that meet as many others in one group.
-BLOCK = 512
-#: Share of minhashes that a pair must have in common before its sets are compared.
-FEWEST_EQUAL = 0.5
+BROADCAST_IDS = 500_000
+#: Rows of a bucket up to which its pairs across components are listed by their ids.
+PAIR_ROWS = 24
+#: Rows of a larger bucket that meet as many others in one group.
+BLOCK = 4096
+#: Shingles of a block.
+BLOCK_ITEMS = 1 << 22
+#: Pairs of one leader that meet one copy of its set.
+LEADER_PAIRS = 512
 
 
 def _sets(text, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,19 +89,28 @@ def _set_maker(shingle: int):
     return make
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, items): the full sets of the documents among ids."""
+    wanted = docs.join(sized(ids, BROADCAST_IDS), docs["doc_id"] == ids["id"], "left_semi").select("doc_id", "text")
+    return wanted.mapInArrow(_set_maker(shingle), "id bigint, items array<bigint>")
+
+
 def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, threshold: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike: 100 * shared >= threshold * joint."""
-    a, b = (reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("minhashes").alias(f"of_{x}")) for x in "ab")
+    a, b = (reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold
-    equal = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
-    likely = cut(pairs.join(b, "b").join(a, "a").where(sizes & (equal >= FEWEST_EQUAL * F.size("of_a"))).select("a", "b"))
+    likely = cut(pairs.join(b, "b").join(a, "a").where(sizes).select("a", "b"))
     ids = cut(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    wanted = docs.join(sized(ids, BROADCAST_IDS), docs["doc_id"] == ids["id"], "left_semi").select("doc_id", "text")
-    sets = wanted.mapInArrow(_set_maker(shingle), "id bigint, items array<bigint>")
-    a, b = (sets.select(F.col("id").alias(x), F.col("items").alias(f"of_{x}")) for x in "ab")
+    sets = _sets_of(ids, docs, shingle)
+    # Many pairs of one leader are dealt over copies of its set.
+    copies = cut(likely.groupBy("a").agg(F.ceil(F.count("*") / LEADER_PAIRS).alias("copies")).where("copies > 1"))
+    dealt = likely.join(sized(copies, BROADCAST_IDS), "a", "left").withColumn("copy", F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1)))).drop("copies")
+    own = sets.join(sized(copies.withColumnRenamed("a", "id"), BROADCAST_IDS), "id", "left")
+    own = own.select(F.col("id").alias("a"), F.col("items").alias("of_a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
     shared = F.size(F.array_intersect("of_a", "of_b"))
     joint = F.size("of_a") + F.size("of_b") - shared
-    return cut(likely.join(b, "b").join(a, "a").where(shared * 100 >= joint * threshold).select("a", "b"))
+    other = sets.select(F.col("id").alias("b"), F.col("items").alias("of_b"))
+    return cut(dealt.join(other, "b").join(own, ["a", "copy"]).where(shared * 100 >= joint * threshold).select("a", "b"))
 
 
 def _mixed_only(rows: DataFrame) -> DataFrame:
@@ -108,90 +119,75 @@ def _mixed_only(rows: DataFrame) -> DataFrame:
     return rows.drop("m").join(held.select("key", "m"), "key")
 
 
-def _agreeing(group: pa.Table, tables: int, width: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows across components whose minhashes agree enough, one of block p and one of block q of a key.
-
-    Every such pair, in the first table that it shares; or each row's closest.
-    """
-    rep, label, block, table = (group[x].to_numpy() for x in ("rep", "label", "block", "table"))
-    minhashes = group["minhashes"].combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
-    p, q = group["p"][0].as_py(), group["q"][0].as_py()
-    left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
-    if not len(left) or not len(right):
-        return left[:0], left[:0]
-    equal = np.zeros((len(left), len(right)), np.uint16)
-    for k in range(minhashes.shape[1]):
-        equal += minhashes[left, k][:, None] == minhashes[right, k]
-    equal[label[left][:, None] == label[right]] = 0
-    fewest = max(1, FEWEST_EQUAL * minhashes.shape[1])
-    if not every:
-        i, j = np.concatenate([np.arange(len(left)), equal.argmax(0)]), np.concatenate([equal.argmax(1), np.arange(len(right))])
-        enough = equal[i, j] >= fewest
-        return left[i[enough]], right[j[enough]]
-    i, j = np.nonzero(equal >= fewest)
-    i, j = left[i], right[j]
-    if p == q:
-        i, j = i[rep[i] < rep[j]], j[rep[i] < rep[j]]
-    # A pair shares tables wherever a left and a right key are the same; the first of each tell the table.
-    first = np.empty(len(i), np.int64)
-    for lo in range(0, len(i), 1 << 16):
-        at = slice(lo, lo + (1 << 16))
-        same = (minhashes[i[at]] == minhashes[j[at]]).reshape(-1, 2, tables, width).all(3)
-        first[at] = same[:, 0].argmax(1) * tables + same[:, 1].argmax(1)
-    here = first == table[0]
-    return i[here], j[here]
-
-
 def _dealt(large: DataFrame) -> DataFrame:
-    """The rows of large buckets, dealt to blocks of which each two meet once, as p and q."""
-    rows = large.withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), "blocks"))
-    each = rows.select("key", "table", "rep", "label", "minhashes", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
-    return each.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other")).drop("other")
-
-
-def _pairs(rep: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.Table:
-    pairs = np.unique(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], 1), axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-
-def _matched(large: DataFrame, tables: int, width: int) -> DataFrame:
-    """Each row of a large bucket and the row of another component that agrees most with it."""
-
-    def match(group: pa.Table) -> pa.Table:
-        return _pairs(group["rep"].to_numpy(), *_agreeing(group, tables, width, False))
-
-    return _dealt(large).groupBy("key", "p", "q").applyInArrow(match, "a bigint, b bigint").distinct()
-
-
-def _linked(large: DataFrame, docs: DataFrame, shingle: int, threshold: int, tables: int, width: int) -> DataFrame:
-    """The links across components of large buckets: all pairs that agree enough, held against each other where they meet."""
-    shape = "key bigint, table int, rep bigint, label bigint, minhashes array<int>, block bigint, p bigint, q bigint"
+    """The rows of large buckets in groups (key, p, q), where the rows of block p (left) meet the minor ones of block q (right)."""
+    each = large.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("items"))
+    held = each.groupBy("key").agg(F.max(F.struct("c", "label", "items")).alias("main"), F.sum("c").alias("m"), F.sum("items").alias("items"))
+    blocks = lambda rows, items: F.greatest(F.ceil(rows / BLOCK), F.ceil(items / BLOCK_ITEMS), F.lit(1).cast("bigint"))
+    held = held.select("key", F.col("main.label").alias("main"), blocks(F.col("m"), F.col("items")).alias("n_p"), blocks(F.col("m") - F.col("main.c"), F.col("items") - F.col("main.items")).alias("n_q"))
+    rows = large.join(held, "key").withColumn("minor", F.col("label") != F.col("main"))
+    rows = rows.withColumn("own_p", F.pmod(F.xxhash64("rep", F.lit(3)), "n_p")).withColumn("own_q", F.pmod(F.xxhash64("rep", F.lit(4)), "n_q"))
+    zero = F.lit(0).cast("bigint")
+    left = F.transform(F.sequence(zero, F.col("n_q") - 1), lambda q: F.struct(F.col("own_p").alias("p"), q.alias("q")))
+    right = F.transform(F.sequence(zero, F.col("n_p") - 1), lambda p: F.struct(p.alias("p"), F.col("own_q").alias("q")))
+    right = F.filter(right, lambda x: F.col("minor") & (x["p"] != F.col("own_p")))
+    met = rows.withColumn("at", F.explode(F.concat(left, right)))
+    return met.select("key", "table", "rep", "label", "n", "short", "minor", (F.col("at.p") == F.col("own_p")).alias("left"), (F.col("minor") & (F.col("at.q") == F.col("own_q"))).alias("right"), "at.p", "at.q")
+
+
+_GROUP = "key bigint, table int, rep bigint, label bigint, n bigint, short array<bigint>, minor boolean, left boolean, right boolean, p bigint, q bigint"
+
+
+def _meeting(group: pa.Table, tables: int, threshold: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each left row the right ones of another component and a fitting size, in the first table that both share."""
+    rep, label, n, minor, left, right = (group[x].to_numpy() for x in ("rep", "label", "n", "minor", "left", "right"))
+    short = group["short"].combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+    table = group["table"][0].as_py()
+    right = np.flatnonzero(right)
+    # Columns of the table's own keys agree by themselves; the pair has been here before where earlier ones on both sides do.
+    i, j = divmod(table, tables)
+    for at in np.flatnonzero(left):
+        fits = (label[right] != label[at]) & (np.minimum(n[right], n[at]) * 100 >= np.maximum(n[right], n[at]) * threshold)
+        if minor[at]:
+            fits &= rep[right] > rep[at]
+        other = right[fits]
+        for first, k in ((0, i), (tables, j)):
+            if k and len(other):
+                other = other[~(short[other, first : first + k] == short[at, first : first + k]).any(1)]
+        if len(other):
+            yield at, other
+
+
+def _linked(large: DataFrame, docs: DataFrame, shingle: int, threshold: int, tables: int) -> DataFrame:
+    """The links across components of large buckets, held against each other where they meet."""
 
     def wanted(group: pa.Table) -> pa.Table:
-        return group.take(np.unique(np.concatenate(_agreeing(group, tables, width, True))))
+        rows = [np.append(other, at) for at, other in _meeting(group, tables, threshold)]
+        kept = group.take(np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.int64))
+        return kept.set_column(kept.schema.get_field_index("short"), "short", kept["short"].cast(pa.list_(pa.int64())))
 
     def confirm(group: pa.Table) -> pa.Table:
-        i, j = _agreeing(group, tables, width, True)
-        items = group["items"].combine_chunks()
-        values, offsets = items.flatten().to_numpy(), items.offsets.to_numpy() - items.offsets[0].as_py()
-        size, linked = np.diff(offsets), np.zeros(len(i), bool)
-        order = np.argsort(i, kind="stable")
-        for at in np.split(order, np.flatnonzero(np.diff(i[order])) + 1) if len(i) else []:
-            own = np.sort(values[offsets[i[at[0]]] : offsets[i[at[0]] + 1]])
-            for k in at:
-                n = size[j[k]]
-                if min(n, len(own)) * 100 >= max(n, len(own)) * threshold:
-                    other = values[offsets[j[k]] : offsets[j[k] + 1]]
-                    shared = np.count_nonzero(own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other)
-                    linked[k] = shared * 100 >= (n + len(own) - shared) * threshold
-        return _pairs(group["rep"].to_numpy(), i[linked], j[linked])
-
-    rows = cut(_dealt(large).groupBy("key", "p", "q").applyInArrow(wanted, shape))
+        rep, items = group["rep"].to_numpy(), group["items"].combine_chunks()
+        offsets = items.offsets.to_numpy() - items.offsets[0].as_py()
+        known, ids = np.unique(items.flatten().to_numpy(), return_inverse=True)
+        size, a, b = np.diff(offsets), [], []
+        held = np.zeros(len(known), np.int64)
+        for at, other in _meeting(group, tables, threshold):
+            own = ids[offsets[at] : offsets[at + 1]]
+            held[own] = 1
+            flat = np.repeat(offsets[other] - np.cumsum(size[other]) + size[other], size[other]) + np.arange(size[other].sum())
+            shared = np.add.reduceat(held[ids[flat]], np.cumsum(size[other]) - size[other])
+            held[own] = 0
+            alike = other[shared * 100 >= (size[other] + size[at] - shared) * threshold]
+            a.append(np.minimum(rep[at], rep[alike]))
+            b.append(np.maximum(rep[at], rep[alike]))
+        flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)]
+        return pa.table({"a": pa.array(flat[0], pa.int64()), "b": pa.array(flat[1], pa.int64())})
+
+    rows = cut(_dealt(large).groupBy("key", "p", "q").applyInArrow(wanted, _GROUP))
     ids = cut(rows.select(F.col("rep").alias("id")).distinct())
-    texts = docs.join(sized(ids, BROADCAST_IDS), docs["doc_id"] == ids["id"], "left_semi").select("doc_id", "text")
-    sets = texts.mapInArrow(_set_maker(shingle), "id bigint, items array<bigint>")
-    met = rows.join(sets, F.col("rep") == F.col("id")).drop("id").groupBy("key", "p", "q").applyInArrow(confirm, "a bigint, b bigint")
-    return cut(met.distinct())
+    met = rows.join(_sets_of(ids, docs, shingle), F.col("rep") == F.col("id")).drop("id")
+    return cut(met.groupBy("key", "p", "q").applyInArrow(confirm, "a bigint, b bigint").distinct())
 
 
 def _across(rows: DataFrame) -> DataFrame:
@@ -200,11 +196,6 @@ def _across(rows: DataFrame) -> DataFrame:
     return rows.join(other, "key").where((F.col("label") != F.col("label_b")) & (F.col("rep") < F.col("b"))).select(F.col("rep").alias("a"), "b").distinct()
 
 
-def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """rows with the label of each rep's component (rep where it has none)."""
-    return rows.drop("label").join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
-
-
 def find_near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int = 75, tables: int = 10, width: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept (the component's smallest doc_id)."""
     spark = prepared(docs.sparkSession)
@@ -214,24 +205,24 @@ def find_near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int =
     short = F.expr(f"transform(sequence(0, {2 * tables - 1}), k -> xxhash64(k, slice(minhashes, k * {width} + 1, {width})))")
     table_keys = F.expr(f"flatten(transform(sequence(0, {tables - 1}), i -> transform(sequence({tables}, {2 * tables - 1}), j -> xxhash64(short[i], short[j]))))")
     keyed = reps.select("rep", short.alias("short")).select("rep", F.explode(table_keys).alias("key")).repartition(partitions(spark), "key")
-    leaders = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("m")).where("m > 1").drop("m")
-    grouped = cut(keyed.join(leaders, "key"))
-    tested = cut(grouped.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
+    shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    grouped = cut(keyed.join(shared, "key"))
+    degree = grouped.groupBy("rep").agg(F.sum("m").alias("degree"))
+    central = grouped.join(degree, "rep").groupBy("key").agg((-F.max(F.struct("degree", -F.col("rep")))["col2"]).alias("leader"))
+    tested = cut(grouped.join(central, "key").where("rep != leader").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct())
     links = _confirmed(tested, reps, docs, shingle, threshold)
     labels = hopped(links)
 
-    labelled = grouped.select("key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+    labelled = grouped.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = cut(_mixed_only(labelled))
-    small, large = mixed.where(F.col("m") <= SMALL_BUCKET), mixed.where(F.col("m") > SMALL_BUCKET)
-    table = (F.array_position(table_keys, F.col("key")) - 1).cast("int").alias("table")
-    large = cut(large.join(reps.select("rep", "minhashes", short.alias("short")), "rep").select("key", "rep", "label", "m", "minhashes", table))
-    untested = _across(small.select("key", "rep", "label")).unionByName(_matched(large, tables, width)).distinct().join(tested, ["a", "b"], "left_anti")
+    few, large = mixed.where(F.col("m") <= PAIR_ROWS), mixed.where(F.col("m") > PAIR_ROWS)
+    untested = _across(few.select("key", "rep", "label")).join(tested, ["a", "b"], "left_anti")
     links = links.unionByName(_confirmed(untested, reps, docs, shingle, threshold))
-    labels = components(links)
     if not large.isEmpty():
-        rest = _linked(_mixed_only(_relabelled(large, labels)), docs, shingle, threshold, tables, width)
-        if not rest.isEmpty():
-            labels = components(links.unionByName(rest))
+        table = (F.array_position(table_keys, F.col("key")) - 1).cast("int").alias("table")
+        large = large.join(reps.select("rep", "n", short.alias("short")), "rep").select("key", table, "rep", "label", "n", "short")
+        links = links.unionByName(_linked(large, docs, shingle, threshold, tables))
+    labels = components(links)
 
     sets = reps.select("s1", "s2", F.col("rep")).join(labels, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("label", "rep").alias("label"))
     # A row without a set or id belongs to no class, and would meet others under one hot key.

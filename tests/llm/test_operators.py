@@ -116,17 +116,46 @@ def test_near_duplicates_are_those_of_all_pairs(docs, rows):
     assert got == brute.components(rows)
 
 
-def test_large_groups_are_divided(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 2)
+@pytest.mark.parametrize(("pair_rows", "block", "items"), [(1, 4096, 1 << 22), (2, 3, 1 << 22), (1, 4096, 300), (10**6, 1, 1)])
+def test_the_way_a_bucket_goes_changes_nothing(spark, monkeypatch, pair_rows, block, items):
+    for name, value in (("PAIR_ROWS", pair_rows), ("BLOCK", block), ("BLOCK_ITEMS", items), ("LEADER_PAIRS", 1)):
+        monkeypatch.setattr(near_dedup, name, value)
     rows = brute.corpus(60, seed=8)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.find_near_duplicates(spark.createDataFrame(rows, brute.DOCS)).collect()}
     assert got == brute.components(rows)
 
 
-@pytest.mark.parametrize("block", [512, 16])
+@pytest.mark.parametrize("members", [15, 400])
+def test_a_group_of_any_size_keeps_its_links(spark, members):
+    """Members share 104 words, one document has these alone, and another's first 79 are linked with that one only."""
+    shared = [f"w{i}" for i in range(104)]
+    rows = [(i + 1, " ".join([*shared, f"x{i}", f"y{i}", f"z{i}"])) for i in range(members)] + [(5000, " ".join(shared)), (9000, " ".join(shared[:79]))]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.find_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got.values()) == {1}
+
+
+@pytest.mark.parametrize(("alike", "missed"), [(0.75, 3e-3), (0.8, 1e-3), (0.9, 1e-4)])
+def test_pairs_share_a_table(alike, missed):
+    """How often pairs of a given likeness share none of the tables."""
+    sketch, rng, n = near_dedup._sketcher(1, 10, 2), np.random.default_rng(1), 3000
+    total = 210
+    both = round(2 * alike * total / (1 + alike) / 2) * 1
+    own = round(both * (1 - alike) / alike / 2)
+    texts = []
+    for _ in range(n):
+        words = [f"{x:x}" for x in rng.integers(1 << 40, 1 << 41, both + 2 * own)]
+        texts += [" ".join(words[: both + own]), " ".join(words[:both] + words[both + own :])]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2 * n), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    found = pa.Table.from_batches(list(sketch(iter([batch]))))
+    least = found["minhashes"].combine_chunks().flatten().to_numpy().reshape(n, 2, 2, 10, 2)
+    same = (least[:, 0] == least[:, 1]).all(3).any(2).all(1)
+    assert (~same).mean() <= missed
+
+
+@pytest.mark.parametrize("block", [4096, 16])
 def test_a_star_whose_hub_stands_in_the_middle(spark, monkeypatch, block):
     """Edits of one original are alike with it alone, and its id is neither the smallest nor the largest."""
-    monkeypatch.setattr(near_dedup, "BLOCK", block, raising=False)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     random = np.random.default_rng(3)
     original = [f"w{i}" for i in range(400)]
     rows = []
