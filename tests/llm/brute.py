@@ -187,6 +187,58 @@ def base_scores(rows):
     return out
 
 
+def spelled(vocabulary, code, mixer, model):
+    """log10 probability of each word by a mixer that goes bit by bit, with counts in plain dictionaries."""
+    counts = defaultdict(lambda: [0, 0])
+
+    def steps(word):
+        text = word + b" "
+        for i, byte in enumerate(text):
+            back = [text[i - k] if i >= k else None for k in (1, 2, 3)]
+            contexts = [("place", min(i, 15)), ("one", *back[:1]), ("two", *back[:2]), ("three", *back)] + [("whole", text[:i] if i < model.WHOLE else None)]
+            for depth in range(code.length[byte]):
+                yield [(c, int(code.node[byte, depth])) for c in contexts], int(code.bit[byte, depth]), depth
+
+    for word, times in vocabulary.items():
+        for contexts, bit, _ in steps(word):
+            for c in contexts:
+                counts[c][bit] += times
+    out = {}
+    for word in vocabulary:
+        total = 0.0
+        for contexts, bit, depth in steps(word):
+            pairs = [(0, 0) if c[0] == ("whole", None) else counts[c] for c in contexts]
+            inputs = [math.log((b + model.SMOOTH) / (a + model.SMOOTH)) for a, b in pairs] + [1.0]
+            gate = min(depth, 7) * 8 + min(7, math.ceil(math.log2(1 + sum(pairs[-1])) / 2))
+            x = max(-15.0, min(15.0, sum(w * i for w, i in zip(mixer.weights[gate], inputs, strict=True))))
+            place = max(0.0, min(model.LEVELS - 1.001, x / model.WIDTH + (model.LEVELS - 1) / 2))
+            at, share = gate * model.LEVELS + int(place), place - int(place)
+            p = (1 / (1 + math.exp(-x)) + mixer.refine[at] * (1 - share) + mixer.refine[at + 1] * share) / 2
+            p = max(1e-6, min(1 - 1e-6, p))
+            total += math.log10(p if bit else 1 - p)
+        out[word] = total
+    return out
+
+
+def matches(texts):
+    """(row, token, hit, gate, length) of each token at which a word is expected; an end is one more token of its row."""
+    out, base = [], 0
+    for row, text in enumerate(texts):
+        w, last, run = [*words(text), None], {}, 0
+        for t in range(1, len(w)):
+            p = last.get(w[t - 1])
+            if p is None:
+                run = 0
+            else:
+                agree = t >= 2 and p >= 1 and w[p - 1] == w[t - 2]
+                hit = w[p + 1] == w[t]
+                out.append((row, base + t, hit, min(run, 3) << 1 | agree, min(run, 15)))
+                run = run + 1 if hit else 0
+            last[w[t - 1]] = t - 1
+        base += len(w)
+    return sorted(out)
+
+
 def judged(url, rules):
     host = path = ""
     if url and "://" in url:

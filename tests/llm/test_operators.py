@@ -361,9 +361,10 @@ def test_urls(spark, parts):
 # ---------------------------------------------------------------- 8
 
 
-@pytest.mark.parametrize("head", [1 << 20, 50])
-def test_language_model(docs, rows, monkeypatch, head):
+@pytest.mark.parametrize(("head", "ranged"), [(1 << 20, 40_000), (50, 40), (0, 7)])
+def test_language_model(docs, rows, monkeypatch, head, ranged):
     monkeypatch.setattr(language_model, "HEAD", head)
+    monkeypatch.setattr(language_model, "RANGE_WORDS", ranged)
     got = {r["doc_id"]: r for r in language_model.score_documents(docs).collect()}
     for doc, (held, n, known, total, base) in brute.base_scores(rows).items():
         r = got[doc]
@@ -371,40 +372,95 @@ def test_language_model(docs, rows, monkeypatch, head):
         assert math.isclose(r["base_score"], base, rel_tol=1e-9)
         assert r["score"] < 0
     real = [r for r in got.values() if r["n_tokens"] > 20 and r["n_known"] > 0.8 * r["n_tokens"]]
-    assert np.mean([r["bits_per_byte"] for r in real]) < 3.5
-
-
-def test_the_mixer_learns_from_all_training_words(docs, monkeypatch):
-    """With next to nothing in the sample it starts from, the model still learns how its predictors mix."""
-    seen = []
-    whole = language_model.score_documents(docs).agg(F.sum("score")).first()[0]
-    monkeypatch.setattr(language_model, "SAMPLE", 1)
-    fit = language_model.fit_mixer
-    monkeypatch.setattr(language_model, "fit_mixer", lambda *args: seen.append(len(args[1])) or fit(*args))
-    least = language_model.score_documents(docs).agg(F.sum("score")).first()[0]
-    print(seen, whole, least)
-    assert seen[0] < 10 and least > 1.1 * whole
-
-
-def test_the_model_is_a_distribution():
-    words = pa.array([b"aa", b"ab", b"b", b""], pa.binary())
-    counts = np.zeros(2 * language_model.SLOTS)
-    pieces = language_model._pieces(words)
-    for _, _, slots, _, bit in language_model._decisions(pieces):
-        for at in slots:
-            np.add.at(counts, at * 2 + bit, 5.0)
-    model = language_model.fit_mixer(counts.reshape(-1, 2).T, words, np.array([5, 5, 5, 5]))
-    # One byte and its space: all 256 first bytes share 1, and so does what can follow each of them.
-    single = language_model.score_words(model, pa.array([bytes([c]) for c in range(256)], pa.binary()))
-    ended = language_model.score_words(model, pa.array([b""], pa.binary()))[0]
-    assert 10.0**single @ np.ones(256) + 10.0**ended < 1 + 1e-9
-    assert language_model.score_words(model, words).sum() > language_model.score_words(model, pa.array([b"zz", b"qx", b"y", b"z"], pa.binary())).sum()
-    assert np.isfinite(language_model.score_words(model, pa.array([b"x" * 1000], pa.binary()))).all()
+    assert np.mean([r["bits_per_byte"] for r in real]) < 2.5
+
+
+def test_head_is_bounded(spark):
+    words = spark.createDataFrame([(i, 5000, 5000 + i % 2, -1.0) for i in range(20)], "h long, c long, n long, score double")
+    assert language_model._head(words, 19)[1].num_rows == 0
+    assert language_model._head(words, 20)[1].num_rows == 20
+
+
+def _spelled(vocabulary, monkeypatch=None, learned=True):
+    """A speller of some words and their counts, as one range; with monkeypatch of so many slots that no two contexts meet."""
+    if monkeypatch:
+        monkeypatch.setattr(language_model, "SLOT_BITS", (12, 22, 22, 22))
+        monkeypatch.setattr(language_model, "SLOT_BASE", np.cumsum([0, 1 << 12, 1 << 22, 1 << 22, 1 << 22]))
+    words, times = pa.array(sorted(vocabulary), pa.binary()), np.array([vocabulary[w] for w in sorted(vocabulary)])
+    letters = np.zeros(256)
+    for w, c in vocabulary.items():
+        letters += np.bincount(np.frombuffer(w + b" ", np.uint8), minlength=256) * c
+    code = language_model.byte_code(letters)
+    b = language_model._bytes(words)
+    d = language_model._decisions(b, code, 0, len(b.flat))
+    counts = np.zeros((2, language_model.SLOT_BASE[-1]), np.float32)
+    for at in d.slots:
+        np.add.at(counts, (d.bit, at), times[d.word])
+    nothing = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    speller = language_model.Speller(code, counts, nothing, language_model.SPELL_START)
+    if learned:
+        speller = speller._replace(mixer=language_model.averaged(speller.mixer, language_model.learn_words(speller, words, times)))
+    return speller, words, times
+
+
+def test_words_are_spelled_as_by_a_plain_mixer(monkeypatch):
+    vocabulary = {b"the": 50, b"then": 7, b"th": 3, b"other": 9, b"": 12, "été".encode(): 4, b"new": 0, b"thenceforth" * 5: 1}
+    speller, words, times = _spelled(vocabulary, monkeypatch)
+    got = dict(zip(sorted(vocabulary), language_model.score_words(speller, words, times), strict=True))
+    assert got == pytest.approx(brute.spelled(vocabulary, speller.code, speller.mixer, language_model), rel=1e-6)
+    monkeypatch.setattr(language_model, "STEP", 13)
+    assert got == pytest.approx(dict(zip(sorted(vocabulary), language_model.score_words(speller, words, times), strict=True)), rel=1e-12)
+
+
+def test_prefixes_across_ranges_are_counted_over_all(spark):
+    rng = np.random.default_rng(2)
+    vocabulary = {bytes(rng.choice(list(b"aben"), rng.integers(1, 9)).astype(np.uint8)): int(rng.integers(0, 9)) for _ in range(200)}
+    speller, words, times = _spelled(vocabulary, learned=False)
+    whole = dict(zip(sorted(vocabulary), language_model.score_words(speller, words, times), strict=True))
+    rows = spark.createDataFrame([(bytearray(w), c) for w, c in vocabulary.items()], "word binary, c long")
+    ranged = rows.repartitionByRange(9, "word").sortWithinPartitions("word").cache()
+    ranges = language_model._speller(ranged, speller.code)
+    assert np.array_equal(ranges.counts, speller.counts) and len(ranges.edge[0])
+    got = {}
+    for part in ranged.withColumn("at", F.spark_partition_id()).toPandas().groupby("at"):
+        own = pa.array([bytes(w) for w in part[1]["word"]], pa.binary())
+        got |= dict(zip(own.to_pylist(), language_model.score_words(ranges, own, part[1]["c"].to_numpy()), strict=True))
+    assert got == pytest.approx(whole, rel=1e-9)
+
+
+def test_the_speller_is_a_distribution(monkeypatch):
+    speller, words, times = _spelled({b"aa": 5, b"ab": 5, b"b": 5, b"": 5}, monkeypatch)
+    # One byte and its space, within the range of all words: what can come first shares 1.
+    every = sorted({b"aa", b"ab", b"b", b""} | {bytes([c]) for c in range(256) if c != 32})
+    score = language_model.score_words(speller, pa.array(every, pa.binary()), np.array([5 if w in (b"aa", b"ab", b"b", b"") else 0 for w in every]))
+    assert 0.5 < (10.0**score).sum() < 1 + 1e-9
+    long = language_model.score_words(speller, pa.array([b"x" * 100_000], pa.binary()), np.array([0]))
+    assert np.isfinite(long).all()
+
+
+def test_matches_are_those_of_a_plain_loop():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcdefgh"), n)) for n in (0, 1, 2, 40, 300)] + ["x y z x y z x y z", None]
+    words = words_of(text_of(pa.array(texts)))
+    found = language_model._matches(words)
+    got = sorted(zip(found.row.tolist(), found.token.tolist(), found.hit.tolist(), found.gate.tolist(), (found.slots[0] >> 1).tolist(), strict=True))
+    assert got == brute.matches(texts)
+
+
+def test_repeated_passages_cost_little(spark):
+    rng = np.random.default_rng(6)
+    make = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(40))
+    rows = [(i, (lambda t: f"{t} {t}")(make()) if i % 2 else f"{make()} {make()}") for i in range(300)]
+    got = language_model.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    twice, once = ([r["bits_per_byte"] for r in got if r["doc_id"] % 2 == k] for k in (1, 0))
+    assert np.mean(twice) < 0.65 * np.mean(once)
 
 
 def test_language_model_of_odd_tables(empty, clashing):
     assert language_model.score_documents(empty).count() == 0
-    assert language_model.score_documents(clashing).count() == 5
+    got = language_model.score_documents(clashing).collect()
+    assert sorted(r["n_tokens"] for r in got) == [1, 1, 5, 11, 11] and all(r["score"] < 0 for r in got)
+    assert len({r["score"] for r in got if r["n_tokens"] == 11}) == 1
 
 
 # ---------------------------------------------------------------- 9
