@@ -1,17 +1,19 @@
 """Personal data, and the terms that give it away.
 
-Four kinds are found by pattern.  Around each find lies a context of ``reach``
-words to either side.  Over the whole corpus the pointwise mutual information
-of a term and a kind's contexts says how strongly the term reveals that such
-data stand near: log2(P(context | term) / P(context)).  A term whose
-information reaches ``disclosure`` of the most it could be (the information
-content of the contexts), with enough support, is a quasi-identifier of that
-kind; wherever it stands outside a find, in any document, it is a span of kind
-``term`` and is generalised together with the data.
-
-Terms are counted per task before they are shuffled.  Only terms with enough
-support in contexts are counted over the corpus, through a broadcast of checked
-size or else a shuffled join.
+Four kinds are found by pattern.  A find's value (letters lower-cased, of numbers
+the digits) is a protected entity.  Around each find lies a context of ``reach``
+words to either side.  Over the whole corpus the pointwise mutual information of a
+term and an entity's contexts says how strongly the term reveals the entity:
+log2(P(context | term) / P(context)).  A term whose information reaches
+``disclosure`` of the most it could be (the information content of the entity's
+contexts), with enough support in ``spread`` different texts, gives the entity away:
+wherever it stands outside a find, in any document, it is a span of kind ``term``
+and is generalised together with the data.  Words that stand beside many entities
+("mail", "call") tell little of each and stay.
+
+Terms and entities are counted per task before they are shuffled.  Only terms with
+enough support are counted over the corpus, and only those that reveal are looked
+for in the documents, each through a broadcast of checked size or else a shuffled join.
 
 Defined results: a null text counts as empty; finds of one kind never overlap,
 leftmost first, and a match that fails its check is passed over whole; rows
@@ -25,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_ALNUM, cut, prepared, signed, sized, slices, text_of, words_of
+from .common import NON_ALNUM, U64, cut, prepared, signed, sized, slices, sorted_unique, text_of, words_of
 from .spans import Span, digest, joined, passes_luhn
 
 KINDS = ("email", "ip", "card", "phone")
@@ -41,9 +44,10 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Terms up to which their hashes are broadcast.
-BROADCAST_TERMS = 2_000_000
+BROADCAST_TERMS = 500_000
+_LOWERED = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-_ITEMS = "array<struct<h:bigint,kind:int,start:int,end:int>>"
+_ITEMS = "array<struct<h:bigint,entity:bigint>>"
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -63,7 +67,7 @@ def base_spans(text: str) -> list[Span]:
     """Pattern finds by kind as listed, then start."""
     out = [("email", a, b) for a, b in _emails(text)]
     for m in IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.group().split(".")):
+        if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or "0") <= 255 for x in m.group().split(".")):
             out.append(("ip", *m.span()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13:
@@ -77,8 +81,14 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def _contexts(text: str, spans: list[Span], reach: int) -> list[tuple[int, int, int, int]]:
-    """(hash, kind, start, end) of each word within reach of a find and outside all finds, once a kind."""
+def entity_of(kind: str, found: str) -> int:
+    """A hash of what a find stands for, however it is written."""
+    value = found.translate(_LOWERED) if kind == "email" else re.sub("[^0-9.]" if kind == "ip" else "[^0-9]", "", found)
+    return xxhash.xxh3_64_intdigest(f"{kind}:{value}") - (1 << 63)
+
+
+def _contexts(text: str, spans: list[Span], reach: int) -> list[tuple[int, int]]:
+    """(hash, entity) of each word within reach of a find and outside all finds, once an entity and place."""
     coded = text_of(pa.array([text]))
     words = words_of(coded, NON_ALNUM)
     if not len(words.starts):
@@ -91,9 +101,10 @@ def _contexts(text: str, spans: list[Span], reach: int) -> list[tuple[int, int,
     for kind, a, b in spans:
         first, past = int(np.searchsorted(end, a, "right")), int(np.searchsorted(start, b))
         free[first:past] = False
-        near += [(KINDS.index(kind), i) for i in (*range(max(0, first - reach), first), *range(past, min(len(start), past + reach)))]
+        entity = entity_of(kind, text[a:b])
+        near += [(entity, i) for i in (*range(max(0, first - reach), first), *range(past, min(len(start), past + reach)))]
     h = words.hashes.view(np.int64)
-    return [(int(h[i]), k, int(start[i]), int(end[i])) for k, i in sorted(set(near)) if free[i]]
+    return [(int(h[i]), e) for e, i in sorted(set(near)) if free[i]]
 
 
 def _finder(reach: int):
@@ -105,11 +116,11 @@ def _finder(reach: int):
                 counts.append([sum(k == kind for k, _, _ in found) for kind in KINDS])
                 sums.append(digest(found))
                 spans.append(joined(found))
-                near.append([{"h": h, "kind": k, "start": a, "end": b} for h, k, a, b in _contexts(text, found, reach)] if found else [])
+                near.append([{"h": h, "entity": e} for h, e in _contexts(text, found, reach)] if found else [])
             for _, _, part in slices(text_of(batch["text"])):
                 words.append(np.diff(words_of(part, NON_ALNUM).first))
             columns = [*(pa.array([c[i] for c in counts], pa.int64()) for i in range(len(KINDS))), pa.array(sums), pa.array(spans), signed(np.concatenate(words)) if words else pa.array([], pa.int64())]
-            kind = pa.list_(pa.struct([("h", pa.int64()), ("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+            kind = pa.list_(pa.struct([("h", pa.int64()), ("entity", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], *columns, pa.array(near, kind)], ["doc_id", "row", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "n_words", "near"])
 
     return find
@@ -123,40 +134,47 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([signed(h), signed(n)], ["h", "n"])
 
 
-def _free_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, row, h, start, end) of each word outside all finds."""
-    for batch in batches:
-        for i, text in enumerate(batch["text"].to_pylist()):
-            coded = text_of(pa.array([text or ""]))
-            words = words_of(coded, NON_ALNUM)
-            if not len(words.starts):
-                continue
-            point = np.zeros(len(coded.data) + 1, np.int64)  # code points before a byte
-            np.cumsum((coded.data & 0xC0) != 0x80, out=point[1:])
-            start, end = point[words.starts], point[words.ends]
-            free = np.ones(len(start), bool)
-            for _, a, b in base_spans(text):
-                free[np.searchsorted(end, a, "right") : np.searchsorted(start, b)] = False
-            n = int(free.sum())
-            if n:
-                of = pa.array(np.full(n, i))
-                columns = [batch["doc_id"].take(of), batch["row"].take(of), signed(words.hashes[free]), pa.array(start[free].astype(np.int32)), pa.array(end[free].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "h", "start", "end"])
+def _free_words(known: np.ndarray | None):
+    """(doc_id, row, h, start, end) of each word outside all finds, only of the known hashes if there are some (sorted)."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, part in slices(text_of(batch["text"])):
+                words = words_of(part, NON_ALNUM)
+                at = np.arange(len(words.hashes))
+                if known is not None:
+                    at = at[known[np.minimum(np.searchsorted(known, words.hashes), len(known) - 1)] == words.hashes]
+                rows = words.rows()[at]
+                point = np.zeros(len(part.data) + 1, np.int64)  # code points before a byte
+                np.cumsum((part.data & 0xC0) != 0x80, out=point[1:])
+                base = point[part.offsets[:-1][rows]]
+                start, end = point[words.starts[at]] - base, point[words.ends[at]] - base
+                free = np.ones(len(at), bool)
+                for row in sorted_unique(rows):
+                    a, b = np.searchsorted(rows, [row, row + 1])
+                    for _, first, past in base_spans(batch["text"][lo + int(row)].as_py() or ""):
+                        free[a + np.searchsorted(end[a:b], first, "right") : a + np.searchsorted(start[a:b], past)] = False
+                if free.any():
+                    of = pa.array(lo + rows[free])
+                    columns = [batch["doc_id"].take(of), batch["row"].take(of), signed(words.hashes[at[free]]), pa.array(start[free].astype(np.int32)), pa.array(end[free].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "h", "start", "end"])
+
+    return find
 
 
 def _revealing(docs: DataFrame, found: DataFrame, disclosure: float, support: int, spread: int) -> DataFrame:
-    """(h, kind) of the terms that reveal a kind's contexts."""
-    near = found.where(F.size("near") > 0).select("doc_id", "row", F.explode("near").alias("x")).select("doc_id", "row", "x.h", "x.kind")
-    each = near.groupBy("h", "kind", "doc_id", "row").agg(F.count("*").alias("c"))
-    terms = cut(each.groupBy("h", "kind").agg(F.sum("c").alias("both"), F.count("*").alias("docs")).where((F.col("both") >= support) & (F.col("docs") >= spread)))
+    """(h, entity) of the terms that reveal an entity."""
+    near = found.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.h", "x.entity")
+    each = near.groupBy("h", "entity", "row").agg(F.count("*").alias("c"))
+    terms = cut(each.groupBy("h", "entity").agg(F.sum("c").alias("both"), F.count("*").alias("texts")).where((F.col("both") >= support) & (F.col("texts") >= spread)))
     words = found.agg(F.sum("n_words")).first()[0] or 0
-    held = near.groupBy("kind").agg(F.count("*").alias("held"))
+    held = near.groupBy("entity").agg(F.count("*").alias("held"))
     hashes = cut(terms.select("h").distinct())
     counted = docs.select("text").mapInArrow(_count_terms, "h bigint, n bigint")
     n = counted.join(sized(hashes, BROADCAST_TERMS), "h", "left_semi").groupBy("h").agg(F.sum("n").alias("n"))
     content = -F.log2(F.col("held") / F.lit(max(1, words)))
     information = F.log2(F.col("both") / F.col("n")) + content
-    return terms.join(n, "h").join(F.broadcast(held), "kind").where(information >= disclosure * content).select("h", "kind")
+    return terms.join(n, "h").join(held, "entity").where(information >= disclosure * content).select("h", "entity")
 
 
 def find_personal_data(docs: DataFrame, *, reach: int = 5, disclosure: float = 0.9, support: int = 5, spread: int = 3) -> DataFrame:
@@ -165,12 +183,16 @@ def find_personal_data(docs: DataFrame, *, reach: int = 5, disclosure: float = 0
     slim = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
     shape = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, row bigint, {', '.join(f'n_{k} bigint' for k in KINDS)}, base_sha256 string, base string, n_words bigint, near {_ITEMS}"
     found = cut(slim.mapInArrow(_finder(reach), shape))
-    telling = cut(_revealing(docs, found, disclosure, support, spread))
+    telling = cut(_revealing(docs, found, disclosure, support, spread).select("h").distinct())
     empty = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    if telling.isEmpty():
+    shape = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, row bigint, h bigint, start int, end int"
+    n = telling.count()
+    if not n:
         return found.drop("near", "n_words").withColumn("terms", empty)
-    words = slim.mapInArrow(_free_words, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, row bigint, h bigint, start int, end int")
-    marked = words.join(sized(cut(telling.select("h").distinct()), BROADCAST_TERMS), "h", "left_semi")
+    if n <= BROADCAST_TERMS:
+        marked = slim.mapInArrow(_free_words(np.sort(telling.toArrow()["h"].to_numpy().view(U64))), shape)
+    else:
+        marked = slim.mapInArrow(_free_words(None), shape).join(telling, "h", "left_semi")
     terms = marked.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
     right = terms.withColumnsRenamed({"doc_id": "_id", "row": "_row"})
     both = found.drop("near", "n_words").join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left").drop("_id", "_row")
