@@ -11,7 +11,8 @@ smallest hashed doc_id; scores cover every document and its whole text.
 
 Defined results: a null or wordless text scores the bias alone; repeated rows
 score alike; several labels of one document count as the largest; null labels
-and labels without a document teach nothing; without any label every score is
+and labels without a document teach nothing; of rows that share a doc_id the text of the
+largest hash teaches; without any label every score is
 0.5; a null doc_id is never trained on and not held out.
 """
 
@@ -98,7 +99,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, bits: int = BITS, max_rows: int =
     prepared(docs.sparkSession)
     taught = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     taught = taught.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("_toxic")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    rows = docs.join(F.broadcast(taught), docs["doc_id"] == taught["_id"]).select(docs["doc_id"], F.col("_toxic").alias("toxic"), "text")
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows = slim.join(F.broadcast(taught), slim["doc_id"] == taught["_id"]).select("doc_id", F.col("_toxic").alias("toxic"), "text")
+    # One text of each id, so that the bound holds for rows.
+    rows = rows.groupBy("doc_id", "toxic").agg(F.max(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
     featured = rows.mapInArrow(_featured(bits), "doc_id bigint, toxic int, features array<int>")
     # One task learns from bounded rows, each epoch in another order.
     repeated = featured.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
