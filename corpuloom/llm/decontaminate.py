@@ -8,9 +8,10 @@ meets a window only where that shingle stands; from its offset in the window
 follows the only possible start, which length and position bounds and then a
 comparison of all the window's words confirm.
 
-The documents are never shuffled.  The benchmark is dealt into blocks of about
+Documents are not shuffled.  The benchmark is dealt into blocks of about
 ``block_words`` words, each of which is broadcast; every document is held
-against every block.
+against every block.  What further blocks find is joined by the text's hash, for which
+documents are shuffled only where many texts are found.
 
 Defined results: a null or wordless text has no words, no hits and is clean; a
 null or wordless item has no windows; items of equal text are all reported;
@@ -28,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_ALNUM, U64, Words, list_array, masked, prepared, sequence_hash, signed, slices, text_of, unmasked, words_of
+from .common import NON_ALNUM, U64, Words, cut, fresh, list_array, masked, prepared, sequence_hash, signed, sized, slices, text_of, unmasked, words_of
 
 FILTER_BITS = 20
+#: Texts found by further blocks up to which their spans are broadcast.
+BROADCAST_TEXTS = 50_000
 FOUND = "n_words bigint, hits array<struct<start:int,end:int>>, items array<string>"
 
 
@@ -199,31 +202,38 @@ def _scanner(shared, names: list[str]):
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, keys: list[str], window: int = 13, token: int = 3, block_words: int = 2_000_000) -> DataFrame:
     """One row per document: keys, n_words, hits (merged spans of word positions), items (ids of occurring items).
 
-    keys: columns of docs to carry along.
+    keys: columns of docs to carry along.  Results depend on the text alone, so what further blocks of the
+    benchmark find is kept by text and joined.
     """
     prepared(docs.sparkSession)
     items = benchmark.select("item_id", "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (4 * block_words)))
-    slim, found, names = docs.select(*dict.fromkeys([*keys, "text"])), [], list(keys)
+    slim, names = docs.select(*dict.fromkeys([*keys, "text"])), list(keys)
+    own = [fresh("_key", slim.columns), fresh("_more", slim.columns)]
     if blocks > 1:
-        slim, names = slim.withColumn("_text_key", F.xxhash64("text")), [*keys, "_text_key"]
-    shape = ", ".join(f"`{x}` {slim.schema[x].dataType.simpleString()}" for x in names) + f", {FOUND}"
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block) if blocks > 1 else items
-        w = _windows(own.toArrow(), window)
+        slim, names = slim.withColumns({own[0]: F.xxhash64("text"), own[1]: F.xxhash64("text", F.lit(1))}), [*keys, *own]
+
+    def scanned(block: int, columns: list[str]) -> DataFrame:
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
+        w = _windows(part.toArrow(), window)
         shared = docs.sparkSession.sparkContext.broadcast((w, _prefixes(docs, w, token) if len(w.first) else []))
-        found.append(slim.mapInArrow(_scanner(shared, names), shape))
+        shape = ", ".join(f"`{x}` {slim.schema[x].dataType.simpleString()}" for x in columns) + f", {FOUND}"
+        return slim.select(*dict.fromkeys([*columns, "text"])).mapInArrow(_scanner(shared, columns), shape)
+
+    first = scanned(0, names)
     if blocks == 1:
-        return found[0]
-    # Rows of equal keys and text have equal results, so that one of them stands for all.
-    union = found[0].dropDuplicates(names)
-    for more in found[1:]:
-        union = union.unionByName(more.dropDuplicates(names))
-    merged = union.groupBy(*names).agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
-    left, right = slim.select(*names), merged.withColumnsRenamed({x: f"_r_{x}" for x in names})
-    on = [left[x].eqNullSafe(right[f"_r_{x}"]) for x in names]
-    return left.join(right, on, "left").select(*keys, "n_words", _merged_spans(F.col("hits")).alias("hits"), "items")
+        return first
+    rest = [scanned(block, own).where(F.size("hits") > 0).groupBy(*own).agg(F.first("hits").alias("hits"), F.first("items").alias("items")) for block in range(1, blocks)]
+    union = rest[0]
+    for more in rest[1:]:
+        union = union.unionByName(more)
+    found = cut(union.groupBy(*(F.col(x).alias(f"_r{i}") for i, x in enumerate(own))).agg(F.flatten(F.collect_list("hits")).alias("_r_hits"), F.flatten(F.collect_list("items")).alias("_r_items")))
+    both = first.join(sized(found, BROADCAST_TEXTS), (F.col(own[0]) == F.col("_r0")) & (F.col(own[1]) == F.col("_r1")), "left")
+    none = F.array().cast("array<string>")
+    hits = F.when(F.col("_r_hits").isNull(), F.col("hits")).otherwise(_merged_spans(F.concat("hits", "_r_hits")))
+    every = F.array_sort(F.concat("items", F.coalesce("_r_items", none)))
+    return both.select(*keys, "n_words", hits.alias("hits"), every.alias("items"))
 
 
 def _merged_spans(spans):
