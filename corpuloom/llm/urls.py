@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, prepared
+from .common import cut, fresh, partitions, prepared
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATOR = "\x01"
@@ -114,12 +114,16 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, *, keys: list[str], default: str = "allow") -> DataFrame:
-    """keys, host, path, rule (null if none) and verdict of each row of pages (url); rules: verdict, host, path."""
+    """keys, host, path, rule (null if none) and verdict of each row of pages (url); rules: verdict, host, path.
+
+    Of the four columns, one whose name is among keys gets an underscore.
+    """
     spark = prepared(pages.sparkSession)
     n = partitions(spark)
     host, path = host_and_path(F.col("url"))
-    named = pages.select(*keys, host.alias("_host"), path.alias("_path"))
-    urls = cut(named.select(F.col("_host").alias("host"), F.col("_path").alias("path")).distinct())
+    named = pages.select(*(F.col(k).alias(f"_c{i}") for i, k in enumerate(keys)), host.alias("_host"), path.alias("_path"))
+    # What has no host has no rule, and would be one hot key.
+    urls = cut(named.where("_host != ''").select(F.col("_host").alias("host"), F.col("_path").alias("path")).distinct())
     sample = urls.mapInArrow(_keys_only, "key string").orderBy(F.xxhash64("key"), "key").limit(SAMPLE * n)
     drawn = sorted(r["key"] for r in sample.collect())
     bounds = [drawn[len(drawn) * i // n] for i in range(1, n)] if drawn else []
@@ -128,5 +132,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, keys: list[str], default:
     swept = events.repartitionById(len(bounds) + 1, F.col("pid")).sortWithinPartitions("pid", "key", "at", "verdict")
     found = swept.mapInArrow(_sweep, "host string, path string, length int, host_length int, rule string, verdict string")
     best = found.groupBy("host", "path").agg(F.max(F.struct("length", "host_length", "rule", "verdict")).alias("best"))
-    judged = named.join(best, (F.col("_host") == F.col("host")) & (F.col("_path") == F.col("path")), "left")
-    return judged.select(*keys, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    judged = named.where("_host != ''").join(best, (F.col("_host") == F.col("host")) & (F.col("_path") == F.col("path")), "left").drop("host", "path")
+    every = judged.unionByName(named.where("_host = ''"), allowMissingColumns=True)
+    out = {"host": F.col("_host"), "path": F.col("_path"), "rule": F.col("best.rule"), "verdict": F.coalesce("best.verdict", F.lit(default))}
+    return every.select(*(F.col(f"_c{i}").alias(k) for i, k in enumerate(keys)), *(x.alias(fresh(name, keys)) for name, x in out.items()))
