@@ -8,10 +8,10 @@ above both neighbours' begins a phrase; a phrase's name is a hash of its symbols
 and is a symbol of the next level.  Equal substrings are therefore cut and named
 alike inside, wherever they stand.
 
-The fingerprint is the ``size`` smallest hashed names of the levels kept (phrases of
-about a dozen and a few dozen bytes) together with the name of the whole text
-where a text is shorter than that; likeness estimates the share of names that two
-texts have in common.
+The fingerprint is the ``size`` smallest hashed names of all levels from the second on
+(phrases of about a dozen bytes, of a few dozen, and so on up to passages and whole
+texts) together with the name of the whole text where a text is shorter than that;
+likeness estimates the share of names that two texts have in common.
 
 ``edited_pairs`` needs each document beside the next one in descending doc_id.
 Documents are dealt into ranges of doc_id, each with a copy of the next range's
@@ -35,8 +35,10 @@ from pyspark.sql import functions as F
 from .common import SLICE_BYTES, U64, _power_tables, mix, partitions, prepared, sorted_unique
 
 ROUNDS = 4
-LEVELS = 3
-KEPT = (2, 3)
+#: A phrase of the last level is a passage of half a million bytes or so; the parse ends before where every text is one name.
+LEVELS = 12
+#: The first level whose names are kept.
+KEPT = 2
 SIZE = 48
 #: Ids in the sample for each range.
 SAMPLE = 64
@@ -133,9 +135,11 @@ def _sliced(texts: list[bytes], size: int) -> list[np.ndarray]:
         names, first = _level(names, first)
         rows = np.repeat(np.arange(len(full)), np.diff(first))
         whole = np.diff(first)[rows] == 1  # the name of a whole text, on whatever level it is reached
-        chosen = np.ones(len(rows), bool) if level in KEPT else whole
+        chosen = np.ones(len(rows), bool) if level >= KEPT else whole
         kept.append((mix(names[chosen] + U64(level)) >> U64(32)).astype(np.int64))
         owner.append(rows[chosen])
+        if len(names) == len(full):
+            break
     pairs = sorted_unique(np.concatenate(owner) << 32 | np.concatenate(kept))
     rows, values = pairs >> 32, (pairs & 0xFFFFFFFF).astype(np.uint32)
     edge = np.searchsorted(rows, np.arange(len(full) + 1))
