@@ -48,7 +48,7 @@ SLOT_BITS = (12, 16, 18, 20)
 #: Bytes of a word that have the word so far as a context.
 WHOLE = 32
 #: Words in a range at most, on average.
-RANGE_WORDS = 40_000
+RANGE_WORDS = 30_000
 #: Decisions that a step of scoring works on; steps of an epoch of learning, and epochs.
 STEP, STEPS, EPOCHS = 1 << 18, 64, 2
 HEAD = 1 << 20
@@ -418,6 +418,16 @@ def _taken(text: Text, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(LOWER[text.data[at]])])
 
 
+def _rows_of(words: Words, limit: int = 1 << 17) -> Iterator[tuple[int, int, Words]]:
+    """Runs of rows of at most limit words, or of one row."""
+    n, lo = len(words.first) - 1, 0
+    while lo < n:
+        hi = min(n, max(lo + 1, int(np.searchsorted(words.first, words.first[lo] + limit, "right")) - 1))
+        a, b = words.first[lo], words.first[hi]
+        yield lo, hi, Words(words.starts[a:b], words.ends[a:b], words.hashes[a:b], words.first[lo : hi + 1] - a, words.sums)
+        lo = hi
+
+
 def _marked(kind: bytes, sums: np.ndarray) -> pa.RecordBatch:
     """Learned numbers as rows to be summed like counts."""
     at = np.flatnonzero(sums)
@@ -438,7 +448,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = np.bincount(which, own.astype(np.float64), len(at)).astype(np.int64)
             n = np.bincount(which, minlength=len(at))
             letters += np.bincount(np.where(WHITESPACE, 0x20, LOWER)[text.data], minlength=256)
-            learner.learn(_matches(words), teaches[lo:hi])
+            for a, b, part in _rows_of(words):
+                learner.learn(_matches(part), teaches[lo + a : lo + b])
             yield pa.RecordBatch.from_arrays([_taken(text, words.starts[at], words.ends[at]), pa.array(c), signed(n)], ["word", "c", "n"])
     yield _marked(b"b", letters)
     yield _marked(b"m", learner.sums())
@@ -485,7 +496,7 @@ def _slot_counter(shared):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, prefixes = shared.value
         counts = np.zeros(2 * SLOT_BASE[-1])
-        for words in _joined(batches, 20_000):
+        for words in _joined(batches, 10_000):
             times = words["c"].to_numpy().astype(np.float64)
             b = _bytes(_column(words, "word"))
             d = _decisions(b, code, 0, len(b.flat))
