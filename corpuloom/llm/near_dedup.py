@@ -205,7 +205,8 @@ def find_near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: int =
     short = F.expr(f"transform(sequence(0, {2 * tables - 1}), k -> xxhash64(k, slice(minhashes, k * {width} + 1, {width})))")
     table_keys = F.expr(f"flatten(transform(sequence(0, {tables - 1}), i -> transform(sequence({tables}, {2 * tables - 1}), j -> xxhash64(short[i], short[j]))))")
     keyed = reps.select("rep", short.alias("short")).select("rep", F.explode(table_keys).alias("key")).repartition(partitions(spark), "key")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    # Reading both columns on both sides, so that one exchange serves them.
+    shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").drop("low", "high")
     grouped = cut(keyed.join(shared, "key"))
     degree = grouped.groupBy("rep").agg(F.sum("m").alias("degree"))
     central = grouped.join(degree, "rep").groupBy("key").agg((-F.max(F.struct("degree", -F.col("rep")))["col2"]).alias("leader"))
