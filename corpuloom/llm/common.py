@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -44,16 +45,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; one under the warehouse only where Spark is local and has none."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("name a folder that the driver and all executors share in spark.checkpoint.dir")
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints").rstrip("/")
 
-    The folder is the one named in ``spark.checkpoint.dir``; one under the
-    warehouse is set only where the session has none.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared checkpoint folder and go on from there."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(folder or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -139,7 +139,7 @@ def luhn(digits):
 def personal(text):
     text, out = text or "", []
     out += [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
-    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m.group().split("."))]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(len(x.lstrip("0")) < 4 and int("0" + x.lstrip("0")) <= 255 for x in m.group().split("."))]
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
         digits = re.sub("[ -]", "", m.group())
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -148,6 +148,36 @@ def personal(text):
     return out
 
 
+def _free(text):
+    """(word, start, end, finds) of the words outside all finds, and the finds."""
+    found = personal(text)
+    every = [(m.group(), *m.span()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWERED))]
+    return every, [w for w in every if all(w[2] <= a or b <= w[1] for _, a, b in found)], found
+
+
+def revealing(rows, entity_of, reach, disclosure, support, spread):
+    both, texts, held, n, total = defaultdict(int), defaultdict(set), defaultdict(int), defaultdict(int), 0
+    for _, text in rows:
+        every, free, found = _free(text)
+        total += len(every)
+        for w, _, _ in every:
+            n[w] += 1
+        near = set()
+        for kind, a, b in found:
+            before, after = [w for w in every if w[2] <= a][-reach:], [w for w in every if w[1] >= b][:reach]
+            near |= {(w, entity_of(kind, text[a:b])) for w in before + after if w in free}
+        for w, e in near:
+            both[w[0], e] += 1
+            texts[w[0], e].add(text)
+            held[e] += 1
+    content = {e: -math.log2(c / total) for e, c in held.items()}
+    return {w for (w, e), c in both.items() if c >= support and len(texts[w, e]) >= spread and math.log2(c / n[w]) + content[e] >= disclosure * content[e]}
+
+
+def stands(text, terms):
+    return [(a, b) for w, a, b in _free(text)[1] if w in terms]
+
+
 def secret(text):
     text, out = text or "", []
     name = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in "(password|passwd|secret|token|api_?key)")
@@ -157,6 +187,23 @@ def secret(text):
     return sorted(out, key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
 
 
+def ftrl(rows, bias, alpha, beta, l1, l2):
+    """Weights of FTRL-proximal over (features, label), one coordinate at a time."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        over = abs(z[i]) - (0.0 if i == bias else l1)
+        return -math.copysign(over, z[i]) / ((beta + math.sqrt(n[i])) / alpha + l2) if over > 0 else 0.0
+
+    for features, label in rows:
+        w = {i: weight(i) for i in (*features, bias)}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - label
+        for i in w:
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+            n[i] += g * g
+    return {i: w for i in z if (w := weight(i))}
+
+
 def edited(rows):
     order = sorted((r[0] for r in rows), reverse=True)
     text = {r[0]: r[1] or "" for r in rows}
@@ -168,6 +215,33 @@ def edited(rows):
     return out
 
 
+def phrases(symbols, rounds):
+    """One level of locally consistent parsing: the phrases, as tuples of (symbol, run length)."""
+    runs = []
+    for x in symbols:
+        if runs and runs[-1][0] == x:
+            runs[-1][1] += 1
+        else:
+            runs.append([x, 1])
+    label = [x for x, _ in runs]
+    for _ in range(rounds):
+        new = []
+        for i, own in enumerate(label):
+            left = label[i - 1] if i else own ^ 1
+            bit = 0
+            while not (own ^ left) >> bit & 1:
+                bit += 1
+            new.append(2 * bit + (own >> bit & 1))
+        label = new
+    out = []
+    for i, (x, n) in enumerate(runs):
+        peak = i and label[i] > label[i - 1] and (i == len(runs) - 1 or label[i] >= label[i + 1])
+        if not i or peak:
+            out.append([])
+        out[-1].append((x, n))
+    return [tuple(x) for x in out]
+
+
 def crc(doc, n):
     return zlib.crc32(str(doc).encode()) % n
 

@@ -208,6 +208,22 @@ def test_edited_pairs(docs, rows):
     assert np.mean([r["near_edited"] for r in long]) > 0.3 > np.mean([r["near_next"] for r in long])
 
 
+def test_levels_are_those_of_a_plain_parser():
+    rng = np.random.default_rng(12)
+    texts = [bytes(rng.choice(list(alphabet), n).astype(np.uint8)) for n in (1, 2, 3, 9, 40, 700) for alphabet in (b"ab", b"abcdefghijklmnop", bytes(range(256)))] + [b"a" * 50]
+    names, first = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    plain = [list(x) for x in texts]
+    for _ in range(4):
+        parsed = [brute.phrases(row, fingerprint.ROUNDS) for row in plain]
+        names, first = fingerprint._level(names, first)
+        assert [len(x) for x in parsed] == np.diff(first).tolist()
+        known = {}
+        for phrase, name in zip((x for row in parsed for x in row), names.tolist(), strict=True):
+            assert known.setdefault(phrase, name) == name
+        assert len(set(known.values())) == len(known)
+        plain = [names[first[i] : first[i + 1]].tolist() for i in range(len(texts))]
+
+
 def test_shared_text_is_parsed_alike_at_any_offset():
     rng = np.random.default_rng(0)
     make = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8))
@@ -268,7 +284,7 @@ PERSONAL = [
     "é 1.2.3.4 999.1.1.1 1.2.3.4.5.6.7.8 01.002.0003.4 1..2.3.4 256.1.1.1",
     "4111 1111 1111 1111 then 4111-1111-1111-1112 and 4111  1111 and 123456789012345678901234567890 and 0000000000000",
     "+1 (499) 555-6503 +123 +1 2 +44.20.7946.0958-- +1+23 4567890123 +1234567890123456789",
-    "9" * 5000 + "@" + "a" * 5000 + "." + "b" * 5000, "", None, "@", "a" * 30000, "+" * 2000 + "1" * 2000,
+    "0" * 5000 + "1.2.3.4 " + "1" * 5000 + ".1.1.1 1.1.1." + "0" * 6000, "9" * 5000 + "@" + "a" * 5000 + "." + "b" * 5000, "", None, "@", "a" * 30000, "+" * 2000 + "1" * 2000,
 ]
 SECRETS = [
     "token = \"1eb9c654e721b4f812088970e66a6345cee33dd6\" Password: hunter22 API_KEY='abc' apikey:=x passwd=a.b.c-d",
@@ -289,24 +305,30 @@ def test_personal_data(spark):
         assert [got[i][f"n_{k}"] for k in personal.KINDS] == [sum(x[0] == k for x in want) for k in personal.KINDS]
 
 
-def test_terms_that_reveal_are_found_and_generalised(spark):
+def _owners():
+    """Eight people with a name beside their address, in several texts each; "kontakt" stands beside all of them."""
     rows = [(i, f"plain words about nothing at all number {i}") for i in range(60)]
-    rows += [(100 + i, f"please reach tresorix under u{i}@host.example.com any time") for i in range(8)]
+    rows += [(100 + i, f"é kontakt Tresor{i % 8} under U{i % 8}@host.example.com " + " ".join(f"w{i}x{k}" for k in range(30))) for i in range(48)]
+    return rows + [(200, "a note of tresor3 without any address"), (201, None), (202, "kontakt " + "y " * 20 + "a@b.de"), (203, "tresor5@b.de and tresor5")]
+
+
+@pytest.mark.parametrize("most", [1, 500_000])
+def test_terms_that_reveal_entities_are_those_of_a_plain_count(spark, monkeypatch, most):
+    monkeypatch.setattr(personal, "BROADCAST_TERMS", most)
+    rows = _owners()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = personal.find_personal_data(docs, disclosure=0.9)
-    terms = {r["doc_id"]: [r["t"][a["start"] : a["end"]] for a in r["terms"]] for r in found.join(docs.withColumnRenamed("text", "t"), "doc_id").collect()}
-    assert all("tresorix" in terms[100 + i] for i in range(8)) and not any(terms[i] for i in range(60))
+    got = {r["doc_id"]: [tuple(t) for t in r["terms"]] for r in personal.find_personal_data(docs).collect()}
+    terms = brute.revealing(rows, personal.entity_of, reach=5, disclosure=0.9, support=5, spread=3)
+    assert terms == {f"tresor{k}" for k in range(8)}
+    assert got == {doc: brute.stands(text, terms) for doc, text in rows}
     clean = {r["doc_id"]: r["text"] for r in personal.sanitise(docs).collect()}
-    assert "<EMAIL>" in clean[100] and "tresorix" not in clean[100] and clean[0] == rows[0][1]
+    assert clean[200] == "a note of <TERM> without any address" and clean[201] is None and clean[203] == "<EMAIL> and <TERM>"
+    assert clean[100].startswith("é kontakt <TERM> under <EMAIL> ") and clean[0] == rows[0][1]
 
 
-def test_terms_that_reveal_are_marked_away_from_finds(spark):
-    rows = [(i, f"é kontakt a{i}@b.de " + " ".join(f"w{i}x{k}" for k in range(60))) for i in range(8)]
-    rows += [(100, "nothing here but a kontakt to be asked for"), (101, "quite plain"), (102, None), (103, "kontakt " + "y " * 20 + "a@b.de")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: [tuple(t) for t in r["terms"]] for r in personal.find_personal_data(docs, disclosure=0.7).collect()}
-    assert got[0] == [(0, 1), (2, 9)] and got[100] == [(19, 26)] and got[101] == got[102] == [] and got[103] == [(0, 7)]
-    assert {r["doc_id"]: r["text"] for r in personal.sanitise(docs, disclosure=0.7).collect()}[100] == "nothing here but a <TERM> to be asked for"
+def test_exact_copies_are_one_text(spark):
+    docs = spark.createDataFrame([(i, "write to grimbald at g@h.example.com") for i in range(20)], "doc_id long, text string")
+    assert {len(r["terms"]) for r in personal.find_personal_data(docs).collect()} == {0}
 
 
 def test_secrets(spark):
@@ -317,7 +339,54 @@ def test_secrets(spark):
         assert [tuple(x) for x in got[i]["base"]] == want
         assert got[i]["base_sha256"] == brute.sha(brute.joined(want))
         assert set(brute.joined(want).split(",")) - {""} <= set(got[i]["spans"].split(","))
-    assert "random:" in got[len(SECRETS) - 1]["spans"]
+
+
+def _planted(n=1500):
+    """Plain texts with names and paths, some of them with a random token that no pattern finds."""
+    rng = np.random.default_rng(8)
+    plain = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 10))) for _ in range(300)]
+    rows, tokens = [], {}
+    for i in range(n):
+        words = [str(w) for w in rng.choice(plain, 40)]
+        words += ["_".join(rng.choice(plain, 5)), "/".join(rng.choice(plain, 6)), "-" * 30, "2024" * 8][: 4 * (i % 5 == 0)]
+        if i % 15 == 0:
+            letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + "0123456789" * (i % 2)
+            tokens[i] = "".join(rng.choice(list(letters), int(rng.integers(24, 48))))
+            words.insert(7, tokens[i])
+        rows.append((i, " ".join(words)))
+    return rows, tokens
+
+
+def test_random_tokens_are_found_and_ordinary_ones_are_not(spark):
+    rows, tokens = _planted()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [rows[r["doc_id"]][1][x["start"] : x["end"]] for x in r["random"]] for r in secrets.find_secrets(docs).collect()}
+    caught = sum(tokens[i] in got[i] for i in tokens)
+    wrong = sum(x != tokens.get(i) for i, found in got.items() for x in found)
+    assert caught >= 0.9 * len(tokens) and wrong <= 0.1 * caught
+    few = secrets.find_secrets(docs.where("doc_id < 20")).agg(F.sum(F.size("random"))).first()[0]
+    assert few == 0
+
+
+def test_discoveries_are_those_of_the_plain_procedure():
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        null, found = ([(int(rng.integers(0, 4)), int(rng.integers(lo, 60))) for _ in range(n)] for lo, n in ((20, 900), (0, 120)))
+        last = secrets.limits(Counter(found), Counter(null), 0.05)
+        for c in range(4):
+            own, plain = sorted(b for k, b in found if k == c), [b for k, b in null if k == c]
+            p = [(1 + sum(x <= b for x in plain)) / (1 + len(plain)) for b in own]
+            discovered = max((k for k, x in enumerate(p, 1) if x <= 0.05 * k / len(p)), default=0)
+            assert sum(b <= last[c] for b in own) == discovered
+
+
+def test_overlaps_and_ordinary_strings():
+    rng = np.random.default_rng(10)
+    spans = sorted((("hex", int(a), int(a + n)) for a, n in rng.integers(1, 60, (30, 2))), key=lambda x: x[1])
+    at = sorted((int(a), int(a + n)) for a, n in rng.integers(1, 90, (40, 2)))
+    assert secrets._overlaps(spans, at) == [any(a < y and x < b for _, x, y in spans) for a, b in at] and secrets._overlaps([], at) == [False] * 40
+    made = secrets.ordinary("some plain words to be run together, as names and paths are " * 4)
+    assert [secrets._class(len(x)) for x in made] == [0, 1, 2, 3] and secrets.ordinary("") == secrets.ordinary("é " * 50) == []
 
 
 def test_randomness_tells_keys_from_words():
@@ -353,6 +422,9 @@ def test_urls(spark, parts):
         got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge_urls(pages, rules, keys=["page_id"]).collect()}
         assert got == {i: brute.judged(u, RULES) for i, u in enumerate(every)}
         assert urls.judge_urls(pages.limit(0), rules, keys=["page_id"]).count() == 0
+        odd = urls.judge_urls(pages.selectExpr("page_id", "url", "'h' AS host", "1 AS _path"), rules, keys=["page_id", "host", "_path"])
+        assert odd.columns == ["page_id", "host", "_path", "host_", "path", "rule", "verdict"]
+        assert {r["page_id"]: (r["host_"], r["path"], r["rule"], r["verdict"]) for r in odd.collect()} == got and {(r["host"], r["_path"]) for r in odd.collect()} == {("h", 1)}
         assert {r["verdict"] for r in urls.judge_urls(pages, rules.limit(0), keys=["page_id"], default="block").collect()} == {"block"}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
@@ -486,13 +558,24 @@ def test_toxicity_of_held_out_rows(spark):
     assert toxicity.drop_toxic(docs, labels).where("doc_id % 5 = 1").count() == 300
 
 
+def test_training_is_that_of_a_plain_loop():
+    rng = np.random.default_rng(7)
+    rows = [(sorted(set(rng.integers(0, 30, rng.integers(0, 9)).tolist())), int(rng.integers(0, 2))) for _ in range(200)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([f for f, _ in part], pa.list_(pa.int32())), pa.array([t for _, t in part], pa.int32())], ["features", "toxic"]) for part in (rows[:70], rows[70:])]
+    made = list(toxicity._trainer(6, 0.5, 1.0, 0.3, 0.01)(iter(batches)))[0]
+    got = dict(zip(made["bucket"].to_pylist(), made["weight"].to_pylist(), strict=True))
+    assert got == pytest.approx(brute.ftrl(rows, 1 << 6, 0.5, 1.0, 0.3, 0.01), rel=1e-9) and 5 < len(got) < 31
+
+
 def test_toxicity_of_odd_tables(spark, empty, clashing):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     some = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None), (99, 1)], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.score(clashing, toxicity.fit(clashing, none), keys=["doc_id"]).collect()} == {0.5}
     assert toxicity.score(empty, toxicity.fit(empty, some), keys=["doc_id"]).count() == 0
-    out = toxicity.drop_toxic(clashing, none)
-    assert out.columns == clashing.columns and out.count() == 5
+    odd = clashing.withColumn("_toxic", F.lit("t")).withColumn("_id", F.lit(3)).withColumn("toxic", F.lit(1))
+    for labels in (none, some.where("toxic = 0")):
+        out = toxicity.drop_toxic(odd, labels)
+        assert out.columns == odd.columns and out.count() == 5
 
 
 # ---------------------------------------------------------------- 10
@@ -516,5 +599,8 @@ def test_contamination_of_odd_tables(spark, empty, clashing):
     benchmark = spark.createDataFrame([(1, "some words here and there"), (None, "more of them")], "item_id long, text string")
     assert decontaminate.find_contamination(empty, benchmark, keys=["doc_id"]).count() == 0
     assert decontaminate.find_contamination(clashing, benchmark.limit(0), keys=["doc_id"]).where("n_words > 0").count() == 3
-    out = decontaminate.drop_contaminated(clashing, benchmark)
-    assert out.columns == clashing.columns and out.count() == 3
+    odd = clashing.withColumn("more", F.create_map(F.lit("a"), F.lit(1))).withColumn("items", F.lit("i")).withColumn("_key", F.lit("k"))
+    for block_words in (2_000_000, 1):
+        out = decontaminate.drop_contaminated(odd, benchmark, block_words=block_words)
+        assert out.columns == odd.columns and {r["more"]["a"] for r in out.collect()} == {1}
+        assert sorted(map(repr, (r["doc_id"] for r in out.collect()))) == ["2", "None", "None"]
