@@ -131,3 +131,9 @@ def cell(text: Column, width: int = 120) -> Column:
 
 def preview(text: Column, n: int = 500) -> Column:
     return F.left(text, F.lit(n))
+
+
+def some_lines(text: Column, n: int) -> Column:
+    """The first n lines, or for a negative n the last -n; line ends become \\n."""
+    lines = lambda a: F.slice(a, 1, n) if n >= 0 else F.slice(a, F.greatest(F.lit(1), F.size(a) + 1 + n), -n)
+    return F.element_at(F.transform(F.array(split_lines(text)), lambda a: F.array_join(lines(a), "\n")), 1)

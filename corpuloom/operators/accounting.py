@@ -44,7 +44,18 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 def bench_stats(runs: DataFrame, size: str | None = None) -> DataFrame:
     """name, rounds, mean, sample deviation (0 for one run), min, max and median of timings_ms (array), and rates over size bytes."""
-    each = runs.select("name", *([size] if size else []), F.explode("timings_ms").alias("ms"))
+    return timing_stats(runs.select("name", *([size] if size else []), F.explode("timings_ms").alias("ms")), size)
+
+
+def token_usage(calls: DataFrame, by: str = "model") -> DataFrame:
+    """Calls and tokens of each model; a call that reports none counts as 0."""
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("bigint")
+    sums = calls.groupBy(by).agg(F.count("*").alias("calls"), total("prompt_tokens").alias("prompt_tokens"), total("completion_tokens").alias("completion_tokens"))
+    return sums.withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
+
+
+def timing_stats(each: DataFrame, size: str | None = None) -> DataFrame:
+    """As bench_stats(), of one row for each timing (name, ms)."""
     keys = ["name", *([size] if size else [])]
     stats = each.groupBy(*keys).agg(
         F.count("*").alias("rounds"), F.avg("ms").alias("mean_ms"), F.coalesce(F.stddev_samp("ms"), F.lit(0.0)).alias("std_ms"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"), F.median("ms").alias("median_ms")

@@ -123,3 +123,30 @@ def directory_hash(files: DataFrame) -> DataFrame:
     keyed = visible.select(F.col("parent").alias("dir"), F.sha2(entry, 256).alias("h")).withColumn("part", F.left("h", F.lit(2)))
     parts = keyed.groupBy("dir", "part").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
     return parts.groupBy("dir").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), ""), 256).alias("dir_hash"))
+
+
+def picked_first(files: DataFrame, kind: str, order: str = "path") -> DataFrame:
+    """The first file of a kind."""
+    return files.where(F.col("kind") == kind).orderBy(order).limit(1)
+
+
+def picked_smallest(files: DataFrame, kind: str) -> DataFrame:
+    """The smallest file of a kind, the first path of equal ones; files of unknown size come last."""
+    return files.where(F.col("kind") == kind).orderBy(F.col("size").asc_nulls_last(), "path").limit(1)
+
+
+def picked(files: DataFrame, kind: str, n: int) -> DataFrame:
+    """slot and path of n files of a kind, at equal steps in order of name; fewer files are taken again and again."""
+    from .store import numbered
+
+    some = numbered(files.where(F.col("kind") == kind).select("name", "path"), ["name", "path"], -1, "at")
+    m = some.agg(F.count("*")).first()[0]
+    slots = [(i, i * m // n if m >= n else i % m) for i in range(n)] if m else []
+    wanted = files.sparkSession.createDataFrame(slots, "slot int, at bigint")
+    return some.join(F.broadcast(wanted), "at").select("slot", "path")
+
+
+def merged_paths(scanned: DataFrame, piped: DataFrame) -> DataFrame:
+    """scanned and the piped files whose path is not among them, each path once."""
+    rest = piped.dropDuplicates(["path"]).join(scanned.select("path"), "path", "left_anti")
+    return scanned.dropDuplicates(["path"]).unionByName(rest.select(*scanned.columns))

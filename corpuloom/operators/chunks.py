@@ -35,10 +35,13 @@ def tiered(file_chunks: DataFrame, output_chunks: DataFrame) -> DataFrame:
 
 
 def batches(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
-    """Adds batch, the number of the group of n rows in order within keys."""
-    from pyspark.sql import Window
+    """Adds batch, the number of the group of n rows in order within keys.
 
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1) / n).cast("int"))
+    Rows are dealt into ranges of keys and order, so that one key may fill many tasks, and counted range by range.
+    """
+    from .store import ranked
+
+    return ranked(rows, keys, [order], "_n").withColumn("batch", F.floor((F.col("_n") - 1) / n).cast("int")).drop("_n")
 
 
 def cacheable(text: Column) -> Column:

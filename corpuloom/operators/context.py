@@ -8,15 +8,31 @@ from pyspark.sql import functions as F
 from ..functions.ids import ref_id
 from ..schema import ROLES
 
+#: Mistyped ids up to which they are broadcast.
+MOST_WANTED = 10_000
 
-def with_refs(items: DataFrame, session: str, key: str, attempts: int = 4) -> DataFrame:
-    """Adds ref_id; ids that several keys of the session share are hashed again for all but the smallest key."""
+
+def with_refs(items: DataFrame, session: str, key: str, attempts: int = 32) -> DataFrame:
+    """Adds ref_id; ids that several keys of the session share are hashed again for all but the smallest key, until none is left.
+
+    A session of more keys than short ids can tell apart is an error.
+    """
     out = items.withColumn("ref_id", ref_id(F.col("kind"), F.lit(session), F.col(key).cast("string")))
     for attempt in range(1, attempts):
+        if out.groupBy("ref_id").count().where("count > 1").isEmpty():
+            return out
         order = Window.partitionBy("ref_id").orderBy(key)
         clash = F.row_number().over(order) > 1
         out = out.withColumn("_clash", clash).withColumn("ref_id", F.when(F.col("_clash"), ref_id(F.col("kind"), F.lit(session), F.col(key).cast("string"), attempt)).otherwise(F.col("ref_id"))).drop("_clash")
-    return out
+    raise ValueError(f"too many items for short ids in session {session}")
+
+
+def refs_column(files: DataFrame, refs: DataFrame, session: str | None) -> DataFrame:
+    """files with session_id and ref_id (of refs: path, ref_id; null where a path has none); as they are without a session."""
+    if session is None:
+        return files
+    known = refs.select(F.col("path").alias("_path"), "ref_id")
+    return files.join(known, F.col("path") == F.col("_path"), "left").drop("_path").withColumn("session_id", F.lit(session))
 
 
 def valid_items(items: DataFrame) -> DataFrame:
@@ -53,11 +69,11 @@ def single_turn(items: DataFrame, conversation: str = "conv_id", position: str =
 def closest_refs(refs: DataFrame, wanted: DataFrame, most: int = 4) -> DataFrame:
     """wanted and its suggestion: the ref of the same prefix at the least edit distance, up to most; the first position wins.
 
-    refs: ref_id, pos; wanted: a few mistyped ids, broadcast.
+    refs: ref_id, pos; wanted: mistyped ids, broadcast up to MOST_WANTED.
     """
     asked = wanted.select("wanted", F.split_part("wanted", F.lit("_"), F.lit(1)).alias("prefix"))
     known = refs.select("ref_id", "pos", F.split_part("ref_id", F.lit("_"), F.lit(1)).alias("prefix"))
-    near = known.join(F.broadcast(asked), "prefix").withColumn("d", F.levenshtein("wanted", "ref_id")).where(F.col("d") <= most)
+    near = known.join(F.broadcast(asked) if asked.count() <= MOST_WANTED else asked, "prefix").withColumn("d", F.levenshtein("wanted", "ref_id")).where(F.col("d") <= most)
     return near.groupBy("wanted").agg(F.min_by("ref_id", F.struct("d", "pos")).alias("suggestion"))
 
 

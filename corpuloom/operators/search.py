@@ -9,15 +9,21 @@ from ..functions.text import fold, smart_case, snippet, split_lines
 from ..session import arrow_map
 
 
+#: Query vectors that are broadcast at a time.
+QUERY_BLOCK = 4096
+
+
 def grep(files: DataFrame, pattern: str, *, ignore_case: bool = False, smart: bool = True, context: int = 0) -> DataFrame:
     """path, line_number, line (and context, the lines around it) of each line that matches.
 
-    A file is exploded only if its text matches anywhere; context comes from the same line array.
+    Lines are matched once, before they are exploded; context comes from the same line array.
     """
     regex = smart_case(pattern, ignore_case) if smart else f"(?i){pattern}" if ignore_case else pattern
     lines = split_lines(F.col("text"))
-    split = files.select("path", lines.alias("lines")).where(F.exists("lines", lambda x: x.rlike(regex)))
-    rows = split.select("path", *(["lines"] if context else []), F.posexplode("lines").alias("at", "line")).where(F.col("line").rlike(regex))
+    # The lines are an outer lambda's argument, so that a text is split once.
+    each = F.transform(F.array(lines), lambda a: F.struct(a.alias("lines"), F.filter(F.transform(a, lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda x: x["line"].rlike(regex)).alias("found")))
+    split = files.select("path", F.element_at(each, 1).alias("_s"))
+    rows = split.select("path", *([F.col("_s.lines").alias("lines")] if context else []), F.explode("_s.found").alias("_f")).select("path", *(["lines"] if context else []), "_f.at", "_f.line")
     columns = ["path", (F.col("at") + 1).alias("line_number"), "line"]
     if context:
         first = F.greatest(F.lit(1), F.col("at") + 1 - context)
@@ -76,9 +82,18 @@ def nearest(vectors: DataFrame, query: list[float], k: int, *, where: Column | N
 def nearest_to_rows(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
     """query, key and distance of the k nearest of every query row, itself aside.
 
-    queries are a stated, small set that is broadcast.  Each partition keeps its own k best of a query
-    before anything is shuffled.
+    queries are a stated set; at most QUERY_BLOCK of them are broadcast at a time.  Each partition keeps its
+    own k best of a query before anything is shuffled.
     """
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    found = [_nearest_to_block(vectors, queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) if blocks > 1 else queries, k, key) for b in range(blocks)]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _nearest_to_block(vectors: DataFrame, queries: DataFrame, k: int, key: str) -> DataFrame:
     asked = queries.select(F.col(key).alias("query"), F.col("embedding").alias("_asked"))
     pairs = vectors.withColumn("_part", F.spark_partition_id()).join(F.broadcast(asked), F.col(key) != F.col("query")).select("query", key, "_part", distance(F.col("embedding"), F.col("_asked")).alias("distance"))
     local = Window.partitionBy("query", "_part").orderBy("distance", key)

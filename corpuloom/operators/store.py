@@ -1,14 +1,14 @@
 """Keyed tables as versions of Parquet folders, and the changes that make new versions.
 
-A change reads version N and writes version N + 1 beside it, then moves a
-pointer; a reader keeps the version it opened.  Nothing is written over what
-may be read.
+A change reads version N and writes version N + 1 beside it, then makes its
+pointer, a file of that number; a reader keeps the version it opened.  Nothing is
+written over what may be read, and a job that is lost halfway leaves version N.
+Changes of several tables go from vectors to chunks, extractions and files, so
+that what is left of a lost one hangs on nothing, and running it again ends it.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,11 +32,10 @@ class Store:
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
     def version(self, table: str) -> int:
+        """The largest number among the table's pointers; 0 without any."""
         _, fs = self._fs()
-        pointer = self._path(f"{table}.current.json")
-        if not fs.exists(pointer):
-            return 0
-        return int(json.loads(self.spark.read.text(str(pointer), wholetext=True).first()[0])["version"])
+        folder = self._path(f"{table}/_versions")
+        return max((int(x.getPath().getName()) for x in fs.listStatus(folder)), default=0) if fs.exists(folder) else 0
 
     def read(self, table: str) -> DataFrame:
         version = self.version(table)
@@ -48,15 +47,11 @@ class Store:
         """Makes rows the next version, and removes versions before the last keep."""
         version = self.version(table) + 1
         rows.select(*TABLES[table].names).write.mode("overwrite").parquet(f"{self.root}/{table}/v={version}")
-        jvm, fs = self._fs()
-        target, fresh = self._path(f"{table}.current.json"), self._path(f".{table}.{version}.json")
-        out = fs.create(fresh, True)
-        out.write(bytearray(json.dumps({"version": version}).encode()))
-        out.close()
-        if fs.exists(target):
-            fs.delete(target, False)
-        fs.rename(fresh, target)
+        _, fs = self._fs()
+        # The pointer is made once its rows are there; until then readers see the version before.
+        fs.create(self._path(f"{table}/_versions/{version}"), False).close()
         for old in range(max(1, version - keep - 3), version - keep + 1):
+            fs.delete(self._path(f"{table}/_versions/{old}"), False)
             fs.delete(self._path(f"{table}/v={old}"), True)
 
     def register(self) -> None:
@@ -92,6 +87,15 @@ class Store:
         summary = F.coalesce(F.left("output", F.lit(500)), F.lit(""))
         self.write("extractions", replaced(self.read("extractions"), rows.withColumn("summary", summary).select(*TABLES["extractions"].names), "id"))
 
+    def put_text_chunks(self, rows: DataFrame) -> None:
+        """Chunks of whole texts that belong to no extraction, in place of earlier ones of the same content; rows: file_uri, content_hash, content, created_at."""
+        chunks, vectors = text_chunks(self.read("chunks"), self.read("chunks_vec"), rows)
+        self.write("chunks_vec", vectors)
+        self.write("chunks", chunks)
+
+    def ensure_metadata(self, scanned: DataFrame, uris: DataFrame) -> None:
+        self.write("files", ensured(self.read("files"), scanned, uris))
+
     def evict_extractions(self, ids: DataFrame) -> int:
         """Removes extractions (id) with their chunks and vectors; returns how many there were."""
         extractions, chunks, vectors = self.read("extractions"), self.read("chunks"), self.read("chunks_vec")
@@ -104,15 +108,29 @@ class Store:
         return n
 
 
-def numbered(rows: DataFrame, order: list[str], base: int, column: str = "id") -> DataFrame:
-    """Adds consecutive numbers from base + 1 in order: range-partitioned, then offset by the partitions before."""
+def ranked(rows: DataFrame, keys: list[str], order: list[str], column: str) -> DataFrame:
+    """Adds the number of each row in order within keys, from 1; a key's rows may lie in many ranges.
+
+    The number of ranges is given, so that both readings of them have the same partitions.
+    """
     from pyspark.sql import Window
 
-    dealt = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    within = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = within.groupBy("_part").agg(F.count("*").alias("_c"))
-    before = counts.select("_part", (F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + base).alias("_before"))
-    return within.join(F.broadcast(before), "_part").withColumn(column, F.col("_before") + F.col("_n")).drop("_part", "_n", "_before")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id())
+    within = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order)))
+    # A row for each key and range.
+    counts = dealt.groupBy("_part", *keys).agg(F.count("*").alias("_c"))
+    ahead = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col("_part").alias("_p"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_before"))
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return within.join(before, same).withColumn(column, F.col("_before") + F.col("_n")).select(*rows.columns, column)
+
+
+def numbered(rows: DataFrame, order: list[str], base: int, column: str = "id") -> DataFrame:
+    """Adds consecutive numbers from base + 1 in order."""
+    return ranked(rows, [], order, column).withColumn(column, F.col(column) + base)
 
 
 def upserted(stored: DataFrame, scanned: DataFrame) -> DataFrame:
@@ -138,6 +156,39 @@ def upserted(stored: DataFrame, scanned: DataFrame) -> DataFrame:
     return both.select(*out)
 
 
+def by_uri(files: DataFrame, uri: str) -> DataFrame:
+    return files.where(F.col("uri") == uri)
+
+
+def by_ref(files: DataFrame, session: str, ref: str) -> DataFrame:
+    return files.where((F.col("session_id") == session) & (F.col("ref_id") == ref))
+
+
+def session_files(files: DataFrame, session: str) -> DataFrame:
+    """A session's files in order of uri."""
+    return files.where(F.col("session_id") == session).orderBy("uri")
+
+
+def ensured(stored: DataFrame, scanned: DataFrame, uris: DataFrame) -> DataFrame:
+    """stored with the scanned files of uris (uri) that are not stored yet; what the scan lacks is null, and other files stay out."""
+    new = scanned.join(uris.select("uri").distinct(), "uri", "left_semi").join(stored.select("uri"), "uri", "left_anti").dropDuplicates(["uri"])
+    return stored.unionByName(new.select(*(x for x in stored.columns if x in new.columns)), allowMissingColumns=True)
+
+
+def text_chunks(chunks: DataFrame, vectors: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """chunks and vectors with the texts of rows (file_uri, content_hash, content) as chunks of mode metadata that hang on no extraction.
+
+    Earlier ones of the same content hash go, with their vectors.
+    """
+    orphan = F.col("extraction_id").isNull() & (F.col("mode") == "metadata")
+    old = chunks.where(orphan).join(rows.select("content_hash").distinct(), "content_hash", "left_semi").select("id")
+    kept = chunks.join(old, "id", "left_anti")
+    base = chunks.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    made = numbered(chunked(rows.dropDuplicates(["content_hash"]), "content").withColumns({"mode": F.lit("metadata"), "profile": F.lit(""), "model": F.lit("")}), ["file_uri", "content_hash", "chunk_idx"], base)
+    made = made.select(*(F.col(f.name).cast(f.dataType) if f.name in made.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in chunks.schema))
+    return kept.select(*chunks.columns).unionByName(made), vectors.join(old.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti")
+
+
 def cascaded(files: DataFrame, extractions: DataFrame, chunks: DataFrame, vectors: DataFrame, uris: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The four tables without the files of uris (uri) and all that hangs on them."""
     by_uri = uris.select(F.col("uri").alias("file_uri")).distinct()

@@ -56,11 +56,18 @@ def window_rows(files: DataFrame, encoder: str, duration: str = "duration_s") ->
 
 
 def frame_times(duration: Column, encoder: str, scenes: Column | None = None) -> Column:
-    """The times of the frames that an encoder takes: scene midpoints where scenes are known, else uniform."""
+    """The times of the frames that an encoder takes: as many in each shot, scene midpoints where scenes are known, or else uniform.
+
+    Without scenes the whole is one shot.
+    """
     plan = PLANS[encoder]
     if "per_second" in plan:
         step = 1.0 / plan["per_second"]
         return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(duration / step) - 1).cast("int")), lambda i: i * F.lit(step))
+    if "per_shot" in plan:
+        n, whole = plan["per_shot"], F.array(F.struct(F.lit(0.0).alias("start"), duration.cast("double").alias("end")))
+        shots = whole if scenes is None else F.when(F.size(scenes) > 0, scenes).otherwise(whole)
+        return F.flatten(F.transform(shots, lambda s: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: s["start"] + (s["end"] - s["start"]) * (i + 0.5) / n)))
     uniform = uniform_times(duration, plan["frames"])
     if scenes is None:
         return uniform
@@ -70,7 +77,7 @@ def frame_times(duration: Column, encoder: str, scenes: Column | None = None) ->
 def frame_rows(files: DataFrame, encoder: str, duration: str = "duration_s", scenes: str | None = None) -> DataFrame:
     """uri, message, part, time of each frame, in batches of a message or a mosaic."""
     plan = PLANS[encoder]
-    size = plan.get("message") or plan.get("mosaic") or plan["frames"]
+    size = plan.get("message") or plan.get("mosaic") or plan.get("per_shot") or plan["frames"]
     times = frame_times(F.col(duration), encoder, F.col(scenes) if scenes else None)
     rows = files.where(F.col(duration) > 0).select("uri", F.posexplode(times).alias("n", "time"))
     return rows.select("uri", F.floor(F.col("n") / size).cast("int").alias("message"), (F.col("n") % size).alias("part"), "time")

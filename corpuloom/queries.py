@@ -70,9 +70,38 @@ def find_name_regex(spark, d):
     return catalog.find(documents(spark, d), name=r"^1[0-9]*5\.", columns=["path"])
 
 
-@query(f"SELECT path FROM ({DOC}) WHERE contains(lower(doc_id || '.txt'), '[7') OR contains(path, 'no such')")
+@query(f"SELECT path FROM ({DOC}) WHERE contains('[' || doc_id || '].txt', '[7')")
 def find_name_substring(spark, d):
-    return catalog.find(documents(spark, d), name="[7", columns=["path"])
+    """No regular expression, and so a part of the name."""
+    named = documents(spark, d).withColumn("name", F.concat(F.lit("["), "doc_id", F.lit("].txt")))
+    return catalog.find(named, name="[7", columns=["path"])
+
+
+FILES = f"SELECT *, doc_id || '.txt' AS name FROM ({DOC})"
+
+
+@query(f"SELECT path, size FROM ({FILES}) ORDER BY size, path LIMIT 1")
+def pick_smallest(spark, d):
+    return catalog.picked_smallest(documents(spark, d), "text").select("path", "size")
+
+
+@query(f"""WITH f AS (SELECT path, row_number() OVER (ORDER BY name, path) - 1 AS pos, count(*) OVER () AS m FROM ({FILES}))
+SELECT CAST(i AS INTEGER) AS slot, path FROM f JOIN range(7) r(i) ON pos = CASE WHEN m >= 7 THEN i * m // 7 ELSE i % m END""")
+def pick_files(spark, d):
+    return catalog.picked(documents(spark, d), "text", 7)
+
+
+@query(f"SELECT path, size, CASE WHEN doc_id % 3 < 2 THEN 'scan' ELSE 'pipe' END AS origin FROM ({DOC})")
+def merge_paths(spark, d):
+    rows = documents(spark, d).select("doc_id", "path", "size")
+    scanned, piped = rows.where("doc_id % 3 < 2").withColumn("origin", F.lit("scan")), rows.where("doc_id % 3 > 0").withColumn("origin", F.lit("pipe"))
+    return catalog.merged_paths(scanned.drop("doc_id"), piped.unionByName(piped).drop("doc_id"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM ({DOC})), m AS (SELECT doc_id, CASE WHEN a[len(a)] = '' THEN a[1 : len(a) - 1] ELSE a END AS a FROM l)
+SELECT doc_id, array_to_string(a[1:3], chr(10)) AS head, array_to_string(a[greatest(1, len(a) - 1) : len(a)], chr(10)) AS tail FROM m""")
+def head_tail(spark, d):
+    return documents(spark, d).select("doc_id", text.some_lines(F.col("text"), 3).alias("head"), text.some_lines(F.col("text"), -2).alias("tail"))
 
 
 @query(f"SELECT path, size FROM ({DOC}) WHERE path LIKE 'src1/%'")
@@ -176,11 +205,17 @@ def image_tokens(spark, d):
 
 @query("""WITH t AS (SELECT event_type AS name, value AS ms FROM events) SELECT name, count(*) AS rounds, round(avg(ms), 6) AS mean_ms, round(coalesce(stddev_samp(ms), 0), 6) AS std_ms, min(ms) AS min_ms, max(ms) AS max_ms, round(median(ms), 6) AS median_ms FROM t GROUP BY name""")
 def bench_stats(spark, d):
-    runs = table(spark, d, "events").groupBy(F.col("event_type").alias("name")).agg(F.collect_list("value").alias("timings_ms"))
-    stats = accounting.bench_stats(runs)
+    stats = accounting.timing_stats(table(spark, d, "events").select(F.col("event_type").alias("name"), F.col("value").alias("ms")))
     return stats.select("name", "rounds", *(F.round(x, 6).alias(x) for x in ("mean_ms", "std_ms")), "min_ms", "max_ms", F.round("median_ms", 6).alias("median_ms"))
 
 
+@query("""SELECT o_orderpriority AS model, count(*) AS calls, CAST(sum(o_custkey) AS BIGINT) AS prompt_tokens, CAST(coalesce(sum(nullif(o_orderkey % 5, 0)), 0) AS BIGINT) AS completion_tokens,
+ CAST(sum(o_custkey) + coalesce(sum(nullif(o_orderkey % 5, 0)), 0) AS BIGINT) AS total_tokens FROM orders GROUP BY 1""")
+def token_usage(spark, d):
+    calls = table(spark, d, "orders").select(F.col("o_orderpriority").alias("model"), F.col("o_custkey").alias("prompt_tokens"), F.nullif(F.col("o_orderkey") % 5, F.lit(0)).alias("completion_tokens"))
+    return accounting.token_usage(calls)
+
+
 @query("""SELECT 'documents' AS name, (SELECT count(*) FROM documents) AS rows UNION ALL SELECT 'labels', (SELECT count(*) FROM labels)""")
 def list_tables(spark, d):
     return accounting.table_counts({x: table(spark, d, x) for x in ("documents", "labels")})
@@ -212,6 +247,45 @@ def page_batches(spark, d):
     return chunks.batches(table(spark, d, "documents").select("doc_id", "source"), ["source"], "doc_id", 4).select("doc_id", "batch")
 
 
+SESSIONS = f"SELECT '/corpus/' || path AS uri, size, 'sess_' || coalesce(source, '') AS session_id, 'txt_' || doc_id AS ref_id, doc_id FROM ({DOC})"
+
+
+def _session_files(spark, d):
+    rows = documents(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return rows.select(F.concat(F.lit("/corpus/"), "path").alias("uri"), "size", F.concat(F.lit("sess_"), F.coalesce("source", F.lit(""))).alias("session_id"), F.concat(F.lit("txt_"), "doc_id").alias("ref_id"), "doc_id")
+
+
+@query(f"SELECT uri, ref_id FROM ({SESSIONS}) WHERE session_id = 'sess_src1'")
+def session_files(spark, d):
+    return store.session_files(_session_files(spark, d), "sess_src1").select("uri", "ref_id")
+
+
+@query(f"SELECT uri, size FROM ({SESSIONS}) WHERE doc_id = 7")
+def lookup_by_ref(spark, d):
+    rows = _session_files(spark, d)
+    one = rows.where("doc_id = 7").first()  # one row
+    found = store.by_ref(rows, one["session_id"], one["ref_id"])
+    return store.by_uri(found, one["uri"]).select("uri", "size")
+
+
+@query(f"SELECT uri, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN -1 ELSE size END AS size FROM ({SESSIONS}) WHERE doc_id IN (SELECT doc_id FROM labels) OR doc_id % 10 = 0")
+def ensure_metadata(spark, d):
+    scanned = _session_files(spark, d).select("uri", "size", "doc_id")
+    stored = scanned.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select("uri", F.lit(-1).cast("bigint").alias("size"))
+    return store.ensured(stored, scanned, scanned.where("doc_id % 10 = 0").select("uri"))
+
+
+@query(f"""WITH {CHUNKS} SELECT '/corpus/' || path AS file_uri, CAST(chunk_idx AS INTEGER) AS chunk_idx, chunk_text, CAST(NULL AS VARCHAR) AS extraction_id FROM c WHERE doc_id % 4 = 0
+UNION ALL SELECT '/corpus/' || path, 0, 'old', NULL FROM d WHERE doc_id % 2 = 0 AND doc_id % 4 <> 0 UNION ALL SELECT '/corpus/' || path, 0, 'out', 'e' FROM d WHERE doc_id % 3 = 0""")
+def orphan_text_chunks(spark, d):
+    rows = documents(spark, d).select("doc_id", F.concat(F.lit("/corpus/"), "path").alias("file_uri"), F.col("doc_id").cast("string").alias("content_hash"), F.col("text").alias("content"), F.lit(0).cast("bigint").alias("created_at"))
+    made = lambda base, extraction, mode, said: ((F.col("doc_id") + base).alias("id"), F.lit(extraction).cast("string").alias("extraction_id"), "file_uri", "content_hash", F.lit("").alias("profile"), F.lit("").alias("model"), F.lit(mode).alias("mode"), F.lit(0).alias("chunk_idx"), F.lit(said).alias("chunk_text"), "created_at")
+    known = rows.where("doc_id % 2 = 0").select(*made(0, None, "metadata", "old")).unionByName(rows.where("doc_id % 3 = 0").select(*made(10**9, "e", "fast", "out")))
+    vectors = known.select(F.col("id").alias("chunk_id"), F.array(F.lit(1.0).cast("float")).alias("embedding"))
+    out, _ = store.text_chunks(known, vectors, rows.where("doc_id % 4 = 0").drop("doc_id"))
+    return out.select("file_uri", "chunk_idx", "chunk_text", "extraction_id")
+
+
 @query(f"SELECT doc_id, left(sha256(concat_ws(':', sha256(text), 'default', 'none', 'fast', CASE WHEN doc_id % 2 = 0 THEN 'True' ELSE 'False' END, '')), 24) AS id FROM ({DOC})")
 def extraction_id(spark, d):
     return documents(spark, d).select("doc_id", ids.extraction_id(ids.content_hash(F.col("text")), F.lit("default"), F.lit("none"), F.lit("fast"), F.col("doc_id") % 2 == 0, F.lit("")).alias("id"))
@@ -255,10 +329,9 @@ def extract_text(spark, d):
 # ---------------------------------------------------------------- duplicates
 
 
-@query("SELECT sha256(text) AS content_hash, count(*) AS n, string_agg(doc_id, ', ' ORDER BY CAST(doc_id AS VARCHAR)) AS doc_ids FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT content_hash, n, doc_id FROM (SELECT sha256(text) AS content_hash, doc_id, count(*) OVER (PARTITION BY sha256(text)) AS n FROM documents WHERE text IS NOT NULL) WHERE n > 1")
 def exact_duplicates(spark, d):
-    rows = table(spark, d, "documents").select(F.sha2("text", 256).alias("content_hash"), F.col("doc_id").cast("string").alias("doc_id"))
-    return dedup.duplicate_paths(rows, key="doc_id")
+    return dedup.duplicate_members(table(spark, d, "documents").select(F.sha2("text", 256).alias("content_hash"), "doc_id"), key="doc_id")
 
 
 @query("SELECT sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS first_doc_id FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -266,12 +339,19 @@ def exact_duplicate_groups(spark, d):
     return dedup.exact_duplicates(table(spark, d, "documents").select(F.sha2("text", 256).alias("content_hash"), "doc_id"), key="doc_id")
 
 
-@query("""WITH h AS (SELECT h, min(doc_id) AS k FROM (SELECT doc_id, CAST(('0x' || left(md5(left(text, 40)), 2)) AS BIGINT) * 4311810305 + CAST(('0x' || substr(md5(text), 1, 5)) AS BIGINT) AS h FROM documents) GROUP BY h)
+_COUNTED = [f"CAST(('0x' || left(md5(CAST((length(text) - length(replace(text, '{c}', ''))) // 4 AS VARCHAR)), 4)) AS BIGINT)" for c in "aenr"]
+
+
+@query(f"""WITH h AS (SELECT h, min(doc_id) AS k FROM (SELECT doc_id, {_COUNTED[0]} + {_COUNTED[1]} * 65536 + {_COUNTED[2]} * 4294967296 + ({_COUNTED[3]} - 32768) * 281474976710656 AS h FROM documents WHERE text IS NOT NULL) GROUP BY h)
 SELECT a.k AS a, b.k AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM h a JOIN h b ON a.k < b.k AND bit_count(xor(a.h, b.h)) < 8""")
 def hamming_near_dups(spark, d):
-    first = F.conv(F.left(F.md5(F.left("text", F.lit(40))), F.lit(2)), 16, 10).cast("bigint") * 4311810305
-    hashes = table(spark, d, "documents").select("doc_id", (first + F.conv(F.substring(F.md5("text"), 1, 5), 16, 10).cast("bigint")).alias("phash"))
-    return dedup.hamming_pairs(hashes, "doc_id")
+    """Stands in for hashes of media: 16 bits for the number of each of four letters in the whole text."""
+    parts = []
+    for c in "aenr":
+        n = F.floor((F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))) / 4).cast("bigint")
+        parts.append(F.conv(F.left(F.md5(n.cast("string").cast("binary")), F.lit(4)), 16, 10).cast("bigint"))
+    whole = parts[0] + parts[1] * 65536 + parts[2] * 4294967296 + (parts[3] - 32768) * 281474976710656
+    return dedup.hamming_pairs(table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", whole.alias("phash")), "doc_id")
 
 
 # ---------------------------------------------------------------- search
@@ -337,13 +417,15 @@ def knn_queries(spark, d):
 
 @query(f"""WITH {CHUNKS}, g AS (SELECT path, CAST(i AS INTEGER) AS line_number, line FROM (SELECT '/corpus/' || path AS path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d) WHERE contains(line, 'Apache')),
 s AS (SELECT '/corpus/' || path AS path, CAST(chunk_idx AS INTEGER) AS line_number FROM c WHERE contains({FOLD.format('chunk_text')}, 'apache') ORDER BY 1, 2 LIMIT 5),
-n AS (SELECT '/corpus/' || path AS path, CAST(0 AS INTEGER) AS line_number FROM d WHERE doc_id < 5)
+q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 0), v AS (SELECT vec_id, list_distance(CAST(embedding AS DOUBLE[]), e) AS distance FROM embeddings, q ORDER BY 2, 1 LIMIT 5),
+n AS (SELECT '/corpus/' || path AS path, CAST(0 AS INTEGER) AS line_number FROM d JOIN v ON doc_id = vec_id)
 SELECT path, line_number, 0 AS source_rank FROM g UNION ALL SELECT path, line_number, 1 FROM s UNION ALL SELECT path, line_number, 2 FROM n WHERE (path, line_number) NOT IN (SELECT path, line_number FROM s)""")
 def search_merge_dedup(spark, d):
     docs = documents(spark, d).withColumn("path", F.concat(F.lit("/corpus/"), "path"))
     lines = search.grep(docs, "Apache")
     parts = search.hit_lines(search.substring_search(stored_chunks(spark, d), "apache"), "Apache")
-    near = docs.where("doc_id < 5").select("path", F.lit(0).alias("line_number"), text.preview(F.col("text"), 80).alias("line"), F.col("doc_id").cast("double").alias("distance"))
+    best = search.nearest(table(spark, d, "embeddings"), _query_vector(spark, d), 5).select("vec_id", "distance")
+    near = docs.join(best, F.col("doc_id") == F.col("vec_id")).select("path", F.lit(0).alias("line_number"), text.preview(F.col("text"), 80).alias("line"), "distance")
     return search.merged(lines, parts, near).select("path", "line_number", "source_rank")
 
 
@@ -375,18 +457,25 @@ def messages_single_turn(spark, d):
 REFS = "SELECT 'txt_' || left(sha256('s1' || chr(31) || conv_id || '-' || turn || chr(31) || '0'), 6) AS ref_id, conv_id * 1000 + turn AS pos, conv_id, turn FROM conversations"
 
 
+@query(f"SELECT conv_id || '-' || turn AS path, CASE WHEN turn % 2 = 0 THEN ref_id END AS ref_id, 's1' AS session_id FROM ({REFS})")
+def refs_column(spark, d):
+    items = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("path"), "turn")
+    refs = items.where("turn % 2 = 0").select("path", ids.ref_id(F.lit("text"), F.lit("s1"), F.col("path")).alias("ref_id"))
+    return context.refs_column(items.select("path"), refs, "s1")
+
+
 @query(f"SELECT conv_id, turn, ref_id FROM ({REFS})")
 def ref_ids(spark, d):
     key = F.concat_ws("-", "conv_id", "turn")
     return table(spark, d, "conversations").select("conv_id", "turn", ids.ref_id(F.lit("text"), F.lit("s1"), key).alias("ref_id"))
 
 
-@query(f"""WITH r AS ({REFS}), w AS (SELECT left(ref_id, 9) || 'z' AS wanted FROM r WHERE conv_id < 10 AND turn = 0), d AS (SELECT wanted, ref_id, pos, levenshtein(wanted, ref_id) AS dist FROM w, r)
+@query(f"""WITH r AS ({REFS}), w AS (SELECT left(ref_id, 9) || 'z' AS wanted FROM r WHERE conv_id % 50 = 0 AND turn = 0), d AS (SELECT wanted, ref_id, pos, levenshtein(wanted, ref_id) AS dist FROM w, r)
 SELECT wanted, min_by(ref_id, dist * 1000000000 + pos) AS suggestion FROM d WHERE dist <= 4 GROUP BY wanted""")
 def closest_ref(spark, d):
     key = F.concat_ws("-", "conv_id", "turn")
     refs = table(spark, d, "conversations").select(ids.ref_id(F.lit("text"), F.lit("s1"), key).alias("ref_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), "conv_id", "turn")
-    wanted = refs.where("conv_id < 10 AND turn = 0").select(F.concat(F.left("ref_id", F.lit(9)), F.lit("z")).alias("wanted")).distinct()
+    wanted = refs.where("conv_id % 50 = 0 AND turn = 0").select(F.concat(F.left("ref_id", F.lit(9)), F.lit("z")).alias("wanted")).distinct()
     return context.closest_refs(refs, wanted)
 
 
@@ -484,6 +573,11 @@ def event_activity(spark, d):
 
 SQL = {
     "sql_inner_join": "SELECT n.n_name, count(*) AS customers, round(sum(c.c_acctbal), 2) AS balance FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name",
+    "sql_right_join": "SELECT n.n_name, count(c.c_custkey) AS customers FROM customer c RIGHT JOIN nation n ON c.c_nationkey = n.n_nationkey AND c.c_acctbal > 9000 GROUP BY n.n_name",
+    "sql_full_join": "SELECT coalesce(c.k, s.k) AS k, c.n AS customers, s.n AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_nationkey > 3 GROUP BY c_nationkey) c FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY s_nationkey) s ON c.k = s.k",
+    "sql_cross_join": "SELECT a.r_name AS a, b.r_name AS b FROM region a CROSS JOIN region b",
+    "sql_natural_join": "SELECT doc_id, source, toxic FROM documents NATURAL JOIN labels",
+    "sql_glob": "SELECT p_partkey, p_brand FROM part WHERE p_brand GLOB 'Brand#[1-3]?' AND NOT p_brand GLOB '*2'",
     "sql_left_anti": "SELECT c.c_custkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey IS NULL",
     "sql_having": "SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand HAVING count(*) > 10",
     "sql_case_buckets": "SELECT CASE WHEN o_totalprice < 100000 THEN 'small' WHEN o_totalprice < 300000 THEN 'medium' ELSE 'large' END AS bucket, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY 1",

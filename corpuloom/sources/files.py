@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import csv
-import fnmatch
 import io
 import json
 import os
+import re
 import struct
 from collections.abc import Iterator
 from pathlib import Path
@@ -85,43 +85,76 @@ def classified(paths: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- directories
 
 
+def _ignore_regex(pattern: str) -> str:
+    """* and ? stay within a name; **/ is any folders, /** all that lies below."""
+    out, i = "", 0
+    while i < len(pattern):
+        if pattern.startswith("**/", i) and (i == 0 or pattern[i - 1] == "/"):
+            out, i = out + "(?:.*/)?", i + 3
+        elif pattern[i:] == "**" and (i == 0 or pattern[i - 1] == "/"):
+            out, i = out + ".+", i + 2
+        elif pattern[i] == "[" and (end := pattern.find("]", i + 2)) > 0:
+            inner = pattern[i + 1 : end].replace("\\", "\\\\")
+            out, i = out + f"[{'^' + inner[1:] if inner[0] in '!^' else inner}]", end + 1
+        elif pattern[i] == "\\" and i + 1 < len(pattern):
+            out, i = out + re.escape(pattern[i + 1]), i + 2
+        else:
+            out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(pattern[i], re.escape(pattern[i])), i + 1
+    return out
+
+
 class IgnoreRules:
-    """.gitignore-style patterns: later ones win, ! takes back, a trailing / means directories."""
+    """Ignore patterns of a folder: later ones win, ! takes back, a trailing / means directories.
 
-    def __init__(self, lines: list[str]):
-        self.rules = []
+    A pattern with a slash before its end is matched from the folder, any other at every depth below it.
+    """
+
+    def __init__(self, lines: list[str], folder: str = ""):
+        self.base, self.rules = f"{folder}/" if folder else "", []
         for line in lines:
-            line = line.rstrip("\n").rstrip()
+            line = re.sub(r"(?<!\\)\s+$", "", line.rstrip("\r\n"))
             if line and not line.startswith("#"):
                 keep = line.startswith("!")
                 line = line.removeprefix("!")
-                self.rules.append((line.strip("/"), "/" in line.rstrip("/"), line.endswith("/"), keep))
-
-    def ignores(self, path: str, is_dir: bool) -> bool:
-        out = False
-        for pattern, rooted, dirs_only, keep in self.rules:
-            if dirs_only and not is_dir:
-                continue
-            target = path if rooted else path.rsplit("/", 1)[-1]
-            if fnmatch.fnmatchcase(target, pattern) or pattern.startswith("**/") and fnmatch.fnmatchcase(path, pattern[3:]):
+                rooted = "/" in line.rstrip("/")
+                regex = re.compile(("" if rooted else "(?:.*/)?") + _ignore_regex(line.strip("/")), re.S)
+                self.rules.append((regex, line.endswith("/"), keep))
+
+    def verdict(self, path: str, is_dir: bool) -> bool | None:
+        """Whether the last rule that fits ignores path (from the root); None if none fits."""
+        out, below = None, path.removeprefix(self.base)
+        for regex, dirs_only, keep in self.rules:
+            if (is_dir or not dirs_only) and regex.fullmatch(below):
                 out = not keep
         return out
 
 
+def _read_rules(path: Path, folder: str = "") -> list[IgnoreRules]:
+    return [IgnoreRules(path.read_text(errors="replace").splitlines(), folder)] if path.is_file() else []
+
+
 def _walk(root: Path, no_ignore: bool) -> Iterator[tuple[str, int, float, float]]:
-    """Regular files below root, hidden ones too; links are not followed."""
-    stack: list[tuple[str, list[IgnoreRules]]] = [("", [])]
+    """Regular files below root, hidden ones too; links are not followed.
+
+    Rules come from the user's own ignore file, the repository's exclude file, and .gitignore and .ignore of
+    each folder; the innermost that says something decides.
+    """
+    outer: list[IgnoreRules] = []
+    if not no_ignore:
+        home = Path(os.environ.get("XDG_CONFIG_HOME") or Path.home() / ".config")
+        outer = [*_read_rules(home / "git" / "ignore"), *_read_rules(root / ".git" / "info" / "exclude")]
+    stack: list[tuple[str, list[IgnoreRules]]] = [("", outer)]
     while stack:
         folder, rules = stack.pop()
         here = root / folder
-        if not no_ignore and (here / ".gitignore").is_file():
-            rules = [*rules, IgnoreRules((here / ".gitignore").read_text(errors="replace").splitlines())]
+        if not no_ignore:
+            rules = [*rules, *_read_rules(here / ".gitignore", folder), *_read_rules(here / ".ignore", folder)]
         for entry in os.scandir(here):
             path = f"{folder}/{entry.name}" if folder else entry.name
             if entry.is_symlink():
                 continue
             is_dir = entry.is_dir(follow_symlinks=False)
-            if not no_ignore and (entry.name == ".git" or any(r.ignores(path, is_dir) for r in rules)):
+            if not no_ignore and (entry.name == ".git" or next((v for r in reversed(rules) if (v := r.verdict(path, is_dir)) is not None), False)):
                 continue
             if is_dir:
                 stack.append((path, rules))
@@ -218,7 +251,8 @@ def from_pages(pages: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- lists of paths
 
-HEADERS = {"path", "uri", "name"}
+# Words that are a header in a piped table.
+HEADERS = {"path", "uri", "name", "file", "kind", "size", "ext", "mime", "column", "type", "table"}
 
 
 def piped_paths(text: str) -> list[str]:

@@ -30,7 +30,7 @@ def test_schemas():
 @pytest.fixture
 def tree(tmp_path):
     for path, data in {
-        "src/main.py": b"print(1)\n", "src/lib.rs": b"fn main() {}", "docs/readme.md": b"# hi\n", "config/settings.toml": b"a = 1", ".hidden/x.txt": b"x", "Makefile": b"all:", "archive.tar.gz": b"\x1f\x8b",
+        "lab/start.py": b"print(1)\n", "lab/probe.rs": b"fn probe() {", "docs/readme.md": b"# hi\n", "etc/limits.toml": b"a = 1", ".hidden/x.txt": b"x", "Makefile": b"all:", "archive.tar.gz": b"\x1f\x8b",
         "skip.log": b"log", "data/file.csv": b"a,b", "myfile.py": b"", "broken.png": b"\x89PNG\r\n\x1a\n" + b"\0" * 4,
         "icon.png": b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + struct.pack(">II", 3, 5), "clip.mp4": b"\0\0\0 ftyp", ".gitignore": b"*.log\ndata/\n",
     }.items():
@@ -42,7 +42,7 @@ def tree(tmp_path):
 
 def test_scan(spark, tree):
     rows = {r["path"]: r for r in files.scan(spark, str(tree)).collect()}
-    assert set(rows) == {"src/main.py", "src/lib.rs", "docs/readme.md", "config/settings.toml", ".hidden/x.txt", "Makefile", "archive.tar.gz", "myfile.py", "broken.png", "icon.png", "clip.mp4", ".gitignore"}
+    assert set(rows) == {"lab/start.py", "lab/probe.rs", "docs/readme.md", "etc/limits.toml", ".hidden/x.txt", "Makefile", "archive.tar.gz", "myfile.py", "broken.png", "icon.png", "clip.mp4", ".gitignore"}
     assert files.scan(spark, str(tree)).columns == schema.FILES.names
     my = rows["myfile.py"]
     assert (my["name"], my["stem"], my["ext"], my["parent"], my["depth"], my["kind"], my["mime"], my["size"]) == ("myfile.py", "myfile", ".py", "", 0, "code", "text/x-python", 0)
@@ -50,12 +50,12 @@ def test_scan(spark, tree):
     assert (rows["broken.png"]["width"], rows["broken.png"]["height"]) == (None, None)
     assert rows["archive.tar.gz"]["ext"] == ".gz" and rows["archive.tar.gz"]["stem"] == "archive.tar"
     assert rows[".gitignore"]["ext"] == "" and rows[".gitignore"]["kind"] == "other"
-    assert (rows["src/main.py"]["parent"], rows["src/main.py"]["depth"]) == ("src", 1)
+    assert (rows["lab/start.py"]["parent"], rows["lab/start.py"]["depth"]) == ("lab", 1)
     assert isinstance(my["modified"], datetime.datetime)
     every = {r["path"] for r in files.scan(spark, str(tree), no_ignore=True).collect()}
     assert every - set(rows) == {"skip.log", "data/file.csv"}
     stored = {r["path"]: r["size"] for r in files.scan_store(spark, str(tree)).collect()}
-    assert stored["src/main.py"] == 9
+    assert stored["lab/start.py"] == 9
 
 
 def test_scan_of_nothing(spark, tmp_path):
@@ -131,18 +131,18 @@ def test_snippets(spark):
 def test_find(spark, tree):
     found = files.scan(spark, str(tree))
     paths = lambda df: [r["path"] for r in df.collect()]
-    assert set(paths(catalog.find(found, kind="code,config"))) == {"src/main.py", "src/lib.rs", "myfile.py", "config/settings.toml"}
-    assert paths(catalog.find(found, ext=".py", sort="size", descending=True)) == ["src/main.py", "myfile.py"]
-    assert paths(catalog.find(found, name="^MAIN", ignore_case=True)) == ["src/main.py"]
+    assert set(paths(catalog.find(found, kind="code,config"))) == {"lab/start.py", "lab/probe.rs", "myfile.py", "etc/limits.toml"}
+    assert paths(catalog.find(found, ext=".py", sort="size", descending=True)) == ["lab/start.py", "myfile.py"]
+    assert paths(catalog.find(found, name="^START", ignore_case=True)) == ["lab/start.py"]
     assert set(paths(catalog.find(found, max_depth=0))) == {"Makefile", "archive.tar.gz", "myfile.py", "broken.png", "icon.png", "clip.mp4", ".gitignore"}
     with pytest.raises(ValueError):
         catalog.find(found, sort="colour")
     a, b = catalog.find(catalog.find(found, kind="code"), min_size=1), catalog.find(found, kind="code", min_size=1)
     assert sorted(paths(a)) == sorted(paths(b))
     rolled = {r["dir"]: (r["files"], r["bytes"]) for r in catalog.rollup(found).collect()}
-    assert rolled["src"] == (2, 21) and rolled[""][0] == 12
+    assert rolled["lab"] == (2, 21) and rolled[""][0] == 12
     tree_ = sinks.tree(catalog.rollup(found), found)
-    assert tree_["files"] == 12 and {c["name"] for c in tree_["children"]} >= {"src", "docs", "Makefile"}
+    assert tree_["files"] == 12 and {c["name"] for c in tree_["children"]} >= {"lab", "docs", "Makefile"}
     assert "clip.mp4" not in paths(catalog.searchable(found)) and ".hidden/x.txt" not in paths(catalog.searchable(found))
     assert catalog.shown_columns(found)[:4] == ["path", "name", "kind", "size"]
 
@@ -433,3 +433,102 @@ def test_specs_and_peek(spark, tmp_path):
     assert set(specs.by_kind(specs.loaded(tmp_path / "q.json"))) == {"audio", "video"}
     rows = spark.createDataFrame([("a.toml", ".toml", 3, None)], "path string, ext string, size long, pages long")
     assert peek.peek_json(rows).first()["json"] == '{"path":"a.toml","ext":".toml","size":3,"media_kind":"text"}'
+
+
+# ---------------------------------------------------------------- ignore rules, globs, headers, plans
+
+IGNORED = [
+    (["a/*.txt"], "", [("a/x.txt", True), ("a/b/x.txt", False), ("c/a/x.txt", False)]),
+    (["doc/**/y"], "", [("doc/y", True), ("doc/a/b/y", True), ("doc/ay", False)]),
+    (["*.log", "!keep.log"], "", [("x.log", True), ("d/x.log", True), ("d/keep.log", False)]),
+    (["/top", "logs/**"], "", [("top", True), ("d/top", False), ("logs/a/b", True), ("logs", False)]),
+    (["*.tmp", "own/*.c"], "sub", [("sub/x.tmp", True), ("sub/deep/x.tmp", True), ("sub/own/m.c", True), ("sub/deep/own/m.c", False)]),
+    (["[ab]?.x", "[!ab].y", "# no", "\\#yes"], "", [("az.x", True), ("cz.x", False), ("c.y", True), ("a.y", False), ("#yes", True), ("# no", False)]),
+]
+
+
+@pytest.mark.parametrize(("lines", "folder", "cases"), IGNORED)
+def test_ignore_rules(lines, folder, cases):
+    rules = files.IgnoreRules(lines, folder)
+    assert [(p, bool(rules.verdict(p, False))) for p, _ in cases] == cases
+
+
+def test_inner_ignore_files_decide(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "conf"))
+    root = tmp_path / "root"
+    for path, data in {"conf/git/ignore": "*.mine\n", "root/.gitignore": "*.o\nbuild/\n", "root/sub/.gitignore": "!wanted.o\n/only.txt\n", "root/sub/.ignore": "quiet\n"}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(data)
+    for path in ("a.o", "b.mine", "build/x", "sub/wanted.o", "sub/other.o", "sub/only.txt", "sub/deep/only.txt", "sub/quiet", "only.txt"):
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text("x")
+    got = {r["path"] for r in files.scan(spark, str(root)).collect()}
+    assert got == {".gitignore", "only.txt", "sub/.gitignore", "sub/.ignore", "sub/wanted.o", "sub/deep/only.txt"}
+
+
+def test_header_words_are_no_paths():
+    assert files.piped_paths("kind\tsize\nx\ta.py\nmime,ext\nfile\ntable\n") == ["a.py"]
+
+
+@pytest.mark.parametrize(("pattern", "fits", "not_"), [("*.py", ["a.py", ".py", "a\n.py"], ["a.pyc", "a.PY"]), ("a?[0-9].[^x]*", ["ab1.yz", "a.2.y"], ["ab1.x", "a1.y"]), ("it's\\*", ["it's\\x"], ["its\\x"]), ("[]a]b[", ["]b[", "ab["], ["b["])])
+def test_glob(spark, pattern, fits, not_):
+    rows = spark.createDataFrame([(x,) for x in fits + not_], "name string")
+    quoted = pattern.replace("'", "''")
+    assert {r["name"] for r in sqlview.sql(spark, f"SELECT name FROM globbed WHERE name GLOB '{quoted}'", {"globbed": rows}).collect()} == set(fits)
+    with pytest.raises(ValueError, match="GLOB"):
+        sqlview.translated("SELECT a GLOB b FROM t")
+
+
+def test_every_video_encoder_can_be_planned(spark):
+    scenes = F.expr("array(struct(0.0D AS start, 4.0D AS end), struct(4.0D AS start, 10.0D AS end))")
+    rows = spark.createDataFrame([("v", 10.0)], "uri string, duration_s double").withColumn("scenes", scenes)
+    for name, plan in media_plans.PLANS.items():
+        if plan.keys() & {"frames", "per_second", "per_shot"} and "window" not in plan:
+            assert media_plans.frame_rows(rows, name, scenes="scenes").count() > 0, name
+    shots = media_plans.frame_rows(rows, "video/shots", scenes="scenes").collect()
+    assert [(r["message"], r["part"], r["time"]) for r in shots if r["part"] in (0, 7)] == [(0, 0, 0.25), (0, 7, 3.75), (1, 0, 4.375), (1, 7, 9.625)]
+    assert media_plans.frame_rows(rows, "video/shot-mosaic").count() == 16
+
+
+def test_hamming_pairs_of_all_distances(spark):
+    rng = np.random.default_rng(3)
+    base = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 20)]
+    hashes = base + [h ^ sum(1 << int(b) for b in rng.choice(63, n, replace=False)) for h in base for n in range(1, 10)]
+    rows = spark.createDataFrame(list(enumerate(hashes)), "k long, phash long")
+    got = {(r["a"], r["b"], r["distance"]) for r in dedup.hamming_pairs(rows, "k").collect()}
+    want = {(i, j, d) for i, a in enumerate(hashes) for j, b in enumerate(hashes) if i < j and (d := bin((a ^ b) & ((1 << 64) - 1)).count("1")) < 8}
+    assert got == want and len(want) > 100
+
+
+def test_ranks_of_a_hot_key(spark):
+    rows = spark.createDataFrame([("hot" if i % 4 else None if i % 8 else "b", i) for i in range(500)], "key string, n long").repartition(5)
+    got = {(r["key"], r["n"]): r["at"] for r in store.ranked(rows, ["key"], ["n"], "at").collect()}
+    for key in ("hot", "b", None):
+        own = sorted(n for k, n in got if k == key)
+        assert [got[key, n] for n in own] == list(range(1, len(own) + 1))
+
+
+def test_versions_of_a_store(spark, tmp_path):
+    kept = store.Store(spark, str(tmp_path))
+    assert kept.version("chunks_vec") == 0 and kept.read("chunks_vec").count() == 0
+    for n in range(1, 12):
+        kept.write("chunks_vec", spark.createDataFrame([(n, [1.0])], "chunk_id long, embedding array<float>"))
+    assert kept.version("chunks_vec") == 11 and [r["chunk_id"] for r in kept.read("chunks_vec").collect()] == [11]
+    (tmp_path / "chunks_vec" / "v=12").mkdir()  # of a writer that was lost before its pointer
+    assert [r["chunk_id"] for r in kept.read("chunks_vec").collect()] == [11]
+
+
+def test_nearest_by_blocks_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = spark.createDataFrame([(i, [float(x) for x in rng.random(3)]) for i in range(60)], "vec_id long, embedding array<float>")
+    asked = vectors.where("vec_id % 4 = 0")
+    whole = sorted(map(tuple, search.nearest_to_rows(vectors, asked, 3).collect()))
+    monkeypatch.setattr(search, "QUERY_BLOCK", 4)
+    assert sorted(map(tuple, search.nearest_to_rows(vectors, asked, 3).collect())) == whole and len(whole) == 45
+
+
+def test_few_files_are_picked_again_and_again(spark):
+    rows = spark.createDataFrame([("d/b", "b", "text", 1), ("c/a", "a", "text", None), ("x", "x", "code", 0)], "path string, name string, kind string, size long")
+    assert [r["path"] for r in catalog.picked(rows, "text", 5).orderBy("slot").collect()] == ["c/a", "d/b", "c/a", "d/b", "c/a"]
+    assert catalog.picked(rows, "image", 5).count() == 0
+    assert catalog.picked_smallest(rows, "text").first()["path"] == "d/b" and catalog.picked_first(rows, "text").first()["path"] == "c/a"
