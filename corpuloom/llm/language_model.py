@@ -441,7 +441,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     learner, letters = MatchLearner(), np.zeros(256)
     for batch in batches:
         teaches = ~batch["held_out"].to_numpy(zero_copy_only=False)
-        for lo, hi, text in slices(text_of(batch["text"]), 8 << 20):
+        for lo, hi, text in slices(text_of(batch["text"]), 3 << 20):
             words = words_of(text)
             _, at, which = np.unique(words.hashes, return_index=True, return_inverse=True)
             own = teaches[lo:hi][words.rows()]
