@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, smart_case, snippet, split_lines
 from ..session import arrow_map
-
+from .chunks import chunked
 
 #: Query vectors that are broadcast at a time.
 QUERY_BLOCK = 4096
+#: How often an embedding is tried.
+ATTEMPTS = 3
 
 
 def grep(files: DataFrame, pattern: str, *, ignore_case: bool = False, smart: bool = True, context: int = 0) -> DataFrame:
@@ -123,21 +129,70 @@ def index_status(files: DataFrame, chunks: DataFrame, vectors: DataFrame) -> Dat
     return both.select("uri", F.when(F.col("_v"), "indexed").when(F.col("_c"), "chunked_only").otherwise("unprocessed").alias("status"))
 
 
-def embedded(chunks: DataFrame, embed) -> DataFrame:
-    """chunk_id and embedding of each chunk; embed takes and returns lists, a batch at a time, and is retried."""
-    from collections.abc import Iterator
+def _embedded(texts: list[str], embed, delay: float) -> list[list[float]]:
+    """embed(texts), tried ATTEMPTS times, each wait twice as long as the one before."""
+    for attempt in range(ATTEMPTS):
+        try:
+            vectors = embed(texts)
+            if len(vectors) != len(texts):
+                raise ValueError(f"{len(vectors)} vectors for {len(texts)} texts")
+            return vectors
+        except Exception:
+            if attempt == ATTEMPTS - 1:
+                raise
+            time.sleep(delay * 2**attempt)
+    raise AssertionError("unreachable")
+
 
-    import pyarrow as pa
+def embedded(chunks: DataFrame, embed, delay: float = 1.0) -> DataFrame:
+    """chunk_id and embedding of each chunk; embed takes and returns lists, a batch at a time, and is retried."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for attempt in range(3):
-                try:
-                    vectors = embed(batch["chunk_text"].to_pylist())
-                    break
-                except Exception:
-                    if attempt == 2:
-                        raise
+            vectors = _embedded(batch["chunk_text"].to_pylist(), embed, delay)
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(vectors, pa.list_(pa.float32()))], ["chunk_id", "embedding"])
 
     return arrow_map(chunks.select("id", "chunk_text"), run, "chunk_id bigint, embedding array<float>")
+
+
+def missing_chunks(files: DataFrame, chunks: DataFrame, vectors: DataFrame, text: str = "text") -> DataFrame:
+    """file_uri, id, chunk_idx and chunk_text of all that has no vector in files that are not indexed.
+
+    Stored chunks of files that are only chunked keep their id; files without chunks (uri, text) are chunked
+    now, and their chunks have no id yet.  Files without text give nothing.
+    """
+    status = index_status(files, chunks, vectors)
+    waiting = status.where("status = 'chunked_only'").select(F.col("uri").alias("file_uri"))
+    stored = chunks.join(waiting, "file_uri", "left_semi").select("file_uri", "id", "chunk_idx", "chunk_text")
+    new = files.select("uri", F.col(text).alias("_text")).join(status.where("status = 'unprocessed'").select("uri"), "uri", "left_semi")
+    return stored.unionByName(chunked(new, "_text").select(F.col("uri").alias("file_uri"), F.lit(None).cast("bigint").alias("id"), F.col("chunk_idx").cast("int"), "chunk_text"))
+
+
+def embedded_partly(chunks: DataFrame, embed, delay: float = 1.0) -> DataFrame:
+    """Chunks with embedding and error: a batch that fails is tried text by text, and a text that fails has no embedding but an error."""
+    names = ["file_uri", "id", "chunk_idx", "chunk_text"]
+
+    def each(texts: list[str]) -> Iterator[tuple[list[float] | None, str | None]]:
+        try:
+            yield from ((v, None) for v in _embedded(texts, embed, delay))
+            return
+        except Exception as e:
+            if len(texts) == 1:
+                yield None, str(e)
+                return
+        for one in texts:
+            yield from each([one])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = list(each(batch["chunk_text"].to_pylist())) if batch.num_rows else []
+            made = [pa.array([v for v, _ in got], pa.list_(pa.float32())), pa.array([e for _, e in got], pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), *made], [*names, "embedding", "error"])
+
+    return arrow_map(chunks.select(*names), run, "file_uri string, id bigint, chunk_idx int, chunk_text string, embedding array<float>, error string")
+
+
+def indexed_files(embedded: DataFrame) -> DataFrame:
+    """file_uri, n_embedded, n_failed and indexed (nothing failed) of each file of embedded_partly."""
+    failed = F.count("error")
+    return embedded.groupBy("file_uri").agg(F.count("embedding").alias("n_embedded"), failed.alias("n_failed"), (failed == 0).alias("indexed"))

@@ -16,6 +16,7 @@ from ..session import arrow_map
 
 Encoder = Callable[[str, object, dict], Iterator[tuple[int, int, str, str]]]
 _REGISTRY: dict[str, Encoder] = {}
+SCHEMA = "uri string, message int, part int, type string, text string"
 
 
 def register(kind: str, name: str) -> Callable[[Encoder], Encoder]:
@@ -52,16 +53,31 @@ def transcript_lines(uri: str, data: object, options: dict) -> Iterator[tuple[in
         yield 0, i, "text", f"[{start * speed:.1f}s - {end * speed:.1f}s] {text}"
 
 
-def encoded(files: DataFrame, encoder: str, options: dict | None = None, *, uri: str = "path", data: str = "text") -> DataFrame:
-    """uri, message, part, type and text of all parts of each file."""
+Transform = Callable[[list[dict], dict], list[dict]]
+
+
+def encoded(files: DataFrame, encoder: str, options: dict | None = None, *, uri: str = "path", data: str = "text", transform: Transform | None = None) -> DataFrame:
+    """uri, message, part, type and text of all parts of each file.
+
+    transform, a function (never source text), takes all parts of a file as (message, part, type, text) and a context
+    (uri and the options) and gives the parts to keep; those without message or part come in order in message 0.
+    """
     run, options = _REGISTRY[encoder], options or {}
 
+    def parts(u: str, x: object) -> Iterator[tuple[int, int, str, str]]:
+        if transform is None:
+            yield from run(u, x, options)
+            return
+        made = [dict(zip(("message", "part", "type", "text"), p, strict=True)) for p in run(u, x, options)]
+        for i, p in enumerate(transform(made, {"uri": u, **options})):
+            yield p.get("message", 0), p.get("part", i), p.get("type", "text"), p["text"]
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(u, *part) for u, x in zip(batch["uri"].to_pylist(), batch["data"].to_pylist(), strict=True) for part in run(u, x, options)]
+            rows = [(u, *part) for u, x in zip(batch["uri"].to_pylist(), batch["data"].to_pylist(), strict=True) for part in parts(u, x)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["uri", "message", "part", "type", "text"])
 
     slim = files.selectExpr(f"`{uri}` AS uri", f"`{data}` AS data")
-    return arrow_map(slim, encode, "uri string, message int, part int, type string, text string")
+    return arrow_map(slim, encode, SCHEMA)

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import content_hash
+from ..functions.media import perceptual_hash
 from ..functions.text import clock, human_size, line_count, preview, word_count
 from ..session import arrow_map
+from .av import extract_media
 from .files import image_size, language_of
+from .pixels import grey
 
 
 def extract_text(files: DataFrame) -> DataFrame:
@@ -73,25 +79,54 @@ def exif(data: bytes) -> dict[str, str]:
         return {}
 
 
-def extract_images(files: DataFrame, data: str = "content") -> DataFrame:
-    """path, content_hash, dimensions, magic_mime and exif_* of image bytes; what cannot be read is null."""
-    import hashlib
+def extract_images(files: DataFrame, data: str = "content", decode: Callable[[bytes], np.ndarray | None] = grey) -> DataFrame:
+    """path, content_hash, dimensions, magic_mime, phash and exif_* of image bytes; what cannot be read is null.
 
-    names = ["content_hash", "dimensions", "magic_mime", "exif_camera", "exif_date", "exif_gps", "exif_orientation"]
+    decode gives an image's grey pixels or None; the built-in one reads PNG and BMP without a media library.
+    """
+    names = ["content_hash", "dimensions", "magic_mime", "phash", "exif_camera", "exif_date", "exif_gps", "exif_orientation"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for raw in batch["data"].to_pylist():
                 raw = raw or b""
-                size, tags = image_size(raw), exif(raw)
-                rows.append((hashlib.sha256(raw).hexdigest(), f"{size[0]}x{size[1]}" if size else None, magic_mime(raw), *(tags.get(k) for k in ("camera", "date", "gps", "orientation"))))
+                size, tags, pixels = image_size(raw), exif(raw), decode(raw)
+                rows.append((hashlib.sha256(raw).hexdigest(), f"{size[0]}x{size[1]}" if size else None, magic_mime(raw), perceptual_hash(pixels) if pixels is not None else None, *(tags.get(k) for k in ("camera", "date", "gps", "orientation"))))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([batch["path"], *(pa.array(c, pa.string()) for c in columns)], ["path", *names])
 
     return arrow_map(files.selectExpr("path", f"`{data}` AS data"), read, f"path string, {', '.join(f'{n} string' for n in names)}")
 
 
+def extract_hash(files: DataFrame, data: str = "content") -> DataFrame:
+    """path and content_hash of bytes: all that is taken from documents, data and other files."""
+    return files.select("path", F.sha2(F.coalesce(F.col(data), F.lit(b"")), 256).alias("content_hash"))
+
+
+def extract_utf8(files: DataFrame, data: str = "content") -> DataFrame:
+    """extract_text of bytes that are UTF-8; of others all but path and language is null."""
+    return extract_text(files.withColumn("text", F.try_validate_utf8(F.col(data).cast("string"))))
+
+
+#: What reads files (path, ext, kind, content) of a kind; the other kinds are only hashed.
+EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {"image": extract_images, "video": extract_media, "audio": extract_media, "code": extract_utf8, "text": extract_utf8, "config": extract_utf8}
+
+
+def extract(files: DataFrame, extractors: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """path and the content columns of all files by the extractor of their kind; what a kind does not have is null.
+
+    Files whose kind is null are hashed too.  extractors replace or add to EXTRACTORS; kinds of the same extractor share a
+    pass over the files, and kind is filtered in the scan.
+    """
+    chosen, kinds_of = EXTRACTORS | (extractors or {}), {}
+    for kind, run in chosen.items():
+        kinds_of.setdefault(run, []).append(kind)
+    rest = extract_hash(files.where(F.col("kind").isNull() | ~F.col("kind").isin(*chosen)))
+    parts = [run(files.where(F.col("kind").isin(*kinds))) for run, kinds in kinds_of.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*parts, rest])
+
+
 def labelled(kind: Column) -> Column:
     """Metadata as Label: value lines by kind; lines without a value are left out.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import cell, fixed, human_size
+from ..operators.context import refs_column
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
@@ -90,9 +91,53 @@ def dir_label(name: Column, files: Column, size: Column) -> Column:
     return F.concat(name, F.lit(" ("), files.cast("string"), F.lit(" files, "), human_size(size), F.lit(")"))
 
 
-def to_arrow(df: DataFrame):
-    return df.toArrow()
+def context_table(items: DataFrame, session: str, contents: bool = False) -> str:
+    """A markdown table of a session's items (pos, ref_id, role, kind, source) in order, under a heading unless contents are shown.
 
+    With contents items have content, summary and note too; the first that is there fills the last column, cut to 120
+    characters.  A session is what one person collected, so it is collected here.
+    """
+    columns = ["ref_id", "role", "kind", F.replace(F.replace("source", F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit("\\|")).alias("source")]
+    heads = ["ref", "role", "kind", "source"]
+    if contents:
+        heads.append("content")
+        columns.append(F.coalesce(cell(F.coalesce("content", "summary", "note")), F.lit("")).alias("content"))
+    rows = items.orderBy("pos").select(*columns).collect()
+    title = [] if contents else [f"Context(session={session}, items={len(rows)})", ""]
+    if not rows and not contents:
+        return "\n".join(title) + "\n"
+    lines = [f"| {' | '.join(heads)} |", f"|{'|'.join('-' * (len(h) + 2) for h in heads)}|"]
+    return "\n".join(title + lines + [f"| {' | '.join('' if x is None else x for x in r)} |" for r in rows]) + "\n"
 
-def to_pandas(df: DataFrame):
-    return df.toPandas()
+
+def context_tree(items: DataFrame, session: str) -> str:
+    """A session's items in order, as branches of a tree, each with its metadata (array of k, v) below it."""
+    short = F.when(F.length("source") > 80, F.concat(F.left("source", F.lit(79)), F.lit("…"))).otherwise(F.col("source"))
+    rows = items.orderBy("pos").select("ref_id", "role", "kind", short.alias("source"), "metadata").collect()
+    lines = [f"Context(session={session}, items={len(rows)})"]
+    for n, item in enumerate(rows, 1):
+        branch, below = ("└──", "   ") if n == len(rows) else ("├──", "│  ")
+        lines.append(f"{branch} [{n}] {item['ref_id']}  {item['role']}  {item['kind']}  {item['source']}")
+        entries = item["metadata"] or []
+        lines += [f"{below}      {'└─' if m == len(entries) else '├─'} {x['k']}: {x['v']}" for m, x in enumerate(entries, 1)]
+    return "\n".join(lines) + "\n"
+
+
+def with_session(df: DataFrame, refs: DataFrame | None, session: str | None) -> DataFrame:
+    """df with session_id and ref_id where a session is given."""
+    return df if refs is None else refs_column(df, refs, session)
+
+
+def to_arrow(df: DataFrame, refs: DataFrame | None = None, session: str | None = None):
+    return with_session(df, refs, session).toArrow()
+
+
+def to_pandas(df: DataFrame, refs: DataFrame | None = None, session: str | None = None):
+    return with_session(df, refs, session).toPandas()
+
+
+def to_polars(df: DataFrame, refs: DataFrame | None = None, session: str | None = None):
+    """Needs polars."""
+    import polars
+
+    return polars.from_arrow(to_arrow(df, refs, session))

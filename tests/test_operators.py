@@ -1,5 +1,7 @@
 import datetime
+import hashlib
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -10,8 +12,8 @@ from pyspark.sql import functions as F
 from corpuloom import schema
 from corpuloom.functions import ids, media, text
 from corpuloom.operators import accounting, cache, catalog, chunks, context, dedup, peek, search, store
-from corpuloom.plans import encoders, media_plans, specs, sqlview, strategy
-from corpuloom.sources import av, extract, files, office, sinks
+from corpuloom.plans import encoders, generate, media_plans, specs, sqlview, strategy, transcription
+from corpuloom.sources import av, extract, files, office, pixels, sinks
 from corpuloom.streaming import ingest
 
 
@@ -532,3 +534,122 @@ def test_few_files_are_picked_again_and_again(spark):
     assert [r["path"] for r in catalog.picked(rows, "text", 5).orderBy("slot").collect()] == ["c/a", "d/b", "c/a", "d/b", "c/a"]
     assert catalog.picked(rows, "image", 5).count() == 0
     assert catalog.picked_smallest(rows, "text").first()["path"] == "d/b" and catalog.picked_first(rows, "text").first()["path"] == "c/a"
+
+
+# ---------------------------------------------------------------- injected callables
+
+
+def test_generated_answers(spark):
+    parts = spark.createDataFrame([("b", 1, 0, "text", "two"), ("a", 0, 1, "text", "y"), ("a", 0, 0, "text", "x"), ("b", 0, 0, "text", "one"), ("b", 2, 0, "text", "boom"), ("c", 0, 0, "text", "")], encoders.SCHEMA)
+
+    def call(message):
+        said = "".join(p["text"] for p in message)
+        if said == "boom":
+            raise RuntimeError("no answer")
+        return said.upper(), len(said), 1
+
+    got = {r["uri"]: r for r in generate.joined_answers(generate.answered(parts, call)).collect()}
+    assert got["a"]["text"] == "XY" and (got["a"]["prompt_tokens"], got["a"]["completion_tokens"]) == (2, 1)
+    assert got["b"]["text"] == "ONE\n\n---\n\nTWO" and got["b"]["errors"] == ["[LLM error: no answer]"]
+    assert got["c"]["text"] == "" and got["c"]["errors"] == []
+    answers = spark.createDataFrame([("a", 0, '[1, {"k": 2}]', 1, 1), ("a", 1, "3", 1, 1), ("a", 2, "no json", 1, 1), ("b", 0, None, 0, 0)], "uri string, message int, answer string, prompt_tokens bigint, completion_tokens bigint")
+    merged = {r["uri"]: r["text"] for r in generate.joined_answers(answers, json_mode=True).collect()}
+    assert merged == {"a": '[1, {"k": 2}, 3, "no json"]', "b": ""}
+    assert generate.joined_answers(generate.answered(parts.limit(0), call), json_mode=True).count() == 0
+
+
+def test_encoded_transform(spark):
+    pages = spark.createDataFrame([("a", "p1\fp2\fp3")], "path string, text string")
+
+    def transform(parts, about):
+        return [{"text": f"{about['uri']} {about['pages_per_message']}"}, *({**p, "text": p["text"].upper()} for p in parts if p["message"] == 1)]
+
+    got = encoders.encoded(pages, "document/page-text", {"pages_per_message": 2}, transform=transform).orderBy("message").collect()
+    assert [tuple(r) for r in got] == [("a", 0, 0, "text", "a 2"), ("a", 1, 0, "text", "--- PAGE 3 ---\nP3")]
+
+
+def test_transcription_registry(spark):
+    loud = transcription.Backend("loud", lambda data, o: [(0.0, 1.5, data.decode() * o.get("times", 1))], lambda: False)
+    transcription.register(loud)
+    try:
+        assert transcription.backends() == [("loud", False)] and transcription.chosen() is None and transcription.chosen("none") is None
+        assert transcription.chosen("loud") is loud and transcription.chosen("loud", times=None) is loud
+        files_ = spark.createDataFrame([("a", b"la"), ("b", None)], "path string, content binary")
+        got = {r["path"]: [tuple(s) for s in r["segments"]] for r in transcription.transcribed(files_, transcription.chosen("loud", times=2)).collect()}
+        assert got == {"a": [(0.0, 1.5, "lala")], "b": []}
+        transcription.register(transcription.Backend(transcription.DEFAULT, loud.transcribe))
+        assert transcription.chosen().name == transcription.DEFAULT
+    finally:
+        assert transcription.unregister("loud") and not transcription.unregister("loud")
+        transcription.unregister(transcription.DEFAULT)
+
+
+def test_index_missing(spark):
+    files_ = spark.createDataFrame([("done", "x"), ("cut", "y"), ("new", "z" * 3000), ("empty", ""), ("null", None)], "uri string, text string")
+    kept = spark.createDataFrame([(1, "done", 0, "x"), (2, "cut", 0, "y"), (3, "cut", 1, "bad")], "id bigint, file_uri string, chunk_idx int, chunk_text string")
+    vectors = spark.createDataFrame([(1, [1.0])], "chunk_id bigint, embedding array<float>")
+
+    def embed(texts):
+        if "bad" in texts:
+            raise ValueError("bad text")
+        return [[float(len(t))] for t in texts]
+
+    todo = search.missing_chunks(files_, kept, vectors)
+    assert {(r["file_uri"], r["id"], r["chunk_idx"], len(r["chunk_text"])) for r in todo.collect()} == {("cut", 2, 0, 1), ("cut", 3, 1, 3), ("new", None, 0, 2048), ("new", None, 1, 1052)}
+    made = search.embedded_partly(todo.coalesce(1), embed, delay=0)
+    assert {(r["file_uri"], r["chunk_idx"]): (r["embedding"], r["error"]) for r in made.collect()} == {("cut", 0): ([1.0], None), ("cut", 1): (None, "bad text"), ("new", 0): ([2048.0], None), ("new", 1): ([1052.0], None)}
+    assert {tuple(r) for r in search.indexed_files(made).collect()} == {("cut", 1, 1, False), ("new", 2, 0, True)}
+    with pytest.raises(Exception, match="1 vectors for 2 texts"):
+        search._embedded(["a", "b"], lambda texts: [[0.0]], 0)
+
+
+def test_extract_by_kind(spark, tmp_path):
+    picture = _png(np.arange(48, dtype=np.uint8).reshape(4, 4, 3), (0, 1, 2, 4))
+    rows = [("a.py", "py", "code", b"x = 1\n"), ("b.txt", "txt", "text", b"\xff\xfe"), ("c.png", "png", "image", picture), ("d.pdf", "pdf", "document", b"%PDF-"), ("e", None, None, None), ("f.mp3", "mp3", "audio", b"")]
+    got = {r["path"]: r for r in extract.extract(spark.createDataFrame(rows, "path string, ext string, kind string, content binary")).collect()}
+    assert set(got) == {r[0] for r in rows}
+    assert (got["a.py"]["line_count"], got["a.py"]["language"], got["a.py"]["dimensions"]) == (1, "python", None)
+    assert got["b.txt"]["content_hash"] is None and got["b.txt"]["text_preview"] is None
+    assert got["c.png"]["dimensions"] == "4x4" and len(got["c.png"]["phash"]) == 16
+    assert got["d.pdf"]["content_hash"] == hashlib.sha256(b"%PDF-").hexdigest() and got["e"]["content_hash"] == hashlib.sha256(b"").hexdigest()
+
+
+def _png(rgb, filters):
+    """A PNG of 8-bit RGB rows, each written with its own filter."""
+    height, width, _ = rgb.shape
+    rows = rgb.reshape(height, -1).astype(int)
+    raw = b""
+    for y in range(height):
+        up = rows[y - 1] if y else np.zeros_like(rows[0])
+        left, corner = np.r_[[0, 0, 0], rows[y][:-3]], np.r_[[0, 0, 0], up[:-3]]
+        base = left + up - corner
+        nearest = [min((a, b, c), key=lambda v: abs(p - v)) for a, b, c, p in zip(left, up, corner, base)]
+        guess = (0, left, up, (left + up) // 2, np.array(nearest))[filters[y]]
+        raw += bytes([filters[y], *((rows[y] - guess) % 256).tolist()])
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_pixels():
+    rgb = np.random.default_rng(1).integers(0, 256, (10, 7, 3), np.uint8)
+    want = rgb @ np.array([0.299, 0.587, 0.114])
+    assert np.allclose(pixels.grey(_png(rgb, [0, 1, 2, 3, 4] * 2)), want)
+    lines = b"".join(row[:, ::-1].tobytes() + b"\0" * 3 for row in rgb[::-1])
+    bmp = b"BM" + struct.pack("<IHHI", 54 + len(lines), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 7, 10, 1, 24, 0, len(lines), 0, 0, 0, 0) + lines
+    assert np.allclose(pixels.grey(bmp), want)
+    for broken in (b"", b"BM", bmp[:80], _png(rgb, [0] * 10)[:60], b"GIF89a"):
+        assert pixels.grey(broken) is None
+
+
+def test_context_renderings(spark):
+    items = spark.createDataFrame([(1, "img_000002", "user", "image", "a|b.png", None, "a\nnote", None, [("w", "3"), ("h", "4")]), (0, "txt_000001", "system", "text", "s" * 90, "x" * 200, None, None, None)], "pos int, ref_id string, role string, kind string, source string, content string, note string, summary string, metadata array<struct<k: string, v: string>>")
+    table = sinks.context_table(items, "s1")
+    assert table.split("\n")[:4] == ["Context(session=s1, items=2)", "", "| ref | role | kind | source |", "|-----|------|------|--------|"]
+    assert table.split("\n")[5] == "| img_000002 | user | image | a\\|b.png |"
+    assert sinks.context_table(items.limit(0), "s1") == "Context(session=s1, items=0)\n\n"
+    full = sinks.context_table(items, "s1", contents=True).split("\n")
+    assert full[2].endswith(f"| {'x' * 119}… |") and full[3].endswith("| a note |")
+    assert sinks.context_tree(items, "s1") == f"Context(session=s1, items=2)\n├── [1] txt_000001  system  text  {'s' * 79}…\n└── [2] img_000002  user  image  a|b.png\n         ├─ w: 3\n         └─ h: 4\n"
+    refs = spark.createDataFrame([("a|b.png", "img_000002")], "path string, ref_id string")
+    assert sinks.to_pandas(items.select(F.col("source").alias("path")).orderBy("pos"), refs, "s1")["ref_id"].notna().sum() == 1
+    assert sinks.to_arrow(items).num_rows == 2
