@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as decon
-from . import fingerprint, language_model, line_dedup, mixing, near_dedup, personal, secrets, toxicity, urls
+from . import fingerprint, language_model, line_dedup, mixing, near_dedup, personal, quality, secrets, toxicity, urls
 from .common import table
 
 
@@ -61,7 +61,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decon.judged(found).select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_dedup, op3_fingerprints, op4_line_dedup, op5_personal_data, op6_url_rules, op7_secrets, op8_language_model, op9_toxicity, op10_decontaminate)}
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keys=["doc_id"])
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_dedup, op3_fingerprints, op4_line_dedup, op5_personal_data, op6_url_rules, op7_secrets, op8_language_model, op9_toxicity, op10_decontaminate, op11_quality_rules)}
 
 ORACLE_SQL = {
     "op6_url_rules": r"""
@@ -106,5 +110,26 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s F
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+""",
+    "op11_quality_rules": f"""
+WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+x AS (SELECT *, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, row_number() OVER () AS r FROM w),
+win AS (SELECT r, i, w[i : i + 2] AS win FROM (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS i FROM x WHERE len(w) > 2)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS c FROM win) WHERE c > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY r),
+m AS (SELECT doc_id, lang, t, n_words, word_chars, n_symbols, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM x LEFT JOIN rep USING (r)),
+v AS (SELECT *, n_words < {quality.BASE_WORDS} OR 100 * n_repeat_words > {quality.BASE_REPEATED} * n_words AS base_failed,
+    CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END AS symbols, CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS repeated_lines,
+    CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeated_words, CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END AS mean FROM m),
+s AS (SELECT *, CAST(CASE {" ".join(f"WHEN {' OR '.join(f'n_words > 0 AND mean < {c[s]}' if rule == 'short_words' else f'{rule} > {c[s]}' if rule != 'long_words' else f'mean > {c[s]}' for rule, c in quality.LADDERS.items())} THEN {s + 1}" for s in range(12))} END AS INTEGER) AS severity FROM v),
+g AS (SELECT doc_id, max(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+u AS (SELECT lang, t, max(good) AS good, max(severity) AS severity FROM s JOIN g USING (doc_id) WHERE NOT base_failed GROUP BY lang, t),
+c AS (SELECT lang, l.level, count(*) AS n, count(*) FILTER (severity <= l.level) AS k FROM u, (SELECT unnest(generate_series(1, 12)) AS level) l WHERE good = 1 GROUP BY ALL),
+p AS (SELECT lang, level, list_sum(list_transform(generate_series(0, k), lambda i: exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({quality.LIMIT}) + (n - i) * ln(1 - {quality.LIMIT})))) AS tail FROM c),
+z AS (SELECT lang, max(level) AS level FROM p WHERE tail <= {quality.ERROR} / (SELECT count(*) FROM (SELECT DISTINCT lang FROM u)) GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(severity <= level, false) AS kept, severity, CAST(coalesce(level, 0) AS INTEGER) AS level
+FROM s LEFT JOIN z ON s.lang IS NOT DISTINCT FROM z.lang
 """,
 }
