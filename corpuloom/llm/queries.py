@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as decon
-from . import fingerprint, language_model, line_dedup, mixing, near_dedup, personal, quality, secrets, toxicity, urls
+from . import alignment, conversations, fingerprint, language_model, line_dedup, mixing, near_dedup, personal, quality, secrets, toxicity, urls
 from .common import table
 
 
@@ -65,7 +65,16 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keys=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_dedup, op3_fingerprints, op4_line_dedup, op5_personal_data, op6_url_rules, op7_secrets, op8_language_model, op9_toxicity, op10_decontaminate, op11_quality_rules)}
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), keys=["doc_id"])
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair_report(rows, conversations.damaged(rows))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_dedup, op3_fingerprints, op4_line_dedup, op5_personal_data, op6_url_rules, op7_secrets, op8_language_model, op9_toxicity, op10_decontaminate, op11_quality_rules, op12_token_alignment, op13_conversation_repair)}
 
 ORACLE_SQL = {
     "op6_url_rules": r"""
