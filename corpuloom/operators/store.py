@@ -1,10 +1,8 @@
-"""Keyed tables as versions of Parquet folders, and the changes that make new versions.
+"""Files, extractions, chunks and vectors in bucketed versions, and the changes that make new ones.
 
-A change reads version N and writes version N + 1 beside it, then makes its
-pointer, a file of that number; a reader keeps the version it opened.  Nothing is
-written over what may be read, and a job that is lost halfway leaves version N.
-Changes of several tables go from vectors to chunks, extractions and files, so
-that what is left of a lost one hangs on nothing, and running it again ends it.
+A change rewrites the buckets it touches and is seen whole, in all tables at once, or not
+at all (see buckets.py).  Files lie by uri, extractions by id, chunks by their file and
+vectors by their chunk, so what hangs on a file is rewritten where it lies.
 """
 
 from __future__ import annotations
@@ -13,46 +11,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import extraction_id
-from ..schema import CONTENT_COLUMNS, TABLES
-from .chunks import chunked
+from ..lineage import cut
+from ..schema import CONTENT_COLUMNS, KEYS, TABLES
+from .buckets import KEEP, Buckets, Table
+from .chunks import chunked, reassembled
 
+PLACES = {"files": "uri", "extractions": "id", "chunks": "file_uri", "chunks_vec": "chunk_id"}
 
-class Store:
+
+class Store(Buckets):
     """Tables files, extractions, chunks and chunks_vec below a folder of any file system."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return jvm, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-
-    def version(self, table: str) -> int:
-        """The largest number among the table's pointers; 0 without any."""
-        _, fs = self._fs()
-        folder = self._path(f"{table}/_versions")
-        return max((int(x.getPath().getName()) for x in fs.listStatus(folder)), default=0) if fs.exists(folder) else 0
-
-    def read(self, table: str) -> DataFrame:
-        version = self.version(table)
-        if not version:
-            return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/v={version}")
-
-    def write(self, table: str, rows: DataFrame, keep: int = 2) -> None:
-        """Makes rows the next version, and removes versions before the last keep."""
-        version = self.version(table) + 1
-        rows.select(*TABLES[table].names).write.mode("overwrite").parquet(f"{self.root}/{table}/v={version}")
-        _, fs = self._fs()
-        # The pointer is made once its rows are there; until then readers see the version before.
-        fs.create(self._path(f"{table}/_versions/{version}"), False).close()
-        for old in range(max(1, version - keep - 3), version - keep + 1):
-            fs.delete(self._path(f"{table}/_versions/{old}"), False)
-            fs.delete(self._path(f"{table}/v={old}"), True)
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, keep: int = KEEP):
+        super().__init__(spark, root, {t: Table(TABLES[t], KEYS[t], PLACES[t]) for t in TABLES}, buckets, keep)
 
     def register(self) -> None:
         """Temporary views of all tables, for SQL."""
@@ -61,62 +32,114 @@ class Store:
 
     # ------------------------------------------------------------ changes
 
-    def upsert_files(self, scanned: DataFrame) -> None:
-        self.write("files", upserted(self.read("files"), scanned))
-
-    def delete_files(self, uris: DataFrame) -> None:
-        files, extractions, chunks, vectors = cascaded(*(self.read(t) for t in ("files", "extractions", "chunks", "chunks_vec")), uris)
-        for table, rows in (("chunks_vec", vectors), ("chunks", chunks), ("extractions", extractions), ("files", files)):
-            self.write(table, rows)
-
-    def put_extraction(self, rows: DataFrame) -> None:
+    def upsert_files(self, scanned: DataFrame) -> int:
+        base, buckets = self.manifest(), self.touched("files", scanned)
+        return self.commit(base, {"files": self.staged("files", upserted(self.read("files", buckets=buckets, of=base), scanned), buckets)})
+
+    def ensure_metadata(self, scanned: DataFrame, uris: DataFrame) -> int:
+        base, buckets = self.manifest(), self.touched("files", uris)
+        return self.commit(base, {"files": self.staged("files", ensured(self.read("files", buckets=buckets, of=base), scanned, uris), buckets)})
+
+    def _without_vectors(self, base, gone: DataFrame) -> dict[int, str | None]:
+        """chunks_vec without the vectors of gone (chunk_id)."""
+        buckets = self.touched("chunks_vec", gone)
+        return self.staged("chunks_vec", self.read("chunks_vec", buckets=buckets, of=base).join(gone, "chunk_id", "left_anti"), buckets)
+
+    def delete_files(self, uris: DataFrame) -> int:
+        """Removes files (uri) with all that hangs on them."""
+        base = self.manifest()
+        uris = uris.select("uri").distinct()
+        by_uri = uris.withColumnRenamed("uri", "file_uri")
+        files, places = self.touched("files", uris), self.touched("chunks", by_uri)
+        ids = self.read("extractions", of=base).join(by_uri, "file_uri", "left_semi").select("id")
+        extractions = self.touched("extractions", ids)
+        chunks = self.read("chunks", buckets=places, of=base)
+        gone = chunks.join(by_uri, "file_uri", "left_semi").select(F.col("id").alias("chunk_id"))
+        staged = {"chunks_vec": self._without_vectors(base, gone)}
+        staged["chunks"] = self.staged("chunks", chunks.join(by_uri, "file_uri", "left_anti"), places)
+        staged["extractions"] = self.staged("extractions", self.read("extractions", buckets=extractions, of=base).join(by_uri, "file_uri", "left_anti"), extractions)
+        staged["files"] = self.staged("files", self.read("files", buckets=files, of=base).join(uris, "uri", "left_anti"), files)
+        return self.commit(base, staged)
+
+    def put_extraction(self, rows: DataFrame) -> int:
         """Replaces extractions by id, with their chunks and the chunks' vectors; rows: an extraction and its output.
 
-        An extraction of a file that is not stored is an error.
+        Both tiers are stored: the output under the extraction's mode, and as mode metadata the text that the
+        store has for the content hash, where it has one.  An extraction of a file that is not stored is an
+        error; of rows that share an id, any stays.
         """
-        missing = rows.join(self.read("files"), rows["file_uri"] == F.col("uri"), "left_anti").limit(1).collect()
+        base = self.manifest()
+        rows = cut(rows.dropDuplicates(["id"]))
+        by_uri = rows.select(F.col("file_uri").alias("uri"))
+        missing = by_uri.join(self.read("files", buckets=self.touched("files", by_uri), of=base), "uri", "left_anti").limit(1).collect()
         if missing:
-            raise ValueError(f"no stored file {missing[0]['file_uri']}")
-        chunks, vectors = self.read("chunks"), self.read("chunks_vec")
-        gone = chunks.join(rows.select(F.col("id").alias("extraction_id")), "extraction_id", "left_semi")
-        kept = chunks.join(gone.select("id"), "id", "left_anti")
-        base = kept.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        made = numbered(chunked(rows.select(F.col("id").alias("extraction_id"), "file_uri", "content_hash", "profile", "model", "mode", "created_at", "output"), "output"), ["file_uri", "mode", "extraction_id", "chunk_idx"], base)
-        self.write("chunks_vec", vectors.join(gone.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti"))
-        self.write("chunks", kept.unionByName(made.select(*kept.columns)))
+            raise ValueError(f"no stored file {missing[0]['uri']}")
+        places = self.touched("extractions", rows)
+        extractions = self.read("extractions", buckets=places, of=base)
+        # Equal content in another file has the same id, so that what is replaced may lie elsewhere.
+        old = extractions.join(rows.select("id"), "id", "left_semi")
+        around = self.touched("chunks", rows.select("file_uri").unionByName(old.select("file_uri")))
+        chunks = self.read("chunks", buckets=around, of=base)
+        gone = chunks.join(rows.select(F.col("id").alias("extraction_id")), "extraction_id", "left_semi").select("id")
+        first = self.read("chunks", of=base).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        texts = latest_content(self.read("files", of=base)).join(rows.select("content_hash").distinct(), "content_hash", "left_semi")
+        shape = rows.select(F.col("id").alias("extraction_id"), "file_uri", "content_hash", "profile", "model", "mode", "created_at", "output")
+        own = shape.drop("output", "mode").join(texts, "content_hash").withColumns({"mode": F.lit("metadata"), "output": F.col("text_preview")}).select(*shape.columns)
+        made = numbered(chunked(own.unionByName(shape), "output"), ["file_uri", "mode", "extraction_id", "chunk_idx"], first)
         summary = F.coalesce(F.left("output", F.lit(500)), F.lit(""))
-        self.write("extractions", replaced(self.read("extractions"), rows.withColumn("summary", summary).select(*TABLES["extractions"].names), "id"))
-
-    def put_text_chunks(self, rows: DataFrame) -> None:
+        fresh = rows.withColumn("summary", summary).select(*TABLES["extractions"].names)
+        return self.commit(
+            base,
+            {
+                "chunks_vec": self._without_vectors(base, gone.select(F.col("id").alias("chunk_id"))),
+                "chunks": self.staged("chunks", chunks.join(gone, "id", "left_anti").select(*TABLES["chunks"].names).unionByName(made.select(*TABLES["chunks"].names)), around),
+                "extractions": self.staged("extractions", replaced(extractions, fresh, "id"), places),
+            },
+        )
+
+    def outputs(self, ids: DataFrame) -> DataFrame:
+        """id and output of the stored extractions among ids (id): the tier of their own mode, whole."""
+        base = self.manifest()
+        known = self.read("extractions", buckets=self.touched("extractions", ids), of=base).join(ids.select("id").distinct(), "id", "left_semi")
+        pieces = self.read("chunks", buckets=self.touched("chunks", known), of=base)
+        of = pieces.join(known.select(F.col("id").alias("extraction_id"), "mode"), ["extraction_id", "mode"])
+        return known.select("id").join(reassembled(of, ["extraction_id"]), F.col("id") == F.col("extraction_id"), "left").select("id", F.coalesce("text", F.lit("")).alias("output"))
+
+    def put_text_chunks(self, rows: DataFrame) -> int:
         """Chunks of whole texts that belong to no extraction, in place of earlier ones of the same content; rows: file_uri, content_hash, content, created_at."""
-        chunks, vectors = text_chunks(self.read("chunks"), self.read("chunks_vec"), rows)
-        self.write("chunks_vec", vectors)
-        self.write("chunks", chunks)
-
-    def ensure_metadata(self, scanned: DataFrame, uris: DataFrame) -> None:
-        self.write("files", ensured(self.read("files"), scanned, uris))
+        base, chunks = self.manifest(), self.read("chunks")
+        orphans = chunks.where(F.col("extraction_id").isNull() & (F.col("mode") == "metadata")).join(rows.select("content_hash").distinct(), "content_hash", "left_semi")
+        around = self.touched("chunks", orphans.select("file_uri").unionByName(rows.select("file_uri")))
+        first = chunks.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        now, _ = text_chunks(self.read("chunks", buckets=around, of=base), self.read("chunks_vec", of=base), rows, first)
+        return self.commit(base, {"chunks_vec": self._without_vectors(base, orphans.select(F.col("id").alias("chunk_id"))), "chunks": self.staged("chunks", now, around)})
 
     def evict_extractions(self, ids: DataFrame) -> int:
         """Removes extractions (id) with their chunks and vectors; returns how many there were."""
-        extractions, chunks, vectors = self.read("extractions"), self.read("chunks"), self.read("chunks_vec")
-        n = extractions.join(ids, "id", "left_semi").count()
+        base = self.manifest()
+        places = self.touched("extractions", ids)
+        extractions = self.read("extractions", buckets=places, of=base)
+        known = extractions.join(ids.select("id").distinct(), "id", "left_semi")
+        n = known.count()
         if n:
-            gone = chunks.join(ids.select(F.col("id").alias("extraction_id")), "extraction_id", "left_semi")
-            self.write("chunks_vec", vectors.join(gone.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti"))
-            self.write("chunks", chunks.join(gone.select("id"), "id", "left_anti"))
-            self.write("extractions", extractions.join(ids, "id", "left_anti"))
+            around = self.touched("chunks", known)
+            chunks = self.read("chunks", buckets=around, of=base)
+            gone = chunks.join(known.select(F.col("id").alias("extraction_id")), "extraction_id", "left_semi").select("id")
+            staged = {"chunks_vec": self._without_vectors(base, gone.select(F.col("id").alias("chunk_id"))), "chunks": self.staged("chunks", chunks.join(gone, "id", "left_anti"), around)}
+            self.commit(base, staged | {"extractions": self.staged("extractions", extractions.join(known.select("id"), "id", "left_anti"), places)})
         return n
 
 
 def ranked(rows: DataFrame, keys: list[str], order: list[str], column: str) -> DataFrame:
     """Adds the number of each row in order within keys, from 1; a key's rows may lie in many ranges.
 
-    The number of ranges is given, so that both readings of them have the same partitions.
+    Bounds of ranges are drawn from samples, so the rows are kept with the range they are in: both readings
+    of them, for ranks and for the counts of ranges ahead, are of the same checkpoint.
     """
     from pyspark.sql import Window
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id())
+    dealt = cut(rows.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()))
     within = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order)))
     # A row for each key and range.
     counts = dealt.groupBy("_part", *keys).agg(F.count("*").alias("_c"))
@@ -175,15 +198,15 @@ def ensured(stored: DataFrame, scanned: DataFrame, uris: DataFrame) -> DataFrame
     return stored.unionByName(new.select(*(x for x in stored.columns if x in new.columns)), allowMissingColumns=True)
 
 
-def text_chunks(chunks: DataFrame, vectors: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def text_chunks(chunks: DataFrame, vectors: DataFrame, rows: DataFrame, base: int | None = None) -> tuple[DataFrame, DataFrame]:
     """chunks and vectors with the texts of rows (file_uri, content_hash, content) as chunks of mode metadata that hang on no extraction.
 
-    Earlier ones of the same content hash go, with their vectors.
+    Earlier ones of the same content hash go, with their vectors.  base: the largest id so far, if chunks are not all.
     """
     orphan = F.col("extraction_id").isNull() & (F.col("mode") == "metadata")
     old = chunks.where(orphan).join(rows.select("content_hash").distinct(), "content_hash", "left_semi").select("id")
     kept = chunks.join(old, "id", "left_anti")
-    base = chunks.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    base = chunks.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if base is None else base
     made = numbered(chunked(rows.dropDuplicates(["content_hash"]), "content").withColumns({"mode": F.lit("metadata"), "profile": F.lit(""), "model": F.lit("")}), ["file_uri", "content_hash", "chunk_idx"], base)
     made = made.select(*(F.col(f.name).cast(f.dataType) if f.name in made.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in chunks.schema))
     return kept.select(*chunks.columns).unionByName(made), vectors.join(old.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti")

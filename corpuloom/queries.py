@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import lineage, schema
 from .functions import ids, media, text
-from .operators import accounting, catalog, chunks, context, dedup, search, store
-from .plans import media_plans, sqlview, strategy
+from .operators import accounting, buckets, catalog, chunks, context, dedup, search, store
+from .plans import dispatch, media_plans, sqlview, strategy
 from .sources import extract, files, sinks
 from .streaming import ingest
 
@@ -326,6 +327,66 @@ def extract_text(spark, d):
     return extract.extract_text(documents(spark, d))
 
 
+# ---------------------------------------------------------------- versions, dispatch
+
+
+@query("""WITH l AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id)
+SELECT doc_id, CASE WHEN quality = 0 THEN 'gone' ELSE 'changed' END AS change, d.lang AS before_lang, CASE WHEN quality = 0 THEN NULL ELSE 'toxic' END AS after_lang, n_chars
+FROM documents d JOIN l USING (doc_id) WHERE quality = 0 OR (toxic = 1 AND lang IS DISTINCT FROM 'toxic')
+UNION ALL SELECT -1 - item_id, 'added', NULL, 'item', length(text) FROM benchmark""")
+def store_change_feed(spark, d):
+    """documents as version 1, toxic ones relabelled and benchmark items added as 2, those of low quality removed as 3: what differs between 1 and 3."""
+    docs, labels = table(spark, d, "documents").select("doc_id", "lang", "n_chars"), table(spark, d, "labels")
+    folder = lineage.scratch(spark, "versions")
+    kept = buckets.Buckets(spark, folder, {"documents": buckets.Table(docs.schema, "doc_id", "doc_id")}, buckets=32)
+    kept.write("documents", docs)
+    relabelled = docs.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi").withColumn("lang", F.lit("toxic"))
+    items = table(spark, d, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), F.lit("item").alias("lang"), F.length("text").cast("bigint").alias("n_chars"))
+    kept.put("documents", relabelled.unionByName(items))
+    kept.remove("documents", labels.where("quality = 0").select("doc_id"))
+    feed = kept.changes("documents", 1).select("doc_id", "change", F.col("before.lang").alias("before_lang"), F.col("after.lang").alias("after_lang"), F.coalesce("after.n_chars", "before.n_chars").alias("n_chars"))
+    found = lineage.cut(feed)
+    lineage.removed(spark, folder)
+    return found
+
+
+def _stored_corpus(spark, d, folder):
+    """documents as stored files with their texts, and a request for each."""
+    rows = documents(spark, d).where("text IS NOT NULL").withColumns({"uri": F.concat(F.lit("/corpus/"), "path"), "content_hash": ids.content_hash(F.col("text")), "text_preview": F.col("text"), "content_indexed_at": F.lit(1)})
+    fill = {"string": F.lit(""), "bigint": F.lit(0), "int": F.lit(0)}
+    columns = [(F.col(f.name) if f.name in rows.columns else F.lit(None) if f.nullable else fill[f.dataType.simpleString()]).cast(f.dataType).alias(f.name) for f in schema.STORED]
+    kept = store.Store(spark, folder, buckets=16)
+    kept.upsert_files(rows.select(*columns))
+    requests = rows.select(F.col("doc_id").alias("position"), F.col("uri").alias("file_uri"), "content_hash", F.lit("default").alias("profile"), F.lit("none").alias("model"), F.lit("fast").alias("mode"), F.lit("").alias("extra"), F.lit(0).cast("bigint").alias("created_at"))
+    texts = rows.select("content_hash", "text").dropDuplicates(["content_hash"])
+    compute = lambda asked: asked.join(texts, "content_hash").select("id", F.concat(F.lit("n="), F.length("text"), F.lit(" "), "text").alias("output"))
+    return kept, requests, compute
+
+
+@query("SELECT doc_id, sha256('n=' || length(text) || ' ' || text) AS output_hash, text IN (SELECT text FROM documents WHERE doc_id % 2 = 0) AS cached FROM documents WHERE text IS NOT NULL")
+def cached_dispatch(spark, d):
+    """Every other document is asked for first, then all: whose output was stored by then."""
+    folder = lineage.scratch(spark, "dispatch")
+    kept, requests, compute = _stored_corpus(spark, d, folder)
+    dispatch.dispatched(kept, requests.where("position % 2 = 0"), compute)
+    found = lineage.cut(dispatch.dispatched(kept, requests, compute).select(F.col("position").alias("doc_id"), F.sha2("output", 256).alias("output_hash"), "cached"))
+    lineage.removed(spark, folder)
+    return found
+
+
+@query("""WITH t AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL), n AS (SELECT 'metadata' AS mode, length(text) AS n FROM t UNION ALL SELECT 'fast', length('n=' || length(text) || ' ' || text) FROM t)
+SELECT mode, CAST(sum(CASE WHEN n = 0 THEN 0 WHEN n <= 2048 THEN 1 ELSE ceil((n - 2048) / 1948.0) + 1 END) AS BIGINT) AS chunks, CAST(count(*) FILTER (n > 0) AS BIGINT) AS extractions, CAST(sum(CASE WHEN n > 2048 THEN n + 100 * ceil((n - 2048) / 1948.0) ELSE n END) AS BIGINT) AS chars FROM n GROUP BY mode""")
+def stored_tiers(spark, d):
+    """Chunks of both tiers that a dispatch of all documents stores: each content once."""
+    folder = lineage.scratch(spark, "tiers")
+    kept, requests, compute = _stored_corpus(spark, d, folder)
+    dispatch.dispatched(kept, requests, compute)
+    rows = kept.read("chunks").groupBy("mode").agg(F.count("*").alias("chunks"), F.count_distinct("extraction_id").alias("extractions"), F.sum(F.length("chunk_text")).cast("bigint").alias("chars"))
+    found = lineage.cut(rows)
+    lineage.removed(spark, folder)
+    return found
+
+
 # ---------------------------------------------------------------- duplicates
 
 
