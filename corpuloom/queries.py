@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import lineage, schema
 from .functions import ids, media, text
 from .operators import accounting, buckets, catalog, chunks, context, dedup, search, store
-from .plans import dispatch, media_plans, sqlview, strategy
+from .plans import dispatch, media_plans, sqlview, strategy, table_function
 from .sources import extract, files, sinks
 from .streaming import ingest
 
@@ -387,6 +387,15 @@ def stored_tiers(spark, d):
     return found
 
 
+@query(f"""WITH {CHUNKS}, p AS (SELECT '/corpus/' || path AS uri, chunk_idx // 4 AS message, chunk_idx, '--- Page ' || (chunk_idx + 1) || ' ---' || chr(10) || chunk_text AS said FROM c)
+SELECT uri, CAST(message AS INTEGER) AS message, 0 AS part, 'text' AS type, sha256(string_agg(said, chr(10) || chr(10) ORDER BY chunk_idx)) AS text_hash FROM p GROUP BY uri, message""")
+def encode_sql_pages(spark, d):
+    """Documents' chunks as pages, four to a message, by the table function."""
+    table_function.register(spark)
+    pages = stored_chunks(spark, d).select(F.col("file_uri").alias("uri"), F.col("chunk_idx").alias("ordinal"), F.col("chunk_text").alias("data"))
+    return sqlview.sql(spark, "SELECT uri, message, part, type, sha2(text, 256) AS text_hash FROM encode_by(TABLE(pages) PARTITION BY (uri) ORDER BY (ordinal), 'document/pages', map('pages_per_message', '4'))", {"pages": pages})
+
+
 # ---------------------------------------------------------------- duplicates
 
 
