@@ -10,7 +10,7 @@ from .functions import ids, media, text
 from .operators import accounting, buckets, catalog, chunks, context, dedup, search, store
 from .plans import dispatch, media_plans, sqlview, strategy, table_function
 from .sources import extract, files, sinks
-from .streaming import ingest
+from .streaming import ingest, watch
 
 QUERIES, ORACLE_SQL = {}, {}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -634,6 +634,38 @@ def human_sizes(spark, d):
     return table(spark, d, "orders").select("o_orderkey", text.human_size(size).alias("shown"))
 
 
+@query("""WITH e AS (SELECT user_id, ts, value, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS starts FROM events),
+s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k""")
+def event_sessions(spark, d):
+    found = watch.sessions(table(spark, d, "events"), gap="30 minutes")
+    return found.withColumns({"total": F.round("total", 4)} | {c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+
+
+@query("""WITH k AS (SELECT doc_id, n_chars + CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 1 ELSE 0 END AS size FROM documents WHERE doc_id % 2 = 0), c AS (SELECT doc_id, n_chars AS size FROM documents WHERE doc_id % 3 <> 0)
+SELECT 'doc/' || coalesce(c.doc_id, k.doc_id) AS uri, CASE WHEN k.doc_id IS NULL THEN 'new' WHEN c.doc_id IS NULL THEN 'gone' ELSE 'stale' END AS change, coalesce(c.size, k.size) AS size
+FROM k FULL JOIN c USING (doc_id) WHERE k.doc_id IS NULL OR c.doc_id IS NULL OR k.size <> c.size""")
+def watched_documents(spark, d):
+    """Half of the documents as known files, two thirds as a stream of sightings two hours later: new, stale and gone, from keyed state."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before, folder = spark.conf.get(key), lineage.scratch(spark, "watch")
+    sighting = lambda df, hours, more: df.select(F.concat(F.lit("doc/"), "doc_id").alias("uri"), F.lit(1).cast("bigint").alias("modified"), (F.col("n_chars") + more).alias("size"), F.timestamp_seconds(F.lit(3600 * hours)).alias("seen_at"))
+    docs = table(spark, d, "documents").select("doc_id", "n_chars")
+    toxic = table(spark, d, "labels").where("toxic = 1").select("doc_id").distinct().withColumn("toxic", F.lit(1))
+    known = sighting(docs.where("doc_id % 2 = 0").join(toxic, "doc_id", "left"), 0, F.coalesce("toxic", F.lit(0)))
+    sighting(docs.where("doc_id % 3 <> 0"), 2, F.lit(0)).write.parquet(f"{folder}/scans")
+    found = watch.watched(ingest.stream_of(spark, f"{folder}/scans", watch.SEEN), after="1 hour", late="1 minute", stored=known).select("uri", "change", "size")
+    try:
+        watch.with_state(spark)
+        query = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    rows = lineage.cut(spark.read.schema("uri string, change string, size bigint").parquet(f"{folder}/out"))
+    lineage.removed(spark, folder)
+    return rows
+
+
 @query("""SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def event_activity(spark, d):
     return ingest.activity(table(spark, d, "events")).withColumns({"window_start": F.col("window_start").cast("timestamp_ntz"), "total": F.round("total", 4)})
