@@ -150,44 +150,61 @@ def _let(value: Column, then) -> Column:
 
 
 def aligned(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n_a, n_b, n_groups, groups_sha256 and links: an array of packed pairs of ids, one for each pair of tokens that overlap."""
+    """keys, n_a, n_b, n_groups, groups_sha256 and links: an array of packed pairs of ids, one for each pair of tokens that overlap.
+
+    Lambdas are evaluated node by node, so each does little: an entry of the sorted ends is turned into the
+    place of the first token of its link (or a mark, where it is the second of two equal ends), and that
+    into the pair.  Groups of one token of each, by far the most, are written without a list.
+    """
     call, big = F.call_function, lambda x: F.lit(x).cast("bigint")
-    end = lambda x: call("shiftright", x, F.lit(31))
-    place = lambda x: x.bitwiseAND(big((1 << 30) - 1)).cast("int")
-    of_second = lambda x: x.bitwiseAND(big(1 << 30)) != 0
+    mask = big((1 << 30) - 1)
     packed = lambda ends, mark: F.transform(ends, lambda e, i: call("shiftleft", e.cast("bigint"), F.lit(31)).bitwiseOR((i + mark).cast("bigint")))
     both = F.sort_array(F.concat(packed(F.col("a_ends"), 0), packed(F.col("b_ends"), 1 << 30)))
+    text = lambda ids: F.col(ids).cast("array<string>")
+
+    def firsts(m: Column) -> Column:
+        """The place of the first token of the link that ends at each entry; -1 - j at the j-th if it is the second of two equal ends."""
 
-    def links(m: Column) -> Column:
-        def pair(j: Column) -> Column:
-            x = F.get(m, j)
-            i, other = place(x), j - place(x)
-            a, b = F.when(of_second(x), other).otherwise(i), F.when(of_second(x), i).otherwise(other)
-            return call("shiftleft", F.get("a_ids", a).cast("bigint"), F.lit(SECOND)).bitwiseOR(F.get("b_ids", b).cast("bigint"))
+        def first(x: Column, j: Column) -> Column:
+            place = x.bitwiseAND(mask).cast("int")
+            same = call("shiftright", x, F.lit(31)) == call("shiftright", F.get(m, j - 1), F.lit(31))
+            return call("if", same, -1 - j, call("if", x.bitwiseAND(big(1 << 30)) == 0, place, j - place))
 
-        firsts = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda j: (j == 0) | (end(F.get(m, j)) != end(F.get(m, F.greatest(j - 1, F.lit(0))))))
-        return F.transform(firsts, pair)
+        return F.transform(m, first)
 
-    def groups(m: Column, a_text: Column, b_text: Column) -> Column:
-        """Tokens up to each shared end: the last of A stands before the last of B in the sorted ends."""
+    def links(of: Column, a_ids: Column, b_ids: Column) -> Column:
+        """As j entries stand before the j-th, the places of both tokens of its link add up to j."""
+        pair = lambda a, j: call("shiftleft", F.get(a_ids, a).cast("bigint"), F.lit(SECOND)).bitwiseOR(F.get(b_ids, j - a).cast("bigint"))
+        return F.array_remove(F.transform(of, lambda a, j: call("if", a < 0, big(-1), pair(a, j))), -1)
 
-        def written(shared: Column) -> Column:
+    def groups(m: Column, shared: Column, a_text: Column, b_text: Column) -> Column:
+        """Tokens up to each shared end; shared: where in the sorted ends the second of two equal ones stands."""
+
+        def written(seconds: Column) -> Column:
             def group(j: Column, g: Column) -> Column:
-                before = F.get(shared, g - 1)
-                a0, b0 = (F.when(g == 0, 0).otherwise(place(F.get(m, x)) + 1) for x in (before - 1, before))
+                b = F.get(seconds, g)
+                a = j - 1 - b
+                before = F.coalesce(F.get(shared, g - 1), F.lit(-1))
+                b0 = F.coalesce(F.get(seconds, g - 1), F.lit(-1)) + 1
                 # Not slice(), which copies the whole array each time.
-                ids = lambda of, i, k: F.array_join(F.transform(F.sequence(i, k), lambda x: F.get(of, x)), ",")
-                return F.concat(ids(a_text, a0, place(F.get(m, j - 1))), F.lit("|"), ids(b_text, b0, place(F.get(m, j))))
+                listed = lambda of, i, k: F.array_join(F.transform(F.sequence(i, k), lambda x: F.get(of, x)), ",")
+                several = F.concat(listed(a_text, before + 1 - b0, a), F.lit("|"), listed(b_text, b0, b))
+                return call("if", j - F.get(shared, g - 1) == 2, F.concat(F.get(a_text, a), F.lit("|"), F.get(b_text, b)), several)
 
             return F.sha2(F.array_join(F.transform(shared, group), ";"), 256)
 
-        return _let(F.filter(F.sequence(F.lit(1), F.size(m) - 1), lambda j: end(F.get(m, j)) == end(F.get(m, j - 1))), written)
+        return _let(F.transform(shared, lambda j: F.get(m, j).bitwiseAND(mask).cast("int")), written)
+
+    def made(m: Column, of: Column) -> Column:
+        shared = F.transform(F.filter(of, lambda a: a < 0), lambda a: -1 - a)
+        # What a lambda is given is worked out once, unlike a column that is made in an earlier select.
+        found = _let(F.col("a_ids"), lambda a: _let(F.col("b_ids"), lambda b: links(of, a, b)))
+        text_of_groups = _let(shared, lambda s: _let(text("a_ids"), lambda a: _let(text("b_ids"), lambda b: groups(m, s, a, b))))
+        return F.struct(found.alias("links"), text_of_groups.alias("sha"))
 
     some = F.size("a_ids") > 0
-    # A column that is made in an earlier select could be worked out again for each element; a lambda's argument is not.
-    text = lambda ids: F.col(ids).cast("array<string>")
-    made = _let(both, lambda m: F.struct(links(m).alias("links"), _let(text("a_ids"), lambda a: _let(text("b_ids"), lambda b: groups(m, a, b))).alias("sha")))
-    found = tokens.select(*keys, F.size("a_ids").cast("bigint").alias("n_a"), F.size("b_ids").cast("bigint").alias("n_b"), F.size(F.array_intersect("a_ends", "b_ends")).cast("bigint").alias("n_groups"), F.when(some, made).alias("_m"))
+    whole = _let(both, lambda m: _let(firsts(m), lambda of: made(m, of)))
+    found = tokens.select(*keys, F.size("a_ids").cast("bigint").alias("n_a"), F.size("b_ids").cast("bigint").alias("n_b"), F.size(F.array_intersect("a_ends", "b_ends")).cast("bigint").alias("n_groups"), F.when(some, whole).alias("_m"))
     return found.select(*keys, "n_a", "n_b", "n_groups", F.coalesce("_m.sha", F.lit("")).alias("groups_sha256"), F.coalesce("_m.links", F.expr("cast(array() as array<bigint>)")).alias("links"))
 
 
