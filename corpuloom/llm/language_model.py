@@ -33,15 +33,17 @@ comes from untrained predictors and the base from N = V = 0.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _ODD, LOWER, U64, WHITESPACE, Text, Words, _power_tables, cut, list_array, mix, partitions, prepared, signed, slices, sorted_unique, text_of, words_of
+from .common import _ODD, LOWER, U64, WHITESPACE, Text, Words, _power_tables, cut, list_array, mix, prepared, signed, slices, sorted_unique, text_of, words_of
 
 #: log2 of the slots of the hashed contexts of a byte: its place, 1, 2 and 3 bytes before.
 SLOT_BITS = (12, 16, 18, 20)
@@ -49,6 +51,8 @@ SLOT_BITS = (12, 16, 18, 20)
 WHOLE = 32
 #: Words in a range at most, on average.
 RANGE_WORDS = 30_000
+#: Ranges at least, and words drawn for the bounds of each.
+LEAST_RANGES, BOUND_SAMPLE = 8, 32
 #: Decisions that a step of scoring works on; steps of an epoch of learning, and epochs.
 STEP, STEPS, EPOCHS = 1 << 18, 64, 2
 HEAD = 1 << 20
@@ -440,17 +444,18 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, c, n): how often each word stands in training rows and in all; and what training rows say of bytes and matches."""
     learner, letters = MatchLearner(), np.zeros(256)
     for batch in batches:
-        teaches = ~batch["held_out"].to_numpy(zero_copy_only=False)
-        for lo, hi, text in slices(text_of(batch["text"]), 3 << 20):
-            words = words_of(text)
-            _, at, which = np.unique(words.hashes, return_index=True, return_inverse=True)
-            own = teaches[lo:hi][words.rows()]
-            c = np.bincount(which, own.astype(np.float64), len(at)).astype(np.int64)
-            n = np.bincount(which, minlength=len(at))
-            letters += np.bincount(np.where(WHITESPACE, 0x20, LOWER)[text.data], minlength=256)
-            for a, b, part in _rows_of(words):
-                learner.learn(_matches(part), teaches[lo + a : lo + b])
-            yield pa.RecordBatch.from_arrays([_taken(text, words.starts[at], words.ends[at]), pa.array(c), signed(n)], ["word", "c", "n"])
+        held = batch["held_out"]
+        # Apart, so that not even the steps of learning depend on rows that are held out.
+        for teaches, part in ((True, batch.filter(pc.invert(held))), (False, batch.filter(held))):
+            for _, _, text in slices(text_of(part["text"]), 3 << 20):
+                words = words_of(text)
+                _, at, which = np.unique(words.hashes, return_index=True, return_inverse=True)
+                n = np.bincount(which, minlength=len(at))
+                if teaches:
+                    letters += np.bincount(np.where(WHITESPACE, 0x20, LOWER)[text.data], minlength=256)
+                    for a, b, rows in _rows_of(words):
+                        learner.learn(_matches(rows), np.ones(b - a, bool))
+                yield pa.RecordBatch.from_arrays([_taken(text, words.starts[at], words.ends[at]), signed(n * teaches), signed(n)], ["word", "c", "n"])
     yield _marked(b"b", letters)
     yield _marked(b"m", learner.sums())
 
@@ -570,14 +575,35 @@ def _learned(ranged: DataFrame, speller: Speller) -> Speller:
             sums = learn_words(shared.value, _column(words, "word"), words["c"].to_numpy())
             yield pa.RecordBatch.from_arrays([list_array(pa.array(sums), np.array([len(sums)]))], ["x"])
 
-    sums = ranged.mapInArrow(learn, "x array<double>").select(F.posexplode("x").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+    sums = ranged.where("c > 0").mapInArrow(learn, "x array<double>").select(F.posexplode("x").alias("i", "x")).groupBy("i").agg(F.sum(F.round(F.col("x") * UNIT).cast("bigint")).alias("x")).toArrow()
     if not sums.num_rows:
         return speller
     flat = np.zeros(sums.num_rows)
-    flat[sums["i"].to_numpy()] = sums["x"].to_numpy()
+    flat[sums["i"].to_numpy()] = sums["x"].to_numpy() / UNIT
     return speller._replace(mixer=averaged(SPELL_START, flat))
 
 
+def _ranged(vocabulary: DataFrame, n: int) -> DataFrame:
+    """The words in sorted ranges of about RANGE_WORDS, whose bounds are words themselves.
+
+    What a range learns depends on its bounds, so these are drawn by hash from the n words of training rows,
+    BOUND_SAMPLE for each range: equal vocabularies have equal ranges, whatever the partitions.
+    """
+    ranges = max(LEAST_RANGES, -(-n // RANGE_WORDS))
+    every = max(1, n // (ranges * BOUND_SAMPLE))
+    drawn = sorted(bytes(r["word"]) for r in vocabulary.where((F.col("c") > 0) & (F.pmod(F.xxhash64("word"), F.lit(every)) == 0)).select("word").collect())
+    bounds = sorted({drawn[len(drawn) * k // ranges] for k in range(1, ranges)}) if drawn else []
+    shared = vocabulary.sparkSession.sparkContext.broadcast(bounds)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [bisect_right(shared.value, w) for w in batch["word"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32())], [*batch.schema.names, "range"])
+
+    dealt = vocabulary.mapInArrow(placed, "word binary, c bigint, n bigint, range int").repartitionById(len(bounds) + 1, F.col("range"))
+    return cut(dealt.sortWithinPartitions("word").drop("range"))
+
+
 class Scorer(NamedTuple):
     """tokens: N; words: V; scored: (h, c, n, score) of every word of the corpus, h its hash, n how often it stands; matches: of words expected again."""
 
@@ -599,13 +625,12 @@ def train(docs: DataFrame) -> Scorer:
     letters = _summed(learned, b"b", 256)
     matches = _match_model(_summed(learned, b"m", 2 * int(MATCH_BASE[-1]) + len(Learner(MATCH_START).sums())))
     vocabulary = counted.where(~marked)
-    known = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("c") > 0).cast("int")), F.lit(0)).alias("v"), F.count("*").alias("every")).first()
+    known = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("c") > 0).cast("int")), F.lit(0)).alias("v")).first()
     ends = rows.where(~F.col("held_out")).count()
     tokens, words = int(known["n"]) + ends, int(known["v"]) + (ends > 0)
     # The end is the empty word.
     whole = vocabulary.unionByName(spark.createDataFrame([(bytearray(), ends, ends)], "word binary, c bigint, n bigint"))
-    ranges = max(partitions(spark), -(-known["every"] // RANGE_WORDS))
-    ranged = cut(whole.repartitionByRange(ranges, "word").sortWithinPartitions("word"))
+    ranged = _ranged(whole, known["v"])
     speller = _learned(ranged, _speller(ranged, byte_code(letters)))
     shared = spark.sparkContext.broadcast(speller)
 
