@@ -146,7 +146,7 @@ def test_judgements_against_a_plain_version(spark):
     docs, labels = quality_corpus()
     d = spark.createDataFrame([(*x, "src", 3, "clash") for x in docs], "doc_id long, text string, lang string, source string, kept int, level string")
     lab = spark.createDataFrame([(*x, 0) for x in labels], "doc_id long, quality int, toxic int")
-    for limit in (0.05, 0.02):
+    for limit in (0.02, 0.05):
         got = Counter((r["doc_id"], r["base_failed"], r["kept"], r["level"]) for r in quality.judge(d, lab, ["doc_id"], limit=limit).collect())
         assert got == plain_judge(docs, labels, limit, quality.ERROR)
     levels = {lang: {k[3] for k in got if k[0] in {x[0] for x in docs if x[2] == lang}} for lang in ("en", "fr")}
@@ -373,8 +373,8 @@ def test_a_long_conversation_is_divided(spark, monkeypatch):
 def test_repaired_texts_and_empty_tables(spark):
     rows = [(1, 0, "user", "Hi."), (1, 1, "user", "More."), (1, 2, "assistant", "")]
     table = spark.createDataFrame(rows, COLUMNS)
-    pieces = conversations.Repair(table).texts().collect()
-    assert [(p["audit"], p["repaired"]) for p in pieces] == [("KRD", "user:Hi.\nassistant:More.")]
+    pieces = conversations.Repair(table).texts().orderBy("_pos").collect()  # one or more, as rows fall into ranges
+    assert "".join(p["audit"] for p in pieces) == "KRD" and "\n".join(p["repaired"] for p in pieces if p["repaired"]) == "user:Hi.\nassistant:More."
     assert conversations.repair_report(table.limit(0), table.limit(0)).collect() == []
     assert conversations.repair_report(table, table.limit(0)).collect()[0]["repaired_sha256"] == hashlib.sha256(b"").hexdigest()
 
