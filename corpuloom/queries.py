@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import lineage, schema
 from .functions import ids, media, text
-from .operators import accounting, buckets, catalog, chunks, context, dedup, search, store
+from .operators import accounting, buckets, catalog, chunks, context, dedup, metric, search, store
 from .plans import dispatch, media_plans, sqlview, strategy, table_function
 from .sources import extract, files, sinks
 from .streaming import ingest, watch
@@ -485,6 +485,13 @@ def knn_queries(spark, d):
     return search.nearest_to_rows(vectors, vectors.where("vec_id % 50 = 0"), 3).withColumn("distance", F.round("distance", 4))
 
 
+@query(ORACLE_SQL["knn_queries"])
+def knn_pivot(spark, d):
+    """As knn_queries, by the pivot index."""
+    vectors = table(spark, d, "embeddings")
+    return metric.PivotIndex(vectors).nearest(vectors.where("vec_id % 50 = 0"), 3).withColumn("distance", F.round("distance", 4))
+
+
 @query(f"""WITH {CHUNKS}, g AS (SELECT path, CAST(i AS INTEGER) AS line_number, line FROM (SELECT '/corpus/' || path AS path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d) WHERE contains(line, 'Apache')),
 s AS (SELECT '/corpus/' || path AS path, CAST(chunk_idx AS INTEGER) AS line_number FROM c WHERE contains({FOLD.format('chunk_text')}, 'apache') ORDER BY 1, 2 LIMIT 5),
 q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 0), v AS (SELECT vec_id, list_distance(CAST(embedding AS DOUBLE[]), e) AS distance FROM embeddings, q ORDER BY 2, 1 LIMIT 5),
