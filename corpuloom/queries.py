@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import lineage, schema
 from .functions import ids, media, text
-from .operators import accounting, buckets, catalog, chunks, context, dedup, metric, search, store
+from .operators import accounting, buckets, catalog, chunks, context, dedup, metric, search, store, trigrams
 from .plans import dispatch, media_plans, sqlview, strategy, table_function
 from .sources import extract, files, sinks
 from .streaming import ingest, watch
@@ -449,6 +449,28 @@ def fts_substring(spark, d):
     return search.substring_search(stored_chunks(spark, d), "THE Ap")
 
 
+def _indexed(spark, rows, text, order, find):
+    """What find gives of an index of rows; the index is removed."""
+    folder = lineage.scratch(spark, "grams")
+    index = trigrams.TrigramIndex(spark, folder)
+    index.build(rows, text, order)
+    found = lineage.cut(find(index))
+    lineage.removed(spark, folder)
+    return found
+
+
+@query(ORACLE_SQL["fts_substring"])
+def trigram_substring(spark, d):
+    """As fts_substring, through the trigram index."""
+    return _indexed(spark, stored_chunks(spark, d), "chunk_text", ["file_uri", "chunk_idx"], lambda x: x.substring_search("THE Ap"))
+
+
+@query(ORACLE_SQL["grep_regex_lines"])
+def trigram_grep(spark, d):
+    """As grep_regex_lines, through the trigram index."""
+    return _indexed(spark, documents(spark, d), "text", ["path"], lambda x: x.grep("licensed? +under"))
+
+
 @query(f"""WITH {CHUNKS}, f AS (SELECT path, chunk_idx, replace(chunk_text, chr(10), ' ') AS raw, strpos(chunk_text, 'Apache') AS p FROM c WHERE contains({FOLD.format('chunk_text')}, 'apache'))
 SELECT '/corpus/' || path AS path, CAST(chunk_idx AS INTEGER) AS line_number, CASE WHEN p > 0 THEN (CASE WHEN p > 41 THEN '...' ELSE '' END) || substr(raw, greatest(1, p - 40), least(length(raw), p + 45) - greatest(0, p - 41)) || (CASE WHEN p + 45 < length(raw) THEN '...' ELSE '' END)
  WHEN length(raw) > 140 THEN left(raw, 90) || '...' || right(raw, 50) ELSE left(raw, 140) END AS line FROM f""")
