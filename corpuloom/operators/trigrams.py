@@ -80,10 +80,10 @@ def required_literal(pattern: str) -> str:
 
 
 def _places(text: Column) -> Column:
-    """The distinct grams of a folded text."""
-    n = F.length(text)
-    made = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(text, i, F.lit(3)))
-    return F.when(n >= 3, F.array_distinct(made)).otherwise(F.expr("cast(array() as array<string>)"))
+    """The distinct grams of a text, folded; it is folded and divided once, and characters are taken by their index."""
+    grams_of = lambda c: F.when(F.size(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2)))))
+    made = F.element_at(F.transform(F.array(F.split(fold(text), "")), grams_of), 1)
+    return F.coalesce(made, F.expr("cast(array() as array<string>)"))
 
 
 class TrigramIndex:
@@ -98,7 +98,7 @@ class TrigramIndex:
         kept.hint("rebalance", "_block").write.partitionBy("_block").parquet(f"{self.root}/texts")
         texts = self.spark.read.parquet(f"{self.root}/texts")
         place = F.col("_id").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
-        each = texts.select(F.col("_block").cast("bigint").alias("block"), place.alias("place"), F.explode(_places(fold(F.col(text)))).alias("gram"))
+        each = texts.select(F.col("_block").cast("bigint").alias("block"), place.alias("place"), F.explode(_places(F.col(text))).alias("gram"))
         # A list has at most a place for each text of a block.
         lists = each.groupBy("gram", "block").agg(F.sort_array(F.collect_set("place")).alias("places")).withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(PARTS)).cast("int"))
         dealt = lists.hint("rebalance", "part").sortWithinPartitions("gram", "block")
