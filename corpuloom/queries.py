@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import lineage, schema
 from .functions import ids, media, text
-from .operators import accounting, buckets, catalog, chunks, context, dedup, metric, search, store, trigrams
+from .operators import accounting, buckets, catalog, chunks, context, dedup, editjoin, medians, metric, search, store, trigrams
 from .plans import dispatch, media_plans, sqlview, strategy, table_function
 from .sources import extract, files, sinks
 from .streaming import ingest, watch
@@ -210,6 +210,12 @@ def bench_stats(spark, d):
     return stats.select("name", "rounds", *(F.round(x, 6).alias(x) for x in ("mean_ms", "std_ms")), "min_ms", "max_ms", F.round("median_ms", 6).alias("median_ms"))
 
 
+@query("SELECT event_type, user_id % 7 AS slot, round(median(value), 9) AS median FROM events GROUP BY ALL")
+def exact_medians(spark, d):
+    events = table(spark, d, "events").withColumn("slot", F.col("user_id") % 7)
+    return medians.exact_medians(events, ["event_type", "slot"], "value").withColumn("median", F.round("median", 9))
+
+
 @query("""SELECT o_orderpriority AS model, count(*) AS calls, CAST(sum(o_custkey) AS BIGINT) AS prompt_tokens, CAST(coalesce(sum(nullif(o_orderkey % 5, 0)), 0) AS BIGINT) AS completion_tokens,
  CAST(sum(o_custkey) + coalesce(sum(nullif(o_orderkey % 5, 0)), 0) AS BIGINT) AS total_tokens FROM orders GROUP BY 1""")
 def token_usage(spark, d):
@@ -578,6 +584,15 @@ def closest_ref(spark, d):
     return context.closest_refs(refs, wanted)
 
 
+@query(ORACLE_SQL["closest_ref"])
+def closest_ref_pieces(spark, d):
+    """As closest_ref, joined by pieces of the refs, least distances first."""
+    key = F.concat_ws("-", "conv_id", "turn")
+    refs = table(spark, d, "conversations").select(ids.ref_id(F.lit("text"), F.lit("s1"), key).alias("ref_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), "conv_id", "turn")
+    wanted = refs.where("conv_id % 50 = 0 AND turn = 0").select(F.concat(F.left("ref_id", F.lit(9)), F.lit("z")).alias("wanted"))
+    return editjoin.suggested(refs, wanted)
+
+
 @query(f"WITH r AS (SELECT conv_id, turn, 'sess_' || conv_id || '/' || ref_id || CASE WHEN turn % 3 = 2 THEN 'x' ELSE '' END AS g FROM ({REFS})) SELECT conv_id, turn, CASE WHEN turn % 3 <> 2 THEN 'sess_' || conv_id END AS session, CASE WHEN turn % 3 <> 2 THEN split_part(g, '/', 2) END AS ref FROM r")
 def ref_parse(spark, d):
     ref = ids.ref_id(F.lit("text"), F.lit("s1"), F.concat_ws("-", "conv_id", "turn"))
