@@ -43,7 +43,6 @@ class Windows(NamedTuple):
     words: np.ndarray
     first: np.ndarray
     length: np.ndarray
-    hashes: np.ndarray
     item: np.ndarray
     names: np.ndarray
 
@@ -60,31 +59,36 @@ class Prefixes(NamedTuple):
 
 
 def _windows(items: pa.Table, window: int) -> Windows:
-    text = text_of(items["text"].combine_chunks())
-    words = words_of(text, NON_ALNUM)
-    count = np.diff(words.first)
+    parts, counts = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for _, _, part in slices(text_of(items["text"].combine_chunks())):
+        found = words_of(part, NON_ALNUM)
+        parts.append(found.hashes)
+        counts.append(np.diff(found.first))
+    words, count = np.concatenate(parts), np.concatenate(counts)
+    starts = np.cumsum(count) - count
     per_item = np.where(count == 0, 0, np.maximum(1, count - window + 1))
-    item = np.repeat(np.arange(len(count)), per_item)
-    inner = np.arange(len(item)) - np.repeat(np.cumsum(per_item) - per_item, per_item)
-    first = words.first[item] + inner
-    length = np.minimum(count[item], window)
-    hashes = np.zeros(len(item), U64)
-    for n in np.unique(length):
-        hashes[length == n] = sequence_hash(words.hashes, first[length == n], int(n))
+    item = np.repeat(np.arange(len(count), dtype=np.int32), per_item)
+    first = (starts - np.cumsum(per_item) + per_item)[item] + np.arange(len(item))
     names = np.array([None if x is None else str(x) for x in items["item_id"].to_pylist()], object)
-    return Windows(words.hashes, first, length, hashes, item, names)
+    return Windows(words, first, np.minimum(count[item], window).astype(np.int32), item, names)
 
 
 def _shingles(w: Windows, token: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By shingle size: each window's shingle hashes, the windows they are of and their offsets."""
+    """By shingle size: the windows that have such shingles, the hash of the shingle at each word of the items, and the words where one begins.
+
+    Windows that overlap share their words' shingles; none is written out for each window.
+    """
     made = {}
     for size in range(1, token + 1):
         of = np.flatnonzero(np.minimum(w.length, token) == size)
         if len(of):
-            n = w.length[of] - size + 1
-            window = np.repeat(of, n)
-            offset = np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n)
-            made[size] = sequence_hash(w.words, w.first[window] + offset, size), window, offset
+            at = np.zeros(len(w.words) + 1, np.int64)
+            np.add.at(at, w.first[of], 1)
+            np.add.at(at, w.first[of] + w.length[of] - size + 1, -1)
+            begins = np.flatnonzero(np.cumsum(at[:-1]) > 0)
+            hashes = np.zeros(len(w.words), U64)
+            hashes[begins] = sequence_hash(w.words, begins, size)
+            made[size] = of, hashes, begins
     return made
 
 
@@ -133,17 +137,26 @@ def _rarity(docs: DataFrame, shingles: dict[int, np.ndarray]) -> dict[int, np.nd
 
 
 def _prefixes(docs: DataFrame, w: Windows, token: int) -> list[Prefixes]:
+    """The rarest shingle of each window, by a running minimum over its words; of equally rare ones that of smallest hash."""
     made = _shingles(w, token)
-    unique = {n: np.unique(h) for n, (h, _, _) in made.items()}
+    unique = {n: np.unique(h[begins]) for n, (_, h, begins) in made.items()}
     often = _rarity(docs, unique)
     out = []
-    for n, (h, window, offset) in made.items():
-        rank = often[n][np.searchsorted(unique[n], h)]
-        order = np.lexsort((offset, h, rank, window))
-        best = order[np.r_[True, window[order][1:] != window[order][:-1]]]
-        best = best[np.argsort(h[best], kind="stable")]
-        hashes, start = np.unique(h[best], return_index=True)
-        out.append(Prefixes(n, hashes, np.r_[start, len(best)], window[best], offset[best], _bitmap(hashes)))
+    for n, (of, h, begins) in made.items():
+        place = np.empty(len(unique[n]), np.int64)
+        place[np.lexsort((unique[n], often[n]))] = np.arange(len(place))
+        rank = np.zeros(len(h), np.int64)
+        rank[begins] = place[np.searchsorted(unique[n], h[begins])]
+        first, last = w.first[of], w.length[of] - n
+        best, offset = rank[first], np.zeros(len(of), np.int64)
+        for j in range(1, int(last.max(initial=0)) + 1):
+            other = rank[np.minimum(first + j, len(rank) - 1)]
+            rarer = (j <= last) & (other < best)
+            best[rarer], offset[rarer] = other[rarer], j
+        of_best = h[first + offset]
+        order = np.argsort(of_best, kind="stable")
+        hashes, start = np.unique(of_best[order], return_index=True)
+        out.append(Prefixes(n, hashes, np.r_[start, len(order)], of[order], offset[order], _bitmap(hashes)))
     return out
 
 
@@ -207,8 +220,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, keys: list[str]
     """
     prepared(docs.sparkSession)
     items = benchmark.select("item_id", "text")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // (4 * block_words)))
+    total = items.agg(F.sum(F.regexp_count("text", F.lit(r"(?i)[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")))).first()[0] or 0
+    blocks = max(1, -(-total // block_words))
     slim, names = docs.select(*dict.fromkeys([*keys, "text"])), list(keys)
     own = [fresh("_key", slim.columns), fresh("_more", slim.columns)]
     if blocks > 1:
