@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import lineage, schema
 from .functions import ids, media, text
-from .operators import accounting, buckets, catalog, chunks, context, dedup, editjoin, medians, metric, search, store, trigrams
+from .operators import accounting, buckets, catalog, chunks, context, dedup, editjoin, medians, memo, metric, search, store, trigrams
 from .plans import dispatch, media_plans, sqlview, strategy, table_function
 from .sources import extract, files, sinks
 from .streaming import ingest, watch
@@ -402,6 +402,16 @@ def encode_sql_pages(spark, d):
     return sqlview.sql(spark, "SELECT uri, message, part, type, sha2(text, 256) AS text_hash FROM encode_by(TABLE(pages) PARTITION BY (uri) ORDER BY (ordinal), 'document/pages', map('pages_per_message', '4'))", {"pages": pages})
 
 
+@query("""WITH u AS (SELECT user_id AS k, max(ts) AS used FROM events GROUP BY 1), r AS (SELECT doc_id, coalesce(n_chars, 0) AS bytes, used, sum(coalesce(n_chars, 0)) OVER (ORDER BY used DESC NULLS LAST, lpad(CAST(doc_id AS VARCHAR), 12, '0') ROWS UNBOUNDED PRECEDING) AS total FROM documents LEFT JOIN u ON k = doc_id)
+SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS cache_key, bytes, used, CAST(total AS BIGINT) AS total FROM r WHERE total > (SELECT sum(n_chars) // 2 FROM documents)""")
+def memo_evictions(spark, d):
+    """documents as kept results, events as their uses, half of all bytes as the budget."""
+    docs = table(spark, d, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("cache_key"), F.col("n_chars").alias("bytes"))
+    uses = table(spark, d, "events").select(F.lpad(F.col("user_id").cast("string"), 12, "0").alias("cache_key"), F.col("ts").alias("used"))
+    budget = docs.agg(F.sum("bytes")).first()[0] // 2
+    return memo.evictions(docs, uses, budget).select("cache_key", "bytes", "used", "total")
+
+
 # ---------------------------------------------------------------- duplicates
 
 

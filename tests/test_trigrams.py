@@ -31,21 +31,27 @@ def index(spark, files, tmp_path_factory):
     trigrams.BLOCK_BITS = before
 
 
+@pytest.fixture(scope="module")
+def indexed_chunks(spark, files, tmp_path_factory):
+    made = chunks.chunked(files.selectExpr("path AS file_uri", "'fast' AS mode", "text")).cache()
+    index = trigrams.TrigramIndex(spark, str(tmp_path_factory.mktemp("grams") / "c"))
+    index.build(made, "chunk_text", ["file_uri", "chunk_idx"])
+    return made, index
+
+
 def rows_of(df):
     return sorted(map(repr, df.collect()))
 
 
 @pytest.mark.parametrize("pattern", ["licensed? +under", "Apache", "apache", r"\bloop\b", "(quantum|license) loo", "v1\\.0", "needle", "[A-Z]ello", "ab", "", "zzzz", r"(under)+ the", r"(?:Apache )?License", "é", "K", "ſharp", "x{3}|needle", "needle(?= in)", "^a.*b$", "istanbul"])
-@pytest.mark.parametrize("ignore_case", [False, True])
-def test_grep_equals_a_full_scan(index, files, pattern, ignore_case):
-    assert rows_of(index.grep(pattern, ignore_case=ignore_case)) == rows_of(search.grep(files.where("length(text) > 0"), pattern, ignore_case=ignore_case))
+def test_grep_equals_a_full_scan(index, files, pattern):
+    for ignore_case in (False, True):
+        assert rows_of(index.grep(pattern, ignore_case=ignore_case)) == rows_of(search.grep(files.where("length(text) > 0"), pattern, ignore_case=ignore_case))
 
 
 @pytest.mark.parametrize("query", ["the APACHE", "ntum LOOP", "a%b_c", "%", "", "  ", "ab", "needle in", "é", "absent text", "xyz xyz"])
-def test_substrings_equal_a_full_scan(spark, files, tmp_path, query):
-    made = chunks.chunked(files.selectExpr("path AS file_uri", "'fast' AS mode", "text")).cache()
-    index = trigrams.TrigramIndex(spark, str(tmp_path / "c"))
-    index.build(made, "chunk_text", ["file_uri", "chunk_idx"])
+def test_substrings_equal_a_full_scan(indexed_chunks, query):
+    made, index = indexed_chunks
     assert rows_of(index.substring_search(query)) == rows_of(search.substring_search(made, query))
     assert rows_of(index.substring_search(query, prefix="d1", limit=3)) == rows_of(search.substring_search(made, query, prefix="d1", limit=3))
 
