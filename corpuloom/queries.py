@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import lineage, schema
 from .functions import ids, media, text
-from .operators import accounting, buckets, catalog, chunks, context, dedup, editjoin, medians, memo, metric, search, store, trigrams
+from .operators import accounting, buckets, catalog, chunks, context, dedup, editjoin, medians, memo, metric, scenes, search, store, trigrams
 from .plans import dispatch, media_plans, sqlview, strategy, table_function
 from .sources import extract, files, sinks
 from .streaming import ingest, watch
@@ -412,6 +412,16 @@ def memo_evictions(spark, d):
     return memo.evictions(docs, uses, budget).select("cache_key", "bytes", "used", "total")
 
 
+@query("""WITH RECURSIVE f AS (SELECT event_type AS video, event_id AS frame, value AS difference FROM events), b AS (SELECT video, min(frame) AS first, max(frame) + 1 AS past FROM f GROUP BY video),
+c AS (SELECT video, first AS frame FROM b UNION ALL SELECT c.video, (SELECT min(f.frame) FROM f WHERE f.video = c.video AND f.frame >= c.frame + 200 AND f.difference >= 75) FROM c WHERE c.frame IS NOT NULL),
+k AS (SELECT * FROM c WHERE frame IS NOT NULL)
+SELECT k.video, k.frame AS start, coalesce(lead(k.frame) OVER (PARTITION BY k.video ORDER BY k.frame), b.past) AS "end" FROM k JOIN b USING (video)""")
+def scene_cuts(spark, d):
+    """events as frames, by type, with their values as differences: cuts from 75 on, at least 200 frames apart."""
+    frames = table(spark, d, "events").select(F.col("event_type").alias("video"), F.col("event_id").alias("frame"), F.col("value").alias("difference"))
+    return scenes.scenes(frames, threshold=75, shortest=200)
+
+
 # ---------------------------------------------------------------- duplicates
 
 
