@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import ref_id
+from ..lineage import cut
 from ..schema import ROLES
 
 #: Mistyped ids up to which they are broadcast.
@@ -23,7 +24,8 @@ def with_refs(items: DataFrame, session: str, key: str, attempts: int = 32) -> D
             return out
         order = Window.partitionBy("ref_id").orderBy(key)
         clash = F.row_number().over(order) > 1
-        out = out.withColumn("_clash", clash).withColumn("ref_id", F.when(F.col("_clash"), ref_id(F.col("kind"), F.lit(session), F.col(key).cast("string"), attempt)).otherwise(F.col("ref_id"))).drop("_clash")
+        # A round is kept, so that the next does not work all rounds before out again.
+        out = cut(out.withColumn("_clash", clash).withColumn("ref_id", F.when(F.col("_clash"), ref_id(F.col("kind"), F.lit(session), F.col(key).cast("string"), attempt)).otherwise(F.col("ref_id"))).drop("_clash"))
     raise ValueError(f"too many items for short ids in session {session}")
 
 

@@ -123,13 +123,18 @@ def path_parts(spark, d):
     return corpus(spark, d).select("path", "name", "stem", "ext", "parent", "depth", "kind", "mime", "is_binary")
 
 
-@query("""SELECT e AS ext, k AS kind, b AS is_binary, m AS media_kind, l AS language FROM (VALUES
- ('.py', 'code', FALSE, 'code', 'python'), ('.PNG', 'image', TRUE, 'image', NULL), ('.toml', 'config', FALSE, 'code', 'toml'), ('.csv', 'data', FALSE, 'text', NULL),
- ('.tex', 'document', FALSE, 'text', NULL), ('.raw', 'image', TRUE, 'text', NULL), ('.html', 'other', FALSE, 'text', 'html'), ('.zip', 'other', TRUE, 'text', NULL), ('.parquet', 'data', TRUE, 'text', NULL), ('', 'other', FALSE, 'text', NULL)) t(e, k, b, m, l)""")
+EXTENSIONS = (".py", ".PNG", ".toml", ".csv", ".tex", ".raw", ".html", ".zip", ".parquet", "")
+
+
+@query("""SELECT p_partkey, e AS ext, k AS kind, b AS is_binary, m AS media_kind, l AS language FROM part JOIN (VALUES
+ (0, '.py', 'code', FALSE, 'code', 'python'), (1, '.PNG', 'image', TRUE, 'image', NULL), (2, '.toml', 'config', FALSE, 'code', 'toml'), (3, '.csv', 'data', FALSE, 'text', NULL),
+ (4, '.tex', 'document', FALSE, 'text', NULL), (5, '.raw', 'image', TRUE, 'text', NULL), (6, '.html', 'other', FALSE, 'text', 'html'), (7, '.zip', 'other', TRUE, 'text', NULL), (8, '.parquet', 'data', TRUE, 'text', NULL), (9, '', 'other', FALSE, 'text', NULL)) t(i, e, k, b, m, l) ON p_partkey % 10 = i""")
 def classify_extensions(spark, d):
-    rows = spark.createDataFrame([(x,) for x in (".py", ".PNG", ".toml", ".csv", ".tex", ".raw", ".html", ".zip", ".parquet", "")], "ext string")
+    """parts as files whose extensions go by their key."""
+    name = F.concat("p_name", F.get(F.array(*map(F.lit, EXTENSIONS)), (F.col("p_partkey") % 10).cast("int")))
+    rows = table(spark, d, "part").select("p_partkey", files.path_parts(name)["ext"].alias("ext"))
     ext = F.col("ext")
-    return rows.select("ext", files.kind_of(ext).alias("kind"), files.is_binary(ext).alias("is_binary"), files.media_kind_of(ext, True).alias("media_kind"), files.language_of(ext).alias("language"))
+    return rows.select("p_partkey", "ext", files.kind_of(ext).alias("kind"), files.is_binary(ext).alias("is_binary"), files.media_kind_of(ext, True).alias("media_kind"), files.language_of(ext).alias("language"))
 
 
 @query(f"""WITH d AS ({DOC}), p AS (SELECT '' AS dir, size FROM d UNION ALL SELECT coalesce(source, 'unknown'), size FROM d UNION ALL SELECT coalesce(source, 'unknown') || '/' || coalesce(lang, 'und'), size FROM d)
@@ -753,7 +758,9 @@ SQL = {
     "sql_window_rank": "SELECT * FROM (SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS BIGINT) AS r FROM part) t WHERE r <= 3",
     "sql_scalar_subquery": "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) * 1.2 FROM part)",
     "sql_cte": "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) >= 15) SELECT c.c_mktsegment, count(*) AS customers FROM big JOIN customer c ON c.c_custkey = big.o_custkey GROUP BY c.c_mktsegment",
-    "sql_recursive": "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n, n * n AS square FROM t",
+    "sql_recursive": """WITH RECURSIVE up(dir, n) AS (SELECT coalesce(source, 'unknown') || '/' || coalesce(lang, 'und'), n_chars FROM documents
+ UNION ALL SELECT CASE WHEN position('/' IN dir) > 0 THEN left(dir, position('/' IN dir) - 1) ELSE '' END, n FROM up WHERE dir <> '')
+SELECT dir, count(*) AS files, CAST(sum(n) AS BIGINT) AS chars FROM up GROUP BY dir""",
     "sql_group_concat": "SELECT r.r_name, GROUP_CONCAT(n.n_name, '; ') WITHIN GROUP (ORDER BY n.n_name) AS nations FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name",
     "sql_pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus",
 }
