@@ -758,9 +758,9 @@ SQL = {
     "sql_window_rank": "SELECT * FROM (SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS BIGINT) AS r FROM part) t WHERE r <= 3",
     "sql_scalar_subquery": "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) * 1.2 FROM part)",
     "sql_cte": "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) >= 15) SELECT c.c_mktsegment, count(*) AS customers FROM big JOIN customer c ON c.c_custkey = big.o_custkey GROUP BY c.c_mktsegment",
-    "sql_recursive": """WITH RECURSIVE up(dir, n) AS (SELECT coalesce(source, 'unknown') || '/' || coalesce(lang, 'und'), n_chars FROM documents
- UNION ALL SELECT CASE WHEN position('/' IN dir) > 0 THEN left(dir, position('/' IN dir) - 1) ELSE '' END, n FROM up WHERE dir <> '')
-SELECT dir, count(*) AS files, CAST(sum(n) AS BIGINT) AS chars FROM up GROUP BY dir""",
+    "sql_recursive": """WITH RECURSIVE leaf AS (SELECT coalesce(source, 'unknown') || '/' || coalesce(lang, 'und') AS dir, count(*) AS m, CAST(sum(n_chars) AS BIGINT) AS n FROM documents GROUP BY 1),
+up(dir, m, n) AS (SELECT dir, m, n FROM leaf UNION ALL SELECT CASE WHEN position('/' IN dir) > 0 THEN left(dir, position('/' IN dir) - 1) ELSE '' END, m, n FROM up WHERE dir <> '')
+SELECT dir, CAST(sum(m) AS BIGINT) AS files, CAST(sum(n) AS BIGINT) AS chars FROM up GROUP BY dir""",
     "sql_group_concat": "SELECT r.r_name, GROUP_CONCAT(n.n_name, '; ') WITHIN GROUP (ORDER BY n.n_name) AS nations FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name",
     "sql_pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus",
 }
