@@ -20,7 +20,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 from .. import schema
 from ..session import workers_find_us
@@ -122,6 +122,8 @@ class TreeReader(DataSourceReader):
         """Takes equality and lists on ext and kind, and bounds on size; gives back the rest."""
         for f in filters:
             column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if isinstance(f, IsNotNull):
+                continue  # no column is ever null
             if column in ("ext", "kind") and isinstance(f, (EqualTo, In)):
                 given = {f.value} if isinstance(f, EqualTo) else set(f.value)
                 self.names[column] = self.names.get(column, given) & given
