@@ -389,6 +389,29 @@ def test_overlaps_and_ordinary_strings():
     assert [secrets._class(len(x)) for x in made] == [0, 1, 2, 3] and secrets.ordinary("") == secrets.ordinary("é " * 50) == []
 
 
+def test_all_of_a_text_says_how_random_it_looks():
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("etaoinshrdluETAOIN0123456789abcdef"), rng.integers(1, 22))) for _ in range(400)]
+    words += ["".join(rng.choice(list("0123456789abcdef"), 19)) for _ in range(20)] + ["".join(rng.choice(list("ABCDXYZ234567"), 12)) for _ in range(20)] + ["a"] * 60
+    texts = [" ".join(words), "é ".join(words[::-1]), "too short", "", "x" * 50 + " one two three four five six"]
+    want = np.zeros((4, secrets.BINS), np.int64)
+    for text in texts:
+        for strings in secrets.ordinary(text):
+            plain = ["".join(map(chr, column)) for column in strings.T]
+            bins = [secrets._bin(secrets.randomness(x)) for x in plain]
+            assert list(secrets.string_bins(strings)) == bins
+            for b, n in Counter(bins).items():
+                want[secrets._class(len(plain[0])), b] += n * secrets.WHOLE // len(plain)
+            # Every short word is there, wherever it stands.
+            whole = "".join(plain)
+            assert sum(whole.count(c) for c in "xyz") >= sum(w.count(c) for w in secrets.WORD.findall(text) if len(w) < 20 for c in "xyz")
+    assert (secrets.ordinary_weights(texts) == want).all() and want.any()
+    assert [x.shape[1] > 30 for x in secrets.ordinary(texts[0])] == [True] * 4
+    # A text's end counts as its beginning does.
+    a, b = (secrets.ordinary_weights([" ".join(["plain words here"] * 60 + [end] * 60)]) for end in ("plain words too", "q7Zx4Kp9Tb2Lm8Rw5V"))
+    assert (a != b).any(axis=1).all()
+
+
 def test_randomness_tells_keys_from_words():
     rng = np.random.default_rng(1)
     for alphabet in secrets.ALPHABETS.values():
