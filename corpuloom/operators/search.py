@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.text import fold, smart_case, snippet, split_lines
 from ..session import arrow_map
 from .chunks import chunked
+from .nearpairs import by_key, codes, matrix, nearest_pairs
 
-#: Query vectors that are broadcast at a time.
-QUERY_BLOCK = 4096
+#: Queries, and rows, that meet as one pair of matrices.
+QUERY_BLOCK, ROW_BLOCK = 2048, 2048
 #: How often an embedding is tried.
 ATTEMPTS = 3
 
@@ -85,27 +87,59 @@ def nearest(vectors: DataFrame, query: list[float], k: int, *, where: Column | N
     return top.withColumn("distance", F.round("distance", digits)) if digits is not None else top
 
 
+def _packed(rows: DataFrame, key: str, size: int, parts: int, name: str) -> DataFrame:
+    """Rows (key, embedding) in matrices of at most size rows of one width, by key; rows without a vector have width -1."""
+    kind = rows.schema[key].dataType.simpleString()
+    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda v: v.isNull())
+    slim = rows.select(F.col(key).alias("key"), F.when(whole, F.col("embedding").cast("array<double>")).alias("x"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch["x"]
+            widths = np.where(x.is_null().to_numpy(zero_copy_only=False), -1, x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            order = by_key(batch["key"])
+            for width in np.unique(widths):
+                mine = order[widths[order] == width]
+                for lo in range(0, len(mine), size):
+                    at = pa.array(mine[lo : lo + size])
+                    values = b"" if width < 0 else matrix(x.take(at), int(width)).tobytes() if width else b""
+                    yield pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.array([batch["key"].take(at)], pa.list_(batch["key"].type)), pa.array([values], pa.binary())], [f"{name}_width", f"{name}_keys", f"{name}_x"])
+
+    return arrow_map(slim, pack, f"{name}_width int, {name}_keys array<{kind}>, {name}_x binary").repartition(parts)
+
+
 def nearest_to_rows(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
-    """query, key and distance of the k nearest of every query row, itself aside.
+    """query, key, distance and rank of the k nearest of every query row, itself aside; rows without a vector come last.
 
-    queries are a stated set; at most QUERY_BLOCK of them are broadcast at a time.  Each partition keeps its
-    own k best of a query before anything is shuffled.
+    Every query meets every row: both are packed into matrices, every matrix of queries meets every one of rows
+    in some task, and a pair of them leaves k rows a query.  Nothing of it passes the driver, and a task holds
+    one pair of matrices at a time.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    found = [_nearest_to_block(vectors, queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) if blocks > 1 else queries, k, key) for b in range(blocks)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def _nearest_to_block(vectors: DataFrame, queries: DataFrame, k: int, key: str) -> DataFrame:
-    asked = queries.select(F.col(key).alias("query"), F.col("embedding").alias("_asked"))
-    pairs = vectors.withColumn("_part", F.spark_partition_id()).join(F.broadcast(asked), F.col(key) != F.col("query")).select("query", key, "_part", distance(F.col("embedding"), F.col("_asked")).alias("distance"))
-    local = Window.partitionBy("query", "_part").orderBy("distance", key)
-    best = pairs.withColumn("_n", F.row_number().over(local)).where(F.col("_n") <= k)
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", key)))
-    return ranked.where(F.col("rank") <= k).select("query", key, "distance", "rank")
+    kind = vectors.schema[key].dataType.simpleString()
+    parts = max(2, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    asked, met = _packed(queries, key, QUERY_BLOCK, 2, "q"), _packed(vectors, key, ROW_BLOCK, parts, "v")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q_keys, v_keys = batch["q_keys"][i].values, batch["v_keys"][i].values
+                mine, theirs = codes(q_keys, v_keys)
+                barred = mine[:, None] == theirs[None, :]
+                width = batch["q_width"][i].as_py()
+                if width < 0 or width != batch["v_width"][i].as_py():
+                    free = ~barred & (np.cumsum(~barred, 1) <= k)
+                    row, col = np.nonzero(free)
+                    far = pa.nulls(len(row), pa.float64())
+                else:
+                    q, v = (np.frombuffer(batch[f"{s}_x"][i].as_buffer(), np.float64).reshape(n, width) for s, n in (("q", len(q_keys)), ("v", len(v_keys))))
+                    row, col, far = nearest_pairs(q, v, barred, k)
+                    far = pa.array(far)
+                yield pa.RecordBatch.from_arrays([q_keys.take(pa.array(row)), v_keys.take(pa.array(col)), far], ["query", key, "distance"])
+
+    found = arrow_map(met.hint("shuffle_replicate_nl").crossJoin(asked), meet, f"query {kind}, {key} {kind}, distance double")
+    # Spark keeps k of each query in each task before it shuffles them.
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.col("distance").asc_nulls_last(), key))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def merged(regex_hits: DataFrame, chunk_hits: DataFrame, semantic_hits: DataFrame, limit: int = 5) -> DataFrame:
