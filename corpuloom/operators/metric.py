@@ -7,9 +7,11 @@ for k answers; their k-th distance is an upper bound of the true one, so a secon
 only the cells, and of these only the rows, whose lower bounds do not exceed it.  Two rounds
 are exact, whatever the pivots; these only decide how much is left out.
 
-Cells are divided into blocks of at most BLOCK rows, so that a cell which holds a third of
+Cells are divided into blocks of about BLOCK rows, so that a cell which holds a third of
 all rows (equal vectors) is many tasks; queries go to the blocks they must meet, by shuffle.
-The driver holds the pivots and a row for each cell.
+A block and at most ASKED or so of its queries meet in one task, which takes the rows in slices
+by their distance to the pivot, each with the queries whose bounds reach it, and leaves k rows
+a query.  The driver holds the pivots and a row for each cell.
 
 Defined results: rows and queries without a vector are left out; ties go to the smaller key;
 a query is not its own answer; fewer than k other rows give as many; an empty table gives none.
@@ -26,11 +28,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-from ..session import arrow_map
-from .search import distance
+from ..session import arrow_map, workers_find_us
+from .nearpairs import by_key, codes, matrix, nearest_pairs
 
-#: Pivots at most, rows of the sample that they are drawn from, rows of a block.
-PIVOTS, SAMPLE, BLOCK = 128, 4096, 8192
+#: Pivots at most, rows of the sample that they are drawn from, rows of a block, queries that meet it in a task, rows of a slice.
+PIVOTS, SAMPLE, BLOCK, ASKED, SLICE = 128, 4096, 8192, 16384, 512
 #: Bounds are kept apart by this much of the distances, for rounding.
 SLACK = 1e-6
 
@@ -47,10 +49,6 @@ class Cells(NamedTuple):
         return np.maximum(1, -(-self.rows // BLOCK))
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
-
-
 def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Distances of rows to pivots, from differences: products of large near vectors would lose digits."""
     out = np.empty((len(x), len(pivots)))
@@ -83,7 +81,7 @@ class PivotIndex:
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                d = _to_pivots(_matrix(batch["x"], points.shape[1]), points)
+                d = _to_pivots(matrix(batch["x"], points.shape[1]), points)
                 cell = d.argmin(1) if len(d) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([batch["key"], batch["x"], pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell])], ["key", "x", "cell", "r"])
 
@@ -112,7 +110,7 @@ class PivotIndex:
             for batch in batches:
                 if not batch.num_rows or not len(cells.pivots):
                     continue
-                d = _to_pivots(_matrix(batch["at"], cells.pivots.shape[1]), cells.pivots)
+                d = _to_pivots(matrix(batch["at"], cells.pivots.shape[1]), cells.pivots)
                 low = np.maximum(0, np.maximum(d - cells.most, cells.least - d))
                 low[:, cells.rows == 0] = np.inf
                 # The cells of nearest pivots that hold k rows besides the query itself.
@@ -136,11 +134,50 @@ class PivotIndex:
 
         return arrow_map(queries, choose, f"query {self.kind}, at array<double>, cell int, block int, dq double, bound double")
 
-    def _met(self, asked: DataFrame) -> DataFrame:
-        """query, key and distance of the pairs of a round that their bounds leave."""
-        near = F.abs(F.col("dq") - F.col("r")) <= F.col("bound") + SLACK * (1 + F.col("bound") + F.col("dq"))
-        pairs = asked.join(self.rows, ["cell", "block"]).where((F.col("key") != F.col("query")) & (F.col("bound").isNull() | near))
-        return pairs.select("query", "key", distance(F.col("x"), F.col("at")).alias("distance"))
+    def _met(self, asked: DataFrame, k: int, groups: int, counted: bool = False) -> DataFrame:
+        """query, key and distance of the k nearest of what the bounds of a round leave, for each block; counted: how many pairs are worked out.
+
+        Queries are dealt to groups, and a block goes to each of them.
+        """
+        width, kind = self.width, self.kind
+
+        def meet(asked: pa.Table, rows: pa.Table) -> pa.Table:
+            asked, rows = asked.combine_chunks(), rows.combine_chunks()
+            one = lambda t, name: t[name].chunk(0) if t[name].num_chunks else pa.array([], t.schema.field(name).type)
+            query, key = one(asked, "query"), one(rows, "key")
+            order = by_key(key)
+            key, x, r = key.take(pa.array(order)), matrix(one(rows, "x"), width)[order], one(rows, "r").to_numpy(zero_copy_only=False)[order]
+            at, dq = matrix(one(asked, "at"), width), one(asked, "dq").to_numpy(zero_copy_only=False)
+            bound = one(asked, "bound").fill_null(np.inf).to_numpy(zero_copy_only=False)
+            bound = bound + SLACK * (1 + bound + dq)
+            mine, theirs = codes(query, key)
+            near, worked, found = np.argsort(r, kind="stable"), 0, []
+            for lo in range(0, len(x), SLICE):
+                some = np.sort(near[lo : lo + SLICE])  # rows stay by key
+                reach = np.flatnonzero((dq - bound <= r[some].max()) & (dq + bound >= r[some].min()))
+                for at_once in range(0, len(reach), SLICE):
+                    who = reach[at_once : at_once + SLICE]
+                    barred = mine[who][:, None] == theirs[some][None, :]
+                    worked += barred.size - int(barred.sum())
+                    if not counted:
+                        row, col, far = nearest_pairs(at[who], x[some], barred, k)
+                        found.append((who[row], some[col], far))
+            if counted:
+                return pa.table({"worked": pa.array([worked], pa.int64())})
+            row, col, far = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+            best = np.lexsort((col, far, row))
+            row, col, far = row[best], col[best], far[best]
+            kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+            return pa.table({"query": query.take(pa.array(row[kept])), "key": key.take(pa.array(col[kept])), "distance": pa.array(far[kept])})
+
+        rows, by = self.rows, ["cell", "block"]
+        if groups > 1:
+            by = [*by, "_g"]
+            asked = asked.withColumn("_g", F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int"))
+            rows = rows.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        workers_find_us(self.spark)
+        # A block without queries gives nothing.
+        return asked.groupBy(*by).cogroup(rows.groupBy(*by)).applyInArrow(meet, "worked bigint" if counted else f"query {kind}, key {kind}, distance double")
 
     @staticmethod
     def _best(found: DataFrame, k: int) -> DataFrame:
@@ -148,16 +185,17 @@ class PivotIndex:
         rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "key"))
         return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
-    def rounds(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """The best of the first round, and the pairs that each round compares."""
+    def rounds(self, queries: DataFrame, k: int, counted: bool = False) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+        """The best of the first round and what the second finds; counted: how many pairs either works out."""
         asked = queries.where(F.col(self.column).isNotNull()).select(F.col(self.key).alias("query"), F.col(self.column).cast("array<double>").alias("at")).dropDuplicates(["query"])
-        none = F.lit(None).cast("double")
-        first = self._met(self._asked(asked.withColumn("bound", none), True, k))
-        best = cut(self._best(first, k))
+        groups = max(1, -(-asked.count() // ASKED))
+        at_first = self._asked(asked.withColumn("bound", F.lit(None).cast("double")), True, k)
+        best = cut(self._best(self._met(at_first, k, groups), k))
         # Without k answers nothing is ruled out.
         bound = best.groupBy("query").agg(F.max("distance").alias("_d"), F.count("*").alias("_n"))
         bounded = asked.join(bound, "query", "left").select("query", "at", F.when(F.col("_n") == k, F.col("_d")).otherwise(F.lit(float("inf"))).alias("bound"))
-        return best, first, self._met(self._asked(bounded, False, k))
+        second = self._met(self._asked(bounded, False, k), k, groups, counted)
+        return best, self._met(at_first, k, groups, True) if counted else None, second
 
     def nearest(self, queries: DataFrame, k: int) -> DataFrame:
         """query, key, distance and rank of the k nearest rows of every query (key, column)."""
@@ -167,7 +205,8 @@ class PivotIndex:
 
     def compared(self, queries: DataFrame, k: int) -> float:
         """The share of all pairs of a query and another row whose distance is worked out."""
-        _, first, second = self.rounds(queries, k)
+        _, first, second = self.rounds(queries, k, True)
         n = queries.where(F.col(self.column).isNotNull()).select(self.key).distinct().count()
         every = n * (int(self.cells.rows.sum()) - 1)
-        return (first.count() + second.count()) / every if every > 0 else 0.0
+        worked = first.unionByName(second).agg(F.coalesce(F.sum("worked"), F.lit(0))).first()[0]
+        return worked / every if every > 0 else 0.0

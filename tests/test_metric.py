@@ -96,3 +96,12 @@ def test_matrices_of_all_sizes_leave_the_same(k):
         barred = rng.random((n, m)) < 0.1
         want = [(i, j, d) for i in range(n) for d, j in sorted((float(plain(q[i : i + 1], x[j : j + 1])[0]), j) for j in range(m) if not barred[i, j])[:k]]
         assert list(zip(*(c.tolist() for c in nearest_pairs(q, x, barred, k)), strict=True)) == want
+
+
+def test_queries_of_a_block_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(metric, "ASKED", 3)
+    monkeypatch.setattr(metric, "SLICE", 16)
+    rows = clustered(150, 5)
+    asked = [r for r in rows if r[0] % 10 == 0]
+    index = metric.PivotIndex(spark.createDataFrame(rows, SHAPE), pivots=4)
+    assert got(index, spark.createDataFrame(asked, SHAPE), 3) == brute(rows, asked, 3)
