@@ -134,11 +134,18 @@ def ranked(rows: DataFrame, keys: list[str], order: list[str], column: str) -> D
     """Adds the number of each row in order within keys, from 1; a key's rows may lie in many ranges.
 
     Bounds of ranges are drawn from samples, so the rows are kept with the range they are in: both readings
-    of them, for ranks and for the counts of ranges ahead, are of the same checkpoint.
+    of them, for ranks and for the counts of ranges ahead, are of the same checkpoint.  Without keys a row's
+    number in its range is the one that it has there once the range is sorted, and rows move once.
     """
     from pyspark.sql import Window
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not keys:
+        sorted_ = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+        placed = cut(sorted_).withColumns({"_part": F.shiftright("_m", 33), "_n": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1})
+        sizes = placed.groupBy("_part").agg(F.max("_n").alias("_c"))  # a row for each range
+        before = sizes.select(F.col("_part"), F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+        return placed.join(F.broadcast(before), "_part").withColumn(column, F.col("_before") + F.col("_n")).select(*rows.columns, column)
     dealt = cut(rows.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()))
     within = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order)))
     # A row for each key and range.

@@ -1,15 +1,16 @@
-"""Substring and regex search through an index of three-character grams.
+"""Substring and regex search through an index of grams, three bytes of UTF-8 each.
 
 Texts are numbered; BLOCK_BITS bits of a number are its place in a block of texts.  The index
-has a row for each gram and block: the sorted places of the texts that hold the gram, written
+has rows for each gram and block: the sorted places of the texts that hold the gram, written
 as differences (Parquet's delta encoding), so that a gram that is in every text is as many
-small rows as there are blocks, in files by a hash of the gram.  A query's literal must be in
-a text as a whole, so all of its grams must; the rarest few are intersected block by block,
-and what is left is read from the texts' own files by block and held against the query
-itself.  The index thus changes what is read, never what is found.
+small rows as there are blocks.  A task writes the rows of WINDOW bytes of texts at a time, by
+gram and without a shuffle; pages are short, so that a reader leaves out those of other grams.
+A query's literal must be in a text as a whole, so all of its grams must; the rarest few are
+intersected block by block, and what is left is read from the texts' own files by block and
+held against the query itself.  The index thus changes what is read, never what is found.
 
 Grams are of folded text (ASCII case), so one index serves both cases.  Literals of fewer
-than three characters, and patterns from which none can be drawn, read all texts.
+than three bytes, and patterns from which none can be drawn, read all texts.
 
 Defined results: those of search.substring_search() and search.grep() on all texts; null and
 empty texts are never found; rows may share a key; an empty table gives none.
@@ -18,12 +19,16 @@ empty texts are never found; rows may share a key; an empty table gives none.
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import LOWER, UPPER, fold, smart_case
+from ..functions.text import smart_case
 from ..lineage import cut
+from ..session import arrow_map
 from . import search
 from .store import numbered
 
@@ -32,17 +37,65 @@ with warnings.catch_warnings():
     from re import _constants as rc
     from re import _parser as rp
 
-#: log2 of the texts in a block; grams that are intersected; files that grams are dealt to.
-BLOCK_BITS, RAREST, PARTS = 14, 4, 64
-
-
-def folded(literal: str) -> str:
-    return literal.translate(str.maketrans(UPPER, LOWER))
-
-
-def grams(literal: str) -> list[str]:
-    text = folded(literal)
-    return sorted({text[i : i + 3] for i in range(len(text) - 2)})
+#: log2 of the texts in a block; grams that are intersected; bytes of texts whose grams are sorted together; rows of a page.
+BLOCK_BITS, RAREST, WINDOW, PAGE_ROWS = 14, 4, 1 << 22, 1000
+#: Grams that there can be.
+GRAMS = 1 << 24
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+
+
+def grams(literal: str) -> list[int]:
+    return np.unique(_codes(np.frombuffer(literal.encode(), np.uint8))).tolist()
+
+
+def _codes(data: np.ndarray) -> np.ndarray:
+    """The gram at each byte but the last two, folded."""
+    low = _LOWER[data].astype(np.int32)
+    return (low[:-2] << 16) | (low[1:-1] << 8) | low[2:]
+
+
+def _grams_of(data: np.ndarray) -> np.ndarray:
+    """The distinct grams of one text, whatever its length."""
+    seen = np.zeros(GRAMS, bool)
+    for lo in range(0, len(data), WINDOW):
+        seen[_codes(data[lo : lo + WINDOW + 2])] = True
+    return np.flatnonzero(seen)
+
+
+def postings(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of a gram and the number of a text that holds it, by both; texts lie one after the other, up to ends."""
+    if len(ends) == 1 and len(data) > WINDOW:
+        every = _grams_of(data)
+        return every, np.zeros(len(every), np.int64)
+    if len(data) < 3:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    inside = text[:-2] == text[2:]
+    pairs = np.sort((_codes(data)[inside].astype(np.int64) << 32) | text[:-2][inside])
+    pairs = pairs[np.diff(pairs, prepend=-1) != 0]
+    return pairs >> 32, pairs & 0xFFFFFFFF
+
+
+def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """gram, block, n and places for each gram of each window of a block's texts."""
+    for batch in batches:
+        block, place = (batch[c].to_numpy(zero_copy_only=False) for c in ("block", "place"))
+        order = np.lexsort((place, block))
+        block, place, text = block[order], place[order], batch["text"].take(pa.array(order))
+        if not len(text):
+            continue
+        ends = np.frombuffer(text.buffers()[1], np.int32 if text.type == pa.binary() else np.int64)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+        data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+        lo = 0
+        while lo < len(block):
+            hi = max(lo + 1, min(int(np.searchsorted(ends, ends[lo] + WINDOW, "right")) - 1, int(np.searchsorted(block, block[lo], "right"))))
+            gram, at = postings(data[ends[lo] : ends[hi]], ends[lo + 1 : hi + 1] - ends[lo])
+            first = np.flatnonzero(np.diff(gram, prepend=-1) != 0)
+            bounds = np.append(first, len(gram))
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(place[lo:hi][at], pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(gram[first], pa.int32()), pa.array(np.full(len(first), block[lo]), pa.int64()), pa.array(np.diff(bounds), pa.int32()), lists], ["gram", "block", "n", "places"])
+            lo = hi
 
 
 def required_literal(pattern: str) -> str:
@@ -79,13 +132,6 @@ def required_literal(pattern: str) -> str:
     return max([*runs, now], key=len)
 
 
-def _places(text: Column) -> Column:
-    """The distinct grams of a text, folded; it is folded and divided once, and characters are taken by their index."""
-    grams_of = lambda c: F.when(F.size(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2)))))
-    made = F.element_at(F.transform(F.array(F.split(fold(text), "")), grams_of), 1)
-    return F.coalesce(made, F.expr("cast(array() as array<string>)"))
-
-
 class TrigramIndex:
     """An index below a folder of any file system: texts by block, and postings by gram."""
 
@@ -98,12 +144,11 @@ class TrigramIndex:
         kept.hint("rebalance", "_block").write.partitionBy("_block").parquet(f"{self.root}/texts")
         texts = self.spark.read.parquet(f"{self.root}/texts")
         place = F.col("_id").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
-        each = texts.select(F.col("_block").cast("bigint").alias("block"), place.alias("place"), F.explode(_places(F.col(text))).alias("gram"))
-        # A list has at most a place for each text of a block.
-        lists = each.groupBy("gram", "block").agg(F.sort_array(F.collect_set("place")).alias("places")).withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(PARTS)).cast("int"))
-        dealt = lists.hint("rebalance", "part").sortWithinPartitions("gram", "block")
-        dealt.write.option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "false").partitionBy("part").parquet(f"{self.root}/grams")
-        self.spark.read.parquet(f"{self.root}/grams").groupBy("gram").agg(F.sum(F.size("places")).alias("n")).write.parquet(f"{self.root}/counts")
+        slim = texts.select(F.col("_block").cast("bigint").alias("block"), place.alias("place"), F.col(text).cast("binary").alias("text"))
+        lists = arrow_map(slim, _post, "gram int, block bigint, n int, places array<int>")
+        written = lists.write.option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "false")
+        written.option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{self.root}/grams")
+        self.spark.read.parquet(f"{self.root}/grams").groupBy("gram").agg(F.sum("n").alias("n")).write.parquet(f"{self.root}/counts")
 
     def texts(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/texts")
@@ -118,9 +163,9 @@ class TrigramIndex:
         if len(found) < len(wanted):
             return self.spark.createDataFrame([], "_block int, _id bigint")
         rarest = [r["gram"] for r in sorted(found, key=lambda r: (r["n"], r["gram"]))[:RAREST]]
-        parts = self.spark.createDataFrame([(g,) for g in rarest], "gram string").select(F.pmod(F.xxhash64("gram"), F.lit(PARTS)).cast("int")).distinct().collect()
-        lists = self.spark.read.parquet(f"{self.root}/grams").where(F.col("part").isin([p[0] for p in parts]) & F.col("gram").isin(rarest))
-        held = lists.groupBy("block").agg(F.collect_list("places").alias("all")).where(F.size("all") == len(rarest))
+        lists = self.spark.read.parquet(f"{self.root}/grams").where(F.col("gram").isin(rarest))
+        whole = lists.groupBy("block", "gram").agg(F.flatten(F.collect_list("places")).alias("places"))
+        held = whole.groupBy("block").agg(F.collect_list("places").alias("all")).where(F.size("all") == len(rarest))
         shared = F.aggregate(F.slice("all", 2, len(rarest)), F.element_at("all", 1), lambda a, b: F.array_intersect(a, b))
         return held.select(F.col("block").cast("int").alias("_block"), F.explode(shared).alias("_p")).select("_block", (F.shiftleft(F.col("_block").cast("bigint"), BLOCK_BITS) + F.col("_p")).alias("_id"))
 

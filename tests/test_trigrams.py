@@ -77,3 +77,35 @@ def test_literals_are_in_every_match():
         for text in ("".join(rng.choice("ab") for _ in range(rng.randint(0, 9))) for _ in range(10)):
             if re.search(pattern, text):
                 assert literal in text, (pattern, literal, text)
+
+
+def test_postings_of_windows_of_any_size(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abAé \n日") for _ in range(rng.choice([0, 1, 2, 3, 40, 700]))).encode() for _ in range(60)]
+    want = {(b, t[i : i + 3].lower(), p) for p, t in enumerate(texts) for b in [p // 16] for i in range(len(t) - 2)}
+    order = list(range(60))
+    rng.shuffle(order)
+    batch = pa.RecordBatch.from_arrays([pa.array([p // 16 for p in order], pa.int64()), pa.array(order, pa.int32()), pa.array([texts[p] for p in order], pa.binary())], ["block", "place", "text"])
+    for window in (50, 1000, 1 << 22):
+        monkeypatch.setattr(trigrams, "WINDOW", window)
+        rows = [r for made in trigrams._post(iter([batch.slice(0, 7), batch.slice(7)])) for r in made.to_pylist()]
+        got = [(r["block"], r["gram"].to_bytes(3, "big"), p) for r in rows for p in r["places"]]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert all(r["places"] == sorted(r["places"]) and r["n"] == len(r["places"]) for r in rows)
+    assert [g.to_bytes(3, "big") for g in trigrams.grams("ABÉab")] == sorted({b"ab\xc3", b"b\xc3\x89", b"\xc3\x89a", b"\x89ab"}) and len(np.unique(trigrams.grams("aaaa"))) == 1
+
+
+def test_postings_are_written_where_they_are_made(spark, files, tmp_path, monkeypatch):
+    """Grams are neither exploded into rows nor shuffled before they are written."""
+    from corpuloom.operators import store
+
+    seen = []
+    monkeypatch.setattr(trigrams, "arrow_map", lambda df, f, shape, real=trigrams.arrow_map: seen.append(real(df, f, shape)) or seen[-1])
+    trigrams.TrigramIndex(spark, str(tmp_path / "i")).build(files, "text", ["path"])
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    ids = store.numbered(spark.range(1000).selectExpr("id % 7 AS a", "id AS b").repartition(5), ["a", "b"], 10, "at").orderBy("at").collect()
+    assert [(r["a"], r["b"]) for r in ids] == sorted((i % 7, i) for i in range(1000)) and [r["at"] for r in ids] == list(range(11, 1011))
