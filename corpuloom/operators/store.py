@@ -34,7 +34,11 @@ class Store(Buckets):
 
     def upsert_files(self, scanned: DataFrame) -> int:
         base, buckets = self.manifest(), self.touched("files", scanned)
-        return self.commit(base, {"files": self.staged("files", upserted(self.read("files", buckets=buckets, of=base), scanned), buckets)})
+        stored = self.read("files", buckets=buckets, of=base)
+        # Where nothing is stored yet, nothing has to meet: rows move once, to their buckets.
+        new = not any(b in base.tables.get("files", {}) for b in buckets)
+        now = scanned.select(*(F.col(f.name) if f.name in scanned.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in stored.schema)) if new else upserted(stored, scanned)
+        return self.commit(base, {"files": self.staged("files", now, buckets)})
 
     def ensure_metadata(self, scanned: DataFrame, uris: DataFrame) -> int:
         base, buckets = self.manifest(), self.touched("files", uris)
@@ -82,9 +86,12 @@ class Store(Buckets):
         chunks = self.read("chunks", buckets=around, of=base)
         gone = chunks.join(rows.select(F.col("id").alias("extraction_id")), "extraction_id", "left_semi").select("id")
         first = self.read("chunks", of=base).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        texts = latest_content(self.read("files", of=base)).join(rows.select("content_hash").distinct(), "content_hash", "left_semi")
+        # Which file has a content's text is told by narrow rows; the text itself moves once, to its extraction.
+        files = self.read("files", of=base)
+        of = latest_content(files, "uri").join(rows.select("content_hash").distinct(), "content_hash", "left_semi").withColumnRenamed("uri", "_of")
+        texts = files.select(F.col("uri").alias("_of"), "text_preview")
         shape = rows.select(F.col("id").alias("extraction_id"), "file_uri", "content_hash", "profile", "model", "mode", "created_at", "output")
-        own = shape.drop("output", "mode").join(texts, "content_hash").withColumns({"mode": F.lit("metadata"), "output": F.col("text_preview")}).select(*shape.columns)
+        own = shape.drop("output", "mode").join(of, "content_hash").join(texts, "_of").withColumns({"mode": F.lit("metadata"), "output": F.col("text_preview")}).select(*shape.columns)
         made = numbered(chunked(own.unionByName(shape), "output"), ["file_uri", "mode", "extraction_id", "chunk_idx"], first)
         summary = F.coalesce(F.left("output", F.lit(500)), F.lit(""))
         fresh = rows.withColumn("summary", summary).select(*TABLES["extractions"].names)
@@ -102,8 +109,9 @@ class Store(Buckets):
         base = self.manifest()
         known = self.read("extractions", buckets=self.touched("extractions", ids), of=base).join(ids.select("id").distinct(), "id", "left_semi")
         pieces = self.read("chunks", buckets=self.touched("chunks", known), of=base)
-        of = pieces.join(known.select(F.col("id").alias("extraction_id"), "mode"), ["extraction_id", "mode"])
-        return known.select("id").join(reassembled(of, ["extraction_id"]), F.col("id") == F.col("extraction_id"), "left").select("id", F.coalesce("text", F.lit("")).alias("output"))
+        wanted, by = known.select(F.col("id").alias("extraction_id"), "mode"), ["extraction_id", "mode"]
+        # All by the same two columns, so that texts move once.
+        return wanted.join(reassembled(pieces.join(wanted, by), by), by, "left").select(F.col("extraction_id").alias("id"), F.coalesce("text", F.lit("")).alias("output"))
 
     def put_text_chunks(self, rows: DataFrame) -> int:
         """Chunks of whole texts that belong to no extraction, in place of earlier ones of the same content; rows: file_uri, content_hash, content, created_at."""
@@ -237,10 +245,10 @@ def replaced(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return table.join(fresh.select(key), key, "left_anti").select(*table.columns).unionByName(fresh.select(*table.columns))
 
 
-def latest_content(files: DataFrame) -> DataFrame:
-    """content_hash and the text preview that was indexed last."""
+def latest_content(files: DataFrame, column: str = "text_preview") -> DataFrame:
+    """content_hash and the text preview (or another column) of the file that was indexed last."""
     known = files.where(F.col("content_hash").isNotNull() & F.col("content_indexed_at").isNotNull())
-    return known.groupBy("content_hash").agg(F.max_by("text_preview", F.struct("content_indexed_at", "uri")).alias("text_preview"))
+    return known.groupBy("content_hash").agg(F.max_by(column, F.struct("content_indexed_at", "uri")).alias(column))
 
 
 def upsert_vectors(chunks: DataFrame, vectors: DataFrame, embeddings: DataFrame) -> DataFrame:

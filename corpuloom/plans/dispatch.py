@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import extraction_id
@@ -13,7 +13,7 @@ from ..operators.chunks import cacheable
 from ..operators.store import Store
 
 
-def dispatched(store: Store, requests: DataFrame, compute: Callable[[DataFrame], DataFrame], fresh: bool = False) -> DataFrame:
+def dispatched(store: Store, requests: DataFrame, compute: Callable[[DataFrame], DataFrame], fresh: bool = False, shown: Callable[[Column], Column] | None = None) -> DataFrame:
     """position, file_uri, id, output and cached of each request, in order of position.
 
     requests: position, file_uri, content_hash, profile, model, mode, extra, created_at.  Requests of the same
@@ -21,6 +21,7 @@ def dispatched(store: Store, requests: DataFrame, compute: Callable[[DataFrame],
     What it gives is kept by a checkpoint before it is stored and returned, so that it runs once; outputs
     that are empty, null or say an error in brackets are returned but not stored, nor are those of a file that
     the store does not have.  Requests without a content hash are computed each for itself and not stored.  fresh: stored extractions of the requests are evicted first.
+    shown: what to return of an output, worked out where it lies, before outputs move to their requests.
     """
     known = extraction_id(F.col("content_hash"), F.col("profile"), F.col("model"), F.col("mode"), F.lit(False), F.col("extra"))
     alone = F.concat(F.lit("request "), F.col("position"))
@@ -31,9 +32,12 @@ def dispatched(store: Store, requests: DataFrame, compute: Callable[[DataFrame],
     missed = asked.join(hits.select("id"), "id", "left_anti").dropDuplicates(["id"])
     made = cut(compute(missed).select("id", "output"))
     files = store.read("files").select(F.col("uri").alias("file_uri"))
-    worth = missed.where("content_hash IS NOT NULL").join(made.where(F.col("output").isNotNull() & (F.col("output") != "") & cacheable(F.col("output"))), "id").join(files, "file_uri", "left_semi")
-    kept = worth.withColumns({"detail": F.lit(0), "metadata": F.lit(None).cast("string")})
-    if not kept.isEmpty():
-        store.put_extraction(kept)
+    sound = made.where(F.col("output").isNotNull() & (F.col("output") != "") & cacheable(F.col("output")))
+    # Outputs move once: what is worth storing is told by ids.
+    worth = missed.where("content_hash IS NOT NULL").join(files, "file_uri", "left_semi")
+    if not worth.join(sound.select("id"), "id", "left_semi").isEmpty():
+        store.put_extraction(worth.join(sound, "id").withColumns({"detail": F.lit(0), "metadata": F.lit(None).cast("string")}))
     answers = hits.withColumn("cached", F.lit(True)).unionByName(made.withColumn("cached", F.lit(False)))
+    if shown is not None:
+        answers = answers.withColumn("output", shown(F.col("output")))
     return asked.join(answers, "id", "left").select("position", "file_uri", "id", "output", F.coalesce("cached", F.lit(False)).alias("cached")).orderBy("position")

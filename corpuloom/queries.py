@@ -369,8 +369,10 @@ def _stored_corpus(spark, d, folder):
     kept = store.Store(spark, folder, buckets=16)
     kept.upsert_files(rows.select(*columns))
     requests = rows.select(F.col("doc_id").alias("position"), F.col("uri").alias("file_uri"), "content_hash", F.lit("default").alias("profile"), F.lit("none").alias("model"), F.lit("fast").alias("mode"), F.lit("").alias("extra"), F.lit(0).cast("bigint").alias("created_at"))
-    texts = rows.select("content_hash", "text").dropDuplicates(["content_hash"])
-    compute = lambda asked: asked.join(texts, "content_hash").select("id", F.concat(F.lit("n="), F.length("text"), F.lit(" "), "text").alias("output"))
+    # A request's position is its document's id; rows that repeat an id and a text give one output.
+    texts = rows.select(F.col("doc_id").alias("position"), "content_hash", "text")
+    by = ["position", "content_hash"]
+    compute = lambda asked: asked.select("id", *by).join(texts, by).dropDuplicates([*by, "id"]).select("id", F.concat(F.lit("n="), F.length("text"), F.lit(" "), "text").alias("output"))
     return kept, requests, compute
 
 
@@ -380,7 +382,7 @@ def cached_dispatch(spark, d):
     folder = lineage.scratch(spark, "dispatch")
     kept, requests, compute = _stored_corpus(spark, d, folder)
     dispatch.dispatched(kept, requests.where("position % 2 = 0"), compute)
-    found = lineage.cut(dispatch.dispatched(kept, requests, compute).select(F.col("position").alias("doc_id"), F.sha2("output", 256).alias("output_hash"), "cached"))
+    found = lineage.cut(dispatch.dispatched(kept, requests, compute, shown=lambda x: F.sha2(x, 256)).select(F.col("position").alias("doc_id"), F.col("output").alias("output_hash"), "cached"))
     lineage.removed(spark, folder)
     return found
 

@@ -135,3 +135,23 @@ def test_dispatch_computes_once_and_keeps_both_tiers(spark, tmp_path):
     assert not fresh[0]["cached"] and counted.value == 11 and kept.read("extractions").count() == 2
     ids = kept.read("chunks").select("id")
     assert ids.distinct().count() == ids.count()
+
+
+def test_texts_move_little_in_a_dispatch(spark, tmp_path, monkeypatch):
+    """A first upsert joins nothing; outputs are read back by one move; what is shown of them is worked out before they move."""
+    from corpuloom import queries
+    from corpuloom.operators import store
+    from corpuloom.plans import dispatch
+
+    monkeypatch.setattr(store, "upserted", None)
+    docs = spark.createDataFrame([(i, f"text {i % 7} " * (i % 5 * 200), "en", "s", 1) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    kept, requests, compute = queries._stored_corpus(spark, str(tmp_path), str(tmp_path / "store"))
+    dispatch.dispatched(kept, requests.where("position % 2 = 0"), compute)
+    want = {r["position"]: (r["output"], r["cached"]) for r in dispatch.dispatched(kept, requests.where("position < 20"), compute).collect()}
+    shown = dispatch.dispatched(kept, requests, compute, shown=lambda x: x.substr(1, 30)).collect()
+    assert [r["position"] for r in shown] == list(range(40)) and all(want[r["position"]][0][:30] == r["output"] for r in shown if r["position"] < 20)
+    plan = kept.outputs(kept.read("extractions").select("id"))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("extraction_id") and "chunk_text" in plan
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert all(want[i][0] == f"n={len(texts[i])} {texts[i]}" for i in want)
