@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,6 +250,32 @@ def test_both_encoders_of_one_vocabulary_agree():
     assert [list(x) for x in encode(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_are_tokenised_once_and_as_whole_texts_are():
+    """Texts of repeated words give the encoders a fraction of their bytes, and all texts the tokens that they have in one piece."""
+    path = lambda name: f"{alignment.TOKENIZERS}/{name}"
+    sides, apart = alignment._sides(path(alignment.BYTE_BPE), path(alignment.PIECE_BPE))
+    assert apart
+    given = []
+    counted = [(lambda texts, encode=encode: given.append(sum(map(len, texts))) or encode(texts), pieces, skip) for encode, pieces, skip in sides]
+    rng = random.Random(5)
+    parts = ["word", "über", "naïve.", "it's", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\u2003", "\u0085", "。", "漢字", "▁", "12", "-", "e\u0301", "\u001f", "x" * 1200]
+    odd = ["".join(rng.choice([*parts, " ", " "]) for _ in range(rng.randint(1, 25))) for _ in range(400)]
+    texts = [t or "" for t in TEXTS] + odd
+    book = alignment._book(texts, counted, apart)
+    made = []
+    for side, (encode, pieces, skip) in enumerate(sides):
+        ids, ends, counts = alignment._laid_out(book.ids[side], pieces, side, book)
+        assert [int(e) for e in ends >> alignment.END] == [x for i in np.split(ids, np.cumsum(counts)[:-1]) for x in np.cumsum(pieces.sizes[i])]
+        made.append([x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])])
+    for i, t in enumerate(texts):
+        whole = [encode([(" " + t)[skip:]])[0] for encode, _, skip in sides]
+        fit = t != "" and all(alignment._spelled(x, p).tobytes() == (" " + t).encode() for x, (_, p, _) in zip(whole, sides, strict=True))
+        assert [m[i] for m in made] == ([x.tolist() for x in whole] if fit else [[], []]), t
+    given.clear()
+    alignment._book(["some words come again"] * 500, counted, apart)
+    assert max(given) < 100
+
+
 # ---------------------------------------------------------------- 13
 
 
