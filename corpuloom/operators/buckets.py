@@ -1,7 +1,7 @@
 """Keyed tables in hash buckets: changes rewrite only the buckets they touch, and versions can be compared.
 
-A table's rows lie in Parquet folders, one for each bucket of a hash of its placing column.
-A version is a manifest that names each table's folder for each bucket; it is a few bytes a
+A table's rows lie in Parquet folders, one or a few for each bucket of a hash of its placing column.
+A version is a manifest that names each table's folders for each bucket; it is a few bytes a
 bucket, whatever the rows.  A change writes new folders for the buckets it touches, then a
 manifest that takes all others from the version before, then claims the version's number
 by creating its pointer, which fails if another writer has it.  One manifest holds all
@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 
 #: Versions that stay readable, and seconds after which a pointer without a manifest is taken to be lost.
 KEEP, LOST = 10, 60
+#: Folders that a bucket may have before rows that come to it are put together with those that it holds.
+FOLDERS = 8
 
 
 class Table(NamedTuple):
@@ -42,6 +44,8 @@ class Conflict(RuntimeError):
 
 
 class Manifest(NamedTuple):
+    """For each table and bucket its folders, joined by commas."""
+
     version: int
     tables: dict[str, dict[int, str]]
 
@@ -107,33 +111,43 @@ class Buckets:
 
     def read(self, table: str, version: int | None = None, buckets: list[int] | None = None, of: Manifest | None = None) -> DataFrame:
         parts = (of or self.manifest(version)).tables.get(table, {})
-        folders = [f"{self.root}/{p}" for b, p in sorted(parts.items()) if buckets is None or b in set(buckets)]
+        folders = [f"{self.root}/{p}" for b, place in sorted(parts.items()) if buckets is None or b in set(buckets) for p in place.split(",")]
         schema = self.tables[table].schema
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
-    def staged(self, table: str, rows: DataFrame, buckets: list[int] | None = None) -> dict[int, str | None]:
+    def staged(self, table: str, rows: DataFrame, buckets: list[int] | None = None, meet: bool = True) -> dict[int, str | None]:
         """Writes rows, all that the buckets (or all) hold from now on; the folder of each bucket, null where it is empty now.
 
-        Rows meet by bucket before they are written; Spark divides large buckets and their files.
+        Rows meet by bucket before they are written; Spark divides large buckets and their files.  Unless
+        meet, they are written where they lie: nothing moves, and each task writes a file for each bucket.
         """
         folder = f"{table}/{uuid.uuid4().hex}"
         if not self._fs.exists(self._path("_buckets")):
             self._write("_buckets", str(self.buckets))
         placed = rows.select(*self.tables[table].schema.names, self.bucket(F.col(self.tables[table].place)).alias("bucket"))
-        placed.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        (placed.hint("rebalance", "bucket") if meet else placed).write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.root}/{folder}")
         names = [x.getPath().getName() for x in self._fs.listStatus(self._path(folder))]
         made = {int(n.split("=")[1]): f"{folder}/{n}" for n in names if n.startswith("bucket=")}
         return {b: made.get(b) for b in (range(self.buckets) if buckets is None else buckets)}
 
-    def commit(self, base: Manifest, staged: dict[str, dict[int, str | None]]) -> int:
-        """Makes base with the staged buckets the next version, all tables at once; Conflict if base is not the last any more."""
+    def room(self, base: Manifest, table: str, buckets: list[int]) -> bool:
+        """Whether each of the buckets may have one folder more."""
+        parts = base.tables.get(table, {})
+        return all(len(parts[b].split(",")) < FOLDERS for b in buckets if b in parts)
+
+    def commit(self, base: Manifest, staged: dict[str, dict[int, str | None]], beside: bool = False) -> int:
+        """Makes base with the staged buckets the next version, all tables at once; Conflict if base is not the last any more.
+
+        beside: what is staged comes to what the buckets hold, not in its place.
+        """
         tables = {t: dict(parts) for t, parts in base.tables.items()}
         for table, parts in staged.items():
             now = tables.setdefault(table, {})
             for b, place in parts.items():
-                now.pop(b, None)
-                if place is not None:
-                    now[b] = place
+                old = now.pop(b, None)
+                both = [p for p in (old if beside else None, place) if p is not None]
+                if both:
+                    now[b] = ",".join(both)
         body, version = f"_manifests/{uuid.uuid4().hex}.json", base.version + 1
         self._write(body, json.dumps(tables))
         self._claim(version, body)
@@ -158,12 +172,10 @@ class Buckets:
         if version < 1 or version not in self._pointers() or not self._body(version):
             return
         gone, after = self.manifest(version), self.manifest(version + 1)
-        still = {p for parts in after.tables.values() for p in parts.values()}
+        folders = lambda of: {p for parts in of.tables.values() for place in parts.values() for p in place.split(",")}
         # A folder leaves a manifest once and does not come back.
-        for parts in gone.tables.values():
-            for place in parts.values():
-                if place not in still:
-                    self._fs.delete(self._path(place), True)
+        for place in folders(gone) - folders(after):
+            self._fs.delete(self._path(place), True)
         body = self._body(version)
         self._fs.delete(self._path(f"_versions/{version}"), False)
         self._fs.delete(self._path(body), False)

@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 SIZE, OVERLAP = 2048, 100
 
 
+def chunk_count(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """How many windows chunk_texts gives."""
+    n = F.coalesce(F.length(text), F.lit(0))
+    return F.when(n == 0, F.lit(0)).when(n <= size, F.lit(1)).otherwise(F.ceil((n - size) / F.lit(float(size - overlap))).cast("int") + 1)
+
+
 def chunk_texts(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """Windows of size characters, each overlap into the one before; the last is the first to reach the end."""
-    step, n = size - overlap, F.length(text)
-    count = F.when(n <= size, F.lit(1)).otherwise(F.ceil((n - size) / F.lit(float(step))).cast("int") + 1)
-    made = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(text, i * step + 1, F.lit(size)))
-    return F.when(n > 0, made).otherwise(F.expr("cast(array() as array<string>)"))
+    made = F.transform(F.sequence(F.lit(0), chunk_count(text, size, overlap) - 1), lambda i: F.substring(text, i * (size - overlap) + 1, F.lit(size)))
+    return F.when(F.length(text) > 0, made).otherwise(F.expr("cast(array() as array<string>)"))
 
 
 def chunked(rows: DataFrame, text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

@@ -14,7 +14,8 @@ from ..functions.ids import extraction_id
 from ..lineage import cut
 from ..schema import CONTENT_COLUMNS, KEYS, TABLES
 from .buckets import KEEP, Buckets, Table
-from .chunks import chunked, reassembled
+from .chunks import chunk_count, chunked, reassembled
+from .sift import sifted
 
 PLACES = {"files": "uri", "extractions": "id", "chunks": "file_uri", "chunks_vec": "chunk_id"}
 
@@ -72,8 +73,14 @@ class Store(Buckets):
         store has for the content hash, where it has one.  An extraction of a file that is not stored is an
         error; of rows that share an id, any stays.
         """
+        return self.put_kept(cut(rows.dropDuplicates(["id"])))
+
+    def put_kept(self, rows: DataFrame) -> int:
+        """put_extraction of rows whose ids differ and that lie in a checkpoint, from which they are written without a move.
+
+        Where nothing is replaced, what the store has stays as it is and the new rows come beside it.
+        """
         base = self.manifest()
-        rows = cut(rows.dropDuplicates(["id"]))
         by_uri = rows.select(F.col("file_uri").alias("uri"))
         missing = by_uri.join(self.read("files", buckets=self.touched("files", by_uri), of=base), "uri", "left_anti").limit(1).collect()
         if missing:
@@ -85,31 +92,58 @@ class Store(Buckets):
         around = self.touched("chunks", rows.select("file_uri").unionByName(old.select("file_uri")))
         chunks = self.read("chunks", buckets=around, of=base)
         gone = chunks.join(rows.select(F.col("id").alias("extraction_id")), "extraction_id", "left_semi").select("id")
-        first = self.read("chunks", of=base).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        # Which file has a content's text is told by narrow rows; the text itself moves once, to its extraction.
-        files = self.read("files", of=base)
-        of = latest_content(files, "uri").join(rows.select("content_hash").distinct(), "content_hash", "left_semi").withColumnRenamed("uri", "_of")
-        texts = files.select(F.col("uri").alias("_of"), "text_preview")
-        shape = rows.select(F.col("id").alias("extraction_id"), "file_uri", "content_hash", "profile", "model", "mode", "created_at", "output")
-        own = shape.drop("output", "mode").join(of, "content_hash").join(texts, "_of").withColumns({"mode": F.lit("metadata"), "output": F.col("text_preview")}).select(*shape.columns)
-        made = numbered(chunked(own.unionByName(shape), "output"), ["file_uri", "mode", "extraction_id", "chunk_idx"], first)
-        summary = F.coalesce(F.left("output", F.lit(500)), F.lit(""))
-        fresh = rows.withColumn("summary", summary).select(*TABLES["extractions"].names)
+        made = self._tiers(rows, base).select(*TABLES["chunks"].names)
+        fresh = rows.withColumn("summary", F.coalesce(F.left("output", F.lit(500)), F.lit(""))).select(*TABLES["extractions"].names)
+        if self.room(base, "chunks", around) and self.room(base, "extractions", places) and old.isEmpty() and gone.isEmpty():
+            return self.commit(base, {"chunks": self.staged("chunks", made, around, meet=False), "extractions": self.staged("extractions", fresh, places)}, beside=True)
         return self.commit(
             base,
             {
                 "chunks_vec": self._without_vectors(base, gone.select(F.col("id").alias("chunk_id"))),
-                "chunks": self.staged("chunks", chunks.join(gone, "id", "left_anti").select(*TABLES["chunks"].names).unionByName(made.select(*TABLES["chunks"].names)), around),
+                "chunks": self.staged("chunks", chunks.join(gone, "id", "left_anti").select(*TABLES["chunks"].names).unionByName(made), around),
                 "extractions": self.staged("extractions", replaced(extractions, fresh, "id"), places),
             },
         )
 
+    def _tiers(self, rows: DataFrame, base) -> DataFrame:
+        """Chunks of the rows' outputs and of their files' own texts, numbered on from the largest id of base.
+
+        An output is chunked where the checkpoint has it: its chunks' numbers follow from their places there.  A file's
+        text moves once, to the extractions of its content; how many chunks it gives is told before by narrow rows.
+        """
+        from pyspark.sql import Window
+
+        first = self.read("chunks", of=base).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        part, ahead = F.spark_partition_id().alias("_part"), Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = lambda of, n: of.select(part, n.alias("_n")).groupBy("_part").agg(F.sum("_n").alias("_n"))
+        # A row for each partition of a checkpoint.
+        before = lambda counted: F.broadcast(cut(counted).select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before")))
+        shape = ["extraction_id", "file_uri", "content_hash", "profile", "model", "mode", "created_at", "output"]
+        outputs = chunked(rows.withColumnRenamed("id", "extraction_id").select(*shape), "output").withColumns({"_part": F.spark_partition_id(), "_m": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+        counts = cut(sizes(rows, chunk_count(F.col("output"))))
+        outputs = outputs.join(before(counts), "_part").withColumn("id", F.col("_before") + F.col("_m") + first + 1)
+        first += counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+        # Which file has a content's text is told by narrow rows.
+        files = self.read("files", of=base)
+        of = latest_content(files.withColumn("_place", F.struct(F.col("uri").alias("_of"), chunk_count(F.col("text_preview")).alias("_n"))), "_place")
+        own = cut(rows.select(F.col("id").alias("extraction_id"), *shape[1:5], "created_at").join(of, "content_hash").select(*shape[:5], "created_at", "_place.*").where("_n > 0"))
+        within = Window.partitionBy("_part").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
+        placed = own.withColumns({"_part": F.spark_partition_id(), "_m": F.monotonically_increasing_id()}).withColumn("_at", F.coalesce(F.sum("_n").over(within), F.lit(0)))
+        placed = placed.join(before(sizes(own, F.col("_n"))), "_part").withColumn("_at", F.col("_before") + F.col("_at") + first + 1).drop("_part", "_m", "_n", "_before")
+        by = ["_of", "content_hash"]
+        texts = sifted(files.select(F.col("uri").alias("_of"), "content_hash", F.col("text_preview").alias("output")), own, by)
+        # Files that repeat a uri and a content give one text.
+        found = placed.join(texts, by).dropDuplicates([*by, "extraction_id"]).withColumn("mode", F.lit("metadata"))
+        owns = chunked(found, "output").withColumn("id", F.col("_at") + F.col("chunk_idx"))
+        return outputs.select("id", *shape[:-1], "chunk_idx", "chunk_text").unionByName(owns.select("id", *shape[:-1], "chunk_idx", "chunk_text"))
+
     def outputs(self, ids: DataFrame) -> DataFrame:
         """id and output of the stored extractions among ids (id): the tier of their own mode, whole."""
         base = self.manifest()
         known = self.read("extractions", buckets=self.touched("extractions", ids), of=base).join(ids.select("id").distinct(), "id", "left_semi")
         pieces = self.read("chunks", buckets=self.touched("chunks", known), of=base)
         wanted, by = known.select(F.col("id").alias("extraction_id"), "mode"), ["extraction_id", "mode"]
+        pieces = sifted(pieces.select(*by, "chunk_idx", "chunk_text"), wanted, by)
         # All by the same two columns, so that texts move once.
         return wanted.join(reassembled(pieces.join(wanted, by), by), by, "left").select(F.col("extraction_id").alias("id"), F.coalesce("text", F.lit("")).alias("output"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import lineage, schema
 from .functions import ids, media, text
-from .operators import accounting, buckets, catalog, chunks, context, dedup, editjoin, medians, memo, metric, scenes, search, store, trigrams
+from .operators import accounting, buckets, catalog, chunks, context, dedup, editjoin, medians, memo, metric, scenes, search, sift, store, trigrams
 from .plans import dispatch, media_plans, sqlview, strategy, table_function
 from .sources import extract, files, sinks
 from .streaming import ingest, watch
@@ -372,7 +372,7 @@ def _stored_corpus(spark, d, folder):
     # A request's position is its document's id; rows that repeat an id and a text give one output.
     texts = rows.select(F.col("doc_id").alias("position"), "content_hash", "text")
     by = ["position", "content_hash"]
-    compute = lambda asked: asked.select("id", *by).join(texts, by).dropDuplicates([*by, "id"]).select("id", F.concat(F.lit("n="), F.length("text"), F.lit(" "), "text").alias("output"))
+    compute = lambda asked: asked.join(sift.sifted(texts, asked, ["position"]), by).dropDuplicates([*by, "id"]).select(*asked.columns, F.concat(F.lit("n="), F.length("text"), F.lit(" "), "text").alias("output"))
     return kept, requests, compute
 
 

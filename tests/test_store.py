@@ -155,3 +155,72 @@ def test_texts_move_little_in_a_dispatch(spark, tmp_path, monkeypatch):
     assert plan.count("extraction_id") and "chunk_text" in plan
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert all(want[i][0] == f"n={len(texts[i])} {texts[i]}" for i in want)
+
+
+def test_a_dispatch_moves_texts_a_few_times(spark, tmp_path):
+    """Bytes shuffled by a dispatch of half the texts and then of all, against the bytes of the texts."""
+    from corpuloom import queries
+
+    docs = spark.range(1200).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 120), i -> sha2(concat(id, ':', i), 256)), '') AS text", "'en' AS lang", "'s' AS source", "1 AS n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = shuffled()
+    got = queries.cached_dispatch(spark, str(tmp_path))
+    assert got.where("cached").count() == 600 and got.select("output_hash").distinct().count() == 1200
+    assert (shuffled() - before) / (1200 * 120 * 64) < 5
+
+
+def extraction(spark, few, mode="fast"):
+    shape = "id string, file_uri string, content_hash string, profile string, model string, mode string, detail int, extra string, metadata string, created_at long, output string"
+    return spark.createDataFrame([(i, u, h, "p", "m", mode, 0, "", None, 1, t) for i, u, h, t in few], shape)
+
+
+def test_new_extractions_come_beside_stored_ones(spark, tmp_path, monkeypatch):
+    kept = store.Store(spark, str(tmp_path / "s"), buckets=2, keep=1)
+    stored(spark, kept, [(f"f{i}", f"h{i}", f"own text {i} " * 300, 1) for i in range(12)])
+    outputs = {f"i{i}": (f"f{i}", f"h{i}", f"made of {i} " * 400) for i in range(12)}
+    put = lambda at: kept.put_extraction(extraction(spark, [(k, *outputs[k]) for k in at]))
+    put([f"i{i}" for i in range(6)])
+    first = kept.manifest().tables
+    put([f"i{i}" for i in range(6, 12)])
+    second = kept.manifest().tables
+    for table in ("chunks", "extractions"):  # what lay there was not written again
+        assert all(set(place.split(",")) < set(second[table][b].split(",")) for b, place in first[table].items())
+    whole = lambda: {r["id"]: r["output"] for r in kept.outputs(spark.createDataFrame([(k,) for k in outputs], "id string")).collect()}
+    assert whole() == {k: v[2] for k, v in outputs.items()}
+    of = kept.read("chunks").select("id", "extraction_id", "mode", "chunk_idx").collect()
+    assert sorted(r["id"] for r in of) == list(range(1, len(of) + 1))
+    runs = {}
+    for r in of:
+        runs.setdefault((r["extraction_id"], r["mode"]), []).append((r["chunk_idx"], r["id"]))
+    assert len(runs) == 24 and all(len(x) > 1 and len({b - a for a, b in x}) == 1 for x in runs.values())
+    monkeypatch.setattr(buckets, "FOLDERS", 2)  # full: the next are put together with what the buckets hold
+    outputs["i12"] = ("f0", "h0", "another")
+    outputs["i13"] = ("f1", "h1", "another")
+    put(["i12", "i13"])
+    put(["i0"])  # replaced, not repeated
+    ids = [r["id"] for r in kept.read("chunks").select("id").collect()]
+    assert whole() == {k: v[2] for k, v in outputs.items()} and len(ids) == len(set(ids)) and kept.read("extractions").count() == 14
+    named = {p for v in kept._pointers() for parts in kept.manifest(v).tables.values() for place in parts.values() for p in place.split(",")}
+    there = {str(p.relative_to(tmp_path / "s")) for t in ("files", "extractions", "chunks") for p in (tmp_path / "s" / t).glob("*/bucket=*")}
+    assert there == named
+
+
+def test_own_texts_of_repeated_files_are_stored_once(spark, tmp_path):
+    """A uri that is there twice: of two contents each gives its own text, of one content only one."""
+    kept = store.Store(spark, str(tmp_path / "s"), buckets=2)
+    stored(spark, kept, [("a", "h1", "one", 1), ("a", "h1", "one", 1), ("b", "h2", "two", 1), ("b", "h3", "three", 1)])
+    kept.put_extraction(extraction(spark, [("i1", "a", "h1", "x"), ("i2", "b", "h2", "y"), ("i3", "b", "h3", "z")]))
+    got = sorted((r["extraction_id"], r["chunk_text"]) for r in kept.read("chunks").where("mode = 'metadata'").collect())
+    assert got == [("i1", "one"), ("i2", "two"), ("i3", "three")]
+
+
+def test_sifting_loses_no_wanted_row(spark):
+    from corpuloom.operators.sift import sifted
+
+    rows = spark.range(200_000).selectExpr("id", "concat('k', id) AS k")
+    wanted = rows.where("id % 20 = 0")
+    left = sifted(rows, wanted, ["k"])
+    assert left.join(wanted, "k", "left_semi").count() == 10_000 and left.count() < 30_000
+    assert sifted(rows, wanted.select(F.col("id").cast("int")), ["id"]).count() == 200_000  # other types: nothing is left out
+    assert sifted(rows, wanted.where("false"), ["k"]).count() == 0
