@@ -36,10 +36,10 @@ class Store(Buckets):
     def upsert_files(self, scanned: DataFrame) -> int:
         base, buckets = self.manifest(), self.touched("files", scanned)
         stored = self.read("files", buckets=buckets, of=base)
-        # Where nothing is stored yet, nothing has to meet: rows move once, to their buckets.
+        # Where nothing is stored yet, nothing has to meet: rows are written where they lie.
         new = not any(b in base.tables.get("files", {}) for b in buckets)
         now = scanned.select(*(F.col(f.name) if f.name in scanned.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in stored.schema)) if new else upserted(stored, scanned)
-        return self.commit(base, {"files": self.staged("files", now, buckets)})
+        return self.commit(base, {"files": self.staged("files", now, buckets, meet=not new)})
 
     def ensure_metadata(self, scanned: DataFrame, uris: DataFrame) -> int:
         base, buckets = self.manifest(), self.touched("files", uris)
@@ -95,7 +95,7 @@ class Store(Buckets):
         made = self._tiers(rows, base).select(*TABLES["chunks"].names)
         fresh = rows.withColumn("summary", F.coalesce(F.left("output", F.lit(500)), F.lit(""))).select(*TABLES["extractions"].names)
         if self.room(base, "chunks", around) and self.room(base, "extractions", places) and old.isEmpty() and gone.isEmpty():
-            return self.commit(base, {"chunks": self.staged("chunks", made, around, meet=False), "extractions": self.staged("extractions", fresh, places)}, beside=True)
+            return self.commit(base, {"chunks": self.staged("chunks", made, around, meet=False), "extractions": self.staged("extractions", fresh, places, meet=False)}, beside=True)
         return self.commit(
             base,
             {
